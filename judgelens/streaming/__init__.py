@@ -1,0 +1 @@
+"""Empty on purpose: every input of this package is a bounded table."""
