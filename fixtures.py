@@ -5,6 +5,8 @@ The same derivations are written as SQL in ``oracle.py``.
 
 from __future__ import annotations
 
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from judgelens.operators.features import lexical_features
 from judgelens.operators.joins import attach_products_and_seen, scope_pairs, scope_products
 from judgelens.operators.splits import assign_splits
 from judgelens.plans.prepare import prepare_features
+from judgelens.sources import eventlog
+from judgelens.sources.staging import stage
 
 LOCALE = "us"
 
@@ -98,19 +102,23 @@ def scoped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return scope_pairs(pairs(spark, sf_dir), LOCALE), scope_products(products(spark, sf_dir), LOCALE)
 
 
+def scoped_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The in-scope tables as stored Parquet, for operators with several passes."""
+    in_scope, items = scoped(spark, sf_dir)
+    return stage(in_scope, "pairs"), stage(items, "products")
+
+
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_splits(scoped(spark, sf_dir)[0], key_hash=sha_key)
+    return assign_splits(scoped_tables(spark, sf_dir)[0], key_hash=sha_key)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of the prepare plan, with the portable hash."""
-    in_scope = scoped(spark, sf_dir)
-    return prepare_features(*in_scope, key_hash=sha_key)
+    return prepare_features(*scoped_tables(spark, sf_dir), key_hash=sha_key)
 
 
 def rule_scored(rows: DataFrame) -> DataFrame:
-    """A rule score in place of a fitted model, so that SQL can check the metrics."""
-    noise = sha_key(F.col("example_id"))
+    """Add a rule score in place of a fitted model, so that SQL can check the metrics."""
     p_e = F.round(0.05 + 0.5 * F.col("query_coverage") + 0.3 * F.col("_h") / 4294967296.0, 6)
     prediction = (
         F.when(F.col("p_e") >= 0.30, "E")
@@ -119,23 +127,124 @@ def rule_scored(rows: DataFrame) -> DataFrame:
         .otherwise("I")
     )
     return (
-        rows.withColumn("_h", noise)
+        rows.withColumn("_h", sha_key(F.col("example_id")))
         .withColumn("p_e", p_e)
         .withColumn("prediction", prediction)
         .withColumnRenamed("esci_label", "label")
-        .select(*SCORED_COLUMNS)
+        .drop("_h")
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every in-scope pair with a score; products are seen when judged in the train split."""
-    in_scope, items = scoped(spark, sf_dir)
-    tagged = in_scope.withColumn("dataset_split", F.lit("scored"))
-    train = assigned(spark, sf_dir)
-    joined = attach_products_and_seen(tagged, items, train)
+def scored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every in-scope pair with features and score; products judged in train are seen."""
+    in_scope, items = scoped_tables(spark, sf_dir)
+    train = assign_splits(in_scope, key_hash=sha_key)
+    joined = attach_products_and_seen(in_scope, items, train)
     return rule_scored(lexical_features(joined))
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_features(spark, sf_dir).select(*SCORED_COLUMNS)
+
+
 def tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scored table with one constant score, so that only ids break ties."""
     return scored(spark, sf_dir).withColumn("p_e", F.lit(0.5)).withColumn("prediction", F.lit("E"))
+
+
+def damaged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, with values broken by rule so that every validation rule fires."""
+    key = F.col("l_key")
+    keep = lambda name, bad: F.when(~bad, F.col(name))
+    rows = pairs(spark, sf_dir).withColumn("l_key", F.col("example_id"))
+    return rows.select(
+        keep("example_id", key % 101 == 1).alias("example_id"),
+        F.when(key % 103 == 2, " \t ").otherwise(keep("query", key % 97 == 3)).alias("query"),
+        keep("query_id", key % 89 == 4).alias("query_id"),
+        keep("product_id", key % 83 == 5).alias("product_id"),
+        "product_locale",
+        F.when(key % 79 == 6, "X").otherwise(keep("esci_label", key % 73 == 7)).alias("esci_label"),
+        F.when(key % 71 == 8, "dev").otherwise(keep("split", key % 67 == 9)).alias("split"),
+    )
+
+
+def damaged_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scored pairs, with values broken by rule so that every rule fires."""
+    key = F.col("l_key")
+    keep = lambda name, bad: F.when(~bad, F.col(name))
+    rows = scored(spark, sf_dir).withColumn("l_key", F.col("example_id"))
+    return rows.select(
+        F.when(key % 61 == 1, F.expr("l_key div 1000000")).otherwise(keep("example_id", key % 59 == 2)).alias("example_id"),
+        keep("query_id", key % 53 == 3).alias("query_id"),
+        F.when(key % 79 == 6, "X").otherwise(F.col("label")).alias("label"),
+        keep("prediction", key % 73 == 7).alias("prediction"),
+        F.when(key % 47 == 4, F.lit("NaN").cast("double"))
+        .when(key % 43 == 5, F.col("p_e") + 1)
+        .otherwise(keep("p_e", key % 41 == 6))
+        .alias("p_e"),
+    )
+
+
+def raw_judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item, before line items of the same order and part are merged."""
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select((F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("example_id"))
+
+
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per part and supplier, so product keys repeat."""
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    return sold.select(
+        locale_of("l_partkey").alias("product_locale"), product_id_of("l_partkey").alias("product_id")
+    )
+
+
+def audit_text() -> str:
+    return resources.files("judgelens").joinpath("sql/audits.sql").read_text()
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-log lines derived from orders (jobs, stages) and line items (tasks).
+
+    Each order priority is one application; its first and last order date are
+    its start and end.
+    """
+    orders = table(spark, sf_dir, "orders").withColumn(
+        "app", F.regexp_extract("o_orderpriority", r"^\S+", 0)
+    )
+    millis = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', CAST(o_orderdate AS TIMESTAMP_NTZ))")
+
+    def line(**fields):
+        return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()])).alias("value")
+
+    spans = orders.groupBy("app").agg(F.min(millis).alias("first"), F.max(millis).alias("last"))
+    starts = spans.select(
+        "app",
+        line(
+            Event=F.lit(eventlog.APPLICATION_START),
+            **{"App ID": F.concat(F.lit("app-"), "app"), "App Name": F.lit("orders"), "Timestamp": F.col("first")},
+        ),
+    )
+    ends = spans.select("app", line(Event=F.lit(eventlog.APPLICATION_END), Timestamp=F.col("last")))
+    settings = F.struct(F.lit("local[4]").alias("spark.master"), F.concat("app", F.lit("g")).alias("spark.driver.memory"))
+    setup = spans.select(
+        "app", line(Event=F.lit(eventlog.ENVIRONMENT_UPDATE), **{"Spark Properties": settings})
+    )
+    kind = F.when(F.col("o_orderstatus") == "O", eventlog.JOB_START).otherwise(eventlog.STAGE_COMPLETED)
+    work = orders.select("app", line(Event=kind, Timestamp=millis))
+    read = F.struct(
+        F.col("l_partkey").alias("Remote Bytes Read"), F.col("l_suppkey").alias("Local Bytes Read")
+    )
+    metrics = F.struct(
+        F.col("l_linenumber").cast("bigint").alias("Executor Run Time"),
+        F.when(F.col("l_linenumber") > 2, read).alias("Shuffle Read Metrics"),
+        F.struct(F.col("l_orderkey").alias("Shuffle Bytes Written")).alias("Shuffle Write Metrics"),
+    )
+    info = F.struct((F.col("l_suppkey") % 5).cast("string").alias("Executor ID"))
+    tasks = (
+        table(spark, sf_dir, "lineitem")
+        .join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "app"), "l_orderkey")
+        .select("app", line(Event=F.lit(eventlog.TASK_END), **{"Task Info": info, "Task Metrics": metrics}))
+    )
+    lines = starts.unionByName(ends).unionByName(setup).unionByName(work).unionByName(tasks)
+    return lines
