@@ -17,7 +17,6 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import fixtures as fx  # noqa: E402
-from judgelens.functions.hashing import sha_key  # noqa: E402
 from judgelens.operators import audits, bootstrap, joins, provenance, review, slices, splits  # noqa: E402
 from judgelens.operators import classification as C  # noqa: E402
 from judgelens.operators.features import lexical_features  # noqa: E402
@@ -65,7 +64,7 @@ def main() -> None:
         for frame in study.evaluate(spark, root).values():
             frame.collect()
 
-    saved = clock("prepare", lambda: prepare(spark, pairs, products, fx.LOCALE, f"{root}/features", key_hash=sha_key))
+    saved = clock("prepare", lambda: prepare(spark, pairs, products, fx.LOCALE, f"{root}/features"))
     clock("train", lambda: study.train(spark, root).collect())
     clock("evaluate", evaluate)
     stages = sum(seconds.values())
@@ -74,7 +73,7 @@ def main() -> None:
     clock("lexical_features", lambda: rows(lexical_features(joined)))
     clock("assign_splits", lambda: rows(splits.assign_splits(in_scope)))
     clock("pair_product_join", lambda: rows(joined))
-    clock("data_audit", lambda: audits.data_audit(in_scope, items, joined, splits.assign_splits(in_scope)).collect())
+    clock("data_audit", lambda: audits.data_audit(in_scope, items, joined, splits.staged_profile(in_scope)).collect())
     clock("label_balance", lambda: audits.label_balance(in_scope).collect())
     clock("candidate_set_sizes", lambda: audits.candidate_set_sizes(in_scope).collect())
     clock("split_summary", lambda: splits.split_summary(saved).collect())

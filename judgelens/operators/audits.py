@@ -124,8 +124,9 @@ def validate_products(products: DataFrame) -> DataFrame:
     )
 
 
-def assert_valid(pairs: DataFrame, products: DataFrame) -> None:
+def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | None = None) -> None:
     """Stop on broken rows, duplicate keys or query ids with several texts."""
+    profile = splits.query_profile(pairs) if profile is None else profile
     invalid = validate_pairs(pairs).first().asDict()
     if invalid["invalid_pairs"]:
         raise ValueError(f"invalid pairs: {invalid}")
@@ -135,7 +136,7 @@ def assert_valid(pairs: DataFrame, products: DataFrame) -> None:
         raise ValueError("duplicate product keys: the join would multiply pairs")
     if not duplicate_keys(pairs, ["example_id"]).isEmpty():
         raise ValueError("duplicate example ids")
-    if not splits.query_text_conflicts(pairs).isEmpty():
+    if not splits.text_conflicts_of(profile).isEmpty():
         raise ValueError("a query id has several normalised texts")
 
 
@@ -153,9 +154,12 @@ def blank_titles(joined: DataFrame) -> DataFrame:
     return joined.agg(F.count_if(is_blank("product_title")).alias("blank_titles"))
 
 
-def data_audit(pairs: DataFrame, products: DataFrame, joined: DataFrame, assigned: DataFrame) -> DataFrame:
+def data_audit(pairs: DataFrame, products: DataFrame, joined: DataFrame, profile: DataFrame) -> DataFrame:
     """One row with every count of the preparation audit.
 
+    A pair is kept unless its query is a leaky train query, so excluded rows
+    are counted per query and the split assignment itself is not run.
+
     Each count is a scalar subquery over its own small aggregate, so nothing
     but single numbers meets in the final row.
     """
@@ -165,7 +169,9 @@ def data_audit(pairs: DataFrame, products: DataFrame, joined: DataFrame, assigne
         F.count_if(is_blank("product_title")).alias("blank_titles"),
     )
     count = lambda df: df.agg(F.count("*").alias("n")).scalar()
-    kept = count(assigned)
+    excluded = pairs.filter(F.col("split") == "train").join(
+        splits.leaky_ids_of(profile), "query_id", "left_semi"
+    )
     return joined_counts.select(
         count(pairs).alias("n_pairs"),
         count(products).alias("n_products"),
@@ -174,11 +180,11 @@ def data_audit(pairs: DataFrame, products: DataFrame, joined: DataFrame, assigne
         "joined_rows",
         "unmatched_products",
         "blank_titles",
-        count(splits.split_overlap_ids(pairs)).alias("overlap_ids"),
-        count(splits.split_overlap_texts(pairs)).alias("overlap_texts"),
-        count(splits.leaky_query_ids(pairs)).alias("excluded_query_ids"),
+        count(splits.overlap_ids_of(profile)).alias("overlap_ids"),
+        count(splits.overlap_texts_of(profile)).alias("overlap_texts"),
+        count(splits.leaky_ids_of(profile)).alias("excluded_query_ids"),
         count(splits.pair_overlap(pairs)).alias("pair_overlap"),
-        (count(pairs) - kept).alias("excluded_rows"),
+        count(excluded).alias("excluded_rows"),
     )
 
 

@@ -95,9 +95,7 @@ class Resampler:
         )
         # One query says nothing about the variation across queries.
         self.replicates = replicates if self.n_queries >= 2 else 0
-
-    def draws(self) -> DataFrame:
-        return chunk_draws(self.spark, max(self.n_queries, 1), self.replicates, self.seed)
+        self.draws = stage(chunk_draws(self.spark, max(self.n_queries, 1), self.replicates, seed), "draws")
 
     def per_chunk(self, rows: DataFrame, fill, schema: str) -> DataFrame:
         """Bring (chunk, ...) rows and the draws of the chunk together in one task.
@@ -107,7 +105,7 @@ class Resampler:
         """
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         placed = rows.repartition(tasks, "chunk").groupBy("chunk")
-        return placed.cogroup(self.draws().repartition(tasks, "chunk").groupBy("chunk")).applyInPandas(fill, schema)
+        return placed.cogroup(self.draws.repartition(tasks, "chunk").groupBy("chunk")).applyInPandas(fill, schema)
 
     def weigher(self):
         """A plain function for the tasks: the weights of one replicate in one chunk."""
@@ -142,7 +140,7 @@ class Resampler:
     def weighted_sums(self, entries: DataFrame) -> DataFrame:
         """(replicate, feature) totals of per-query values under the drawn weights.
 
-        ``entries`` are (query_id, feature, value) rows.
+        ``entries`` are (chunk, position, feature, value) rows.
         """
         weights = self.weigher()
 
@@ -164,8 +162,7 @@ class Resampler:
                 }
             )
 
-        placed = entries.join(self.queries, "query_id").select("chunk", "position", "feature", "value")
-        partial = self.per_chunk(placed, fill, "replicate bigint, feature bigint, total bigint")
+        partial = self.per_chunk(entries, fill, "replicate bigint, feature bigint, total bigint")
         return partial.groupBy("replicate", "feature").agg(F.sum("total").alias("total"))
 
     def cell_entries(self) -> DataFrame:
@@ -173,7 +170,8 @@ class Resampler:
         cells = [F.struct(F.lit(i).cast("bigint").alias("feature"), F.col(n).alias("value")) for i, n in enumerate(C.CELLS)]
         return (
             C.query_contingency(self.scored)
-            .select("query_id", F.inline(F.array(*cells)))
+            .join(self.queries, "query_id")
+            .select("chunk", "position", F.inline(F.array(*cells)))
             .filter("value > 0")
         )
 
@@ -187,13 +185,17 @@ class Resampler:
             F.struct(base.alias("feature"), F.col("items").alias("value")),
             F.struct((base + 1).alias("feature"), F.col("errors").alias("value")),
         )
-        return counted.select("query_id", F.inline(pair)).filter("value > 0")
+        placed = counted.join(self.queries, "query_id")
+        return placed.select("chunk", "position", F.inline(pair)).filter("value > 0")
 
     def macro_f1(self) -> DataFrame:
         return macro_f1_of(self.weighted_sums(self.cell_entries()))
 
-    def ranked(self) -> DataFrame:
-        return with_buckets(review_queue(self.scored)).withColumn("is_error", is_error().cast("bigint"))
+    def ranked(self, queue: DataFrame | None = None) -> DataFrame:
+        queue = review_queue(self.scored) if queue is None else queue
+        chunks = math.ceil(self.n_queries / self.size)
+        narrow = queue.select("query_id", "queue_rank", "label", is_error().cast("bigint").alias("is_error"))
+        return with_buckets(narrow, max(chunks, 1))
 
     def audit_yield(self, budget: float) -> DataFrame:
         queue = self.ranked()
@@ -213,7 +215,8 @@ class Resampler:
                 F.sum(F.when(is_items, 0).otherwise(F.col("total"))).alias("errors"),
             )
         )
-        cuts = find_cuts(buckets, "replicate", [budget])
+        # At most one row per replicate, used on both sides of the lookup below.
+        cuts = stage(find_cuts(buckets, "replicate", [budget]), "cuts")
         at_cut = (
             queue.join(cuts.select("replicate", "bucket"), "bucket")
             .join(self.queries, "query_id")
@@ -222,13 +225,15 @@ class Resampler:
         weights = self.weigher()
 
         def fill(rows: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.assign(weight=0)
-            counts = draws.set_index("replicate")["draws"]
-            for replicate, part in rows.groupby("replicate"):
-                if replicate in counts.index:
-                    drawn = weights(int(part["chunk"].iloc[0]), replicate, counts[replicate])
-                    rows.loc[part.index, "weight"] = drawn[part["position"].to_numpy()]
-            return rows.loc[rows["weight"] > 0, ["replicate", "bucket", "queue_rank", "weight", "is_error"]]
+            rows = rows.sort_values("replicate", ignore_index=True)
+            replicates, position = rows["replicate"].to_numpy(), rows["position"].to_numpy()
+            weight = np.zeros(len(rows), dtype=np.int64)
+            for chunk, replicate, count in draws[["chunk", "replicate", "draws"]].itertuples(index=False):
+                start, end = np.searchsorted(replicates, [replicate, replicate + 1])
+                if start < end:
+                    weight[start:end] = weights(chunk, replicate, count)[position[start:end]]
+            rows["weight"] = weight
+            return rows.loc[weight > 0, ["replicate", "bucket", "queue_rank", "weight", "is_error"]]
 
         weighted = self.per_chunk(
             at_cut, fill, "replicate bigint, bucket bigint, queue_rank bigint, weight bigint, is_error bigint"
@@ -276,15 +281,16 @@ def bootstrap_intervals(
     replicates: int = BOOTSTRAP_REPLICATES,
     seed: int = SEED,
     confidence: float = CONFIDENCE,
+    queue: DataFrame | None = None,
 ) -> DataFrame:
     """Point, percentile bounds and valid replicates of the four statistics.
 
     Always four rows; with fewer than two queries the bounds are null and the
-    status says so.
+    status says so. ``queue`` is the ranked pool, where the caller has it.
     """
     check_budgets([budget])
     sampler = Resampler(scored, replicates, seed)
-    queue = sampler.ranked()
+    queue = sampler.ranked(queue)
     entries = sampler.cell_entries().unionByName(sampler.queue_entries(queue))
     sums = stage(sampler.weighted_sums(entries), "bootstrap-sums")
     yields = sampler.yields_of(queue, sums, budget)

@@ -15,14 +15,15 @@ from judgelens.functions.text import ratio_or_null
 from judgelens.operators.review import budget_count, check_budgets
 
 
-def with_buckets(queue: DataFrame) -> DataFrame:
-    """Add ``bucket`` to a ranked queue: about sqrt(n) buckets of sqrt(n) rows.
+def with_buckets(queue: DataFrame, parts: int = 1) -> DataFrame:
+    """Add ``bucket`` to a ranked queue, a run of sqrt(n * parts) ranks.
 
-    Both the bucket table and the rows of one bucket then stay small against
-    the queue, whatever its size.
+    ``parts`` is the number of places that each sum up every bucket. The sums
+    of all places and the rows of one bucket then grow alike, and both stay
+    small against the queue.
     """
     size = queue.agg(F.count("*").alias("n")).scalar()
-    width = F.greatest(F.ceil(F.sqrt(size.cast("double"))), F.lit(1))
+    width = F.greatest(F.ceil(F.sqrt(size.cast("double") * parts)), F.lit(1))
     return queue.withColumn("bucket", F.floor((F.col("queue_rank") - 1) / width).cast("bigint"))
 
 

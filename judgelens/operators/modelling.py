@@ -21,37 +21,56 @@ from judgelens.constants import (
 from judgelens.operators import classification as C
 
 
-def pipeline() -> Pipeline:
-    """Assemble, standardise and fit; the scaler learns from the fitted rows only."""
+def feature_stages() -> Pipeline:
+    """Assemble and standardise; the scaler learns from the fitted rows only."""
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(FEATURES), outputCol="raw_features"),
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            LogisticRegression(
-                featuresCol="features",
-                labelCol="target",
-                weightCol="fit_weight",
-                family="multinomial",
-                regParam=REG_PARAM,
-                elasticNetParam=0.0,
-                maxIter=MAX_ITER,
-                tol=TOLERANCE,
-            ),
         ]
     )
 
 
-def training_weights(train: DataFrame, balanced: bool) -> dict[str, float] | None:
+def classifier() -> LogisticRegression:
+    return LogisticRegression(
+        featuresCol="features",
+        labelCol="target",
+        weightCol="fit_weight",
+        family="multinomial",
+        regParam=REG_PARAM,
+        elasticNetParam=0.0,
+        maxIter=MAX_ITER,
+        tol=TOLERANCE,
+    )
+
+
+def training_weights(train: DataFrame) -> dict[str, float]:
     """Balancing weight of each class (at most four rows); all classes must occur."""
     counted = {row["label"]: row["weight"] for row in C.class_weights(train).collect()}
     if set(counted) != set(LABELS):
         raise ValueError("training data must hold exactly the four classes")
-    return {label: counted[label] for label in LABELS} if balanced else None
+    return {label: counted[label] for label in LABELS}
+
+
+def fit_candidates(train: DataFrame, candidates=CANDIDATES) -> dict[str, PipelineModel]:
+    """Fit every candidate; they share one scaler and differ in their row weights.
+
+    Rows are not cached here: the solver keeps its own standardised blocks,
+    and a second copy of the training data would only take their memory.
+    """
+    weights = training_weights(train)
+    encoded = C.encode_label(train).select("label", "target", *FEATURES)
+    scaling = feature_stages().fit(encoded)
+    vectors = scaling.transform(encoded).select("label", "target", "features")
+    models = {}
+    for name, balanced in candidates:
+        fitted = classifier().fit(C.with_weights(vectors, weights if balanced else None))
+        models[name] = PipelineModel([*scaling.stages, fitted])
+    return models
 
 
 def fit_relevance_model(train: DataFrame, balanced: bool) -> PipelineModel:
-    weights = training_weights(train, balanced)
-    return pipeline().fit(C.with_weights(C.encode_label(train), weights))
+    return fit_candidates(train, [("model", balanced)])["model"]
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -35,8 +35,11 @@ def slice_grid(spark) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(names).alias("slice"))
 
 
-def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS) -> DataFrame:
-    """Classification and review metrics of every slice; empty slices stay as rows."""
+def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame | None = None) -> DataFrame:
+    """Classification and review metrics of every slice; empty slices stay as rows.
+
+    ``queue`` is the ranked pool with the slice inputs, where the caller has it.
+    """
     exact = C.LABELS[0]
     quality = C.contingency(slice_tags(scored), "slice").select(
         "slice",
@@ -46,8 +49,8 @@ def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS) -> DataFrame:
         C.accuracy().alias("accuracy"),
         C.macro_f1().alias("macro_f1"),
     )
-    queue = with_buckets(review_queue(scored, *SLICE_INPUTS))
-    rows = slice_tags(queue).select(
+    queue = review_queue(scored, *SLICE_INPUTS) if queue is None else queue
+    rows = slice_tags(with_buckets(queue)).select(
         "slice",
         "bucket",
         "queue_rank",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from judgelens.constants import HASH_BUCKETS, SEED, VALIDATION_BUCKETS
 from judgelens.functions.hashing import KeyHash, hash_bucket, xxhash_key
 from judgelens.functions.text import normalize_query
+from judgelens.sources.staging import stage
 
 
 def with_query_norm(pairs: DataFrame) -> DataFrame:
@@ -30,6 +31,11 @@ def query_profile(pairs: DataFrame) -> DataFrame:
     )
 
 
+def staged_profile(pairs: DataFrame) -> DataFrame:
+    """The profile as a stored table, for callers that ask it several questions."""
+    return stage(query_profile(pairs), "query-profile")
+
+
 def _on_both_sides(profile: DataFrame, key: str) -> DataFrame:
     sides = profile.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.bool_or("in_train").alias("in_train"), F.bool_or("in_test").alias("in_test")
@@ -37,37 +43,68 @@ def _on_both_sides(profile: DataFrame, key: str) -> DataFrame:
     return sides.filter("in_train AND in_test").select(key)
 
 
+def overlap_ids_of(profile: DataFrame) -> DataFrame:
+    return _on_both_sides(profile, "query_id")
+
+
+def overlap_texts_of(profile: DataFrame) -> DataFrame:
+    return _on_both_sides(profile, "query_norm")
+
+
+def leaky_ids_of(profile: DataFrame) -> DataFrame:
+    by_text = (
+        profile.filter("in_train")
+        .join(overlap_texts_of(profile), "query_norm", "left_semi")
+        .select("query_id")
+    )
+    return by_text.union(overlap_ids_of(profile)).distinct()
+
+
+def text_conflicts_of(profile: DataFrame) -> DataFrame:
+    """A profile row is one text of one query id, so counting rows counts texts."""
+    texts = profile.filter(F.col("query_id").isNotNull()).groupBy("query_id")
+    return texts.agg(F.count("*").alias("text_count")).filter("text_count > 1")
+
+
 def split_overlap_ids(pairs: DataFrame) -> DataFrame:
     """Query ids present in both official splits."""
-    return _on_both_sides(query_profile(pairs), "query_id")
+    return overlap_ids_of(query_profile(pairs))
 
 
 def split_overlap_texts(pairs: DataFrame) -> DataFrame:
     """Normalised query texts present in both official splits."""
-    return _on_both_sides(query_profile(pairs), "query_norm")
+    return overlap_texts_of(query_profile(pairs))
 
 
 def leaky_query_ids(pairs: DataFrame) -> DataFrame:
     """Ids of train queries that share their id or their text with test."""
-    profile = query_profile(pairs)
-    by_text = (
-        profile.filter("in_train")
-        .join(_on_both_sides(profile, "query_norm"), "query_norm", "left_semi")
-        .select("query_id")
-    )
-    return by_text.union(_on_both_sides(profile, "query_id")).distinct()
+    return leaky_ids_of(staged_profile(pairs))
+
+
+def query_text_conflicts(pairs: DataFrame) -> DataFrame:
+    """Query ids that carry more than one normalised text."""
+    return text_conflicts_of(query_profile(pairs))
 
 
-def drop_leaky_groups(pairs: DataFrame) -> DataFrame:
+def drop_leaky_groups(pairs: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """Train pairs without any pair of a leaky query group."""
+    profile = staged_profile(pairs) if profile is None else profile
     train = with_query_norm(pairs).filter(F.col("split") == "train")
-    return train.join(leaky_query_ids(pairs), "query_id", "left_anti").select(*train.columns)
+    return train.join(leaky_ids_of(profile), "query_id", "left_anti").select(*train.columns)
 
 
-def assign_splits(pairs: DataFrame, seed: int = SEED, key_hash: KeyHash = xxhash_key) -> DataFrame:
-    """Keep test whole, drop leaky train groups, hash the rest by query text."""
+def assign_splits(
+    pairs: DataFrame,
+    seed: int = SEED,
+    key_hash: KeyHash = xxhash_key,
+    profile: DataFrame | None = None,
+) -> DataFrame:
+    """Keep test whole, drop leaky train groups, hash the rest by query text.
+
+    ``profile`` is the staged query profile, where the caller already has it.
+    """
     validation = hash_bucket("query_norm", HASH_BUCKETS, seed, key_hash) < VALIDATION_BUCKETS
-    train = drop_leaky_groups(pairs).withColumn(
+    train = drop_leaky_groups(pairs, profile).withColumn(
         "dataset_split", F.when(validation, "validation").otherwise("train")
     )
     test = (
@@ -123,13 +160,3 @@ def pair_overlap(pairs: DataFrame) -> DataFrame:
         .filter("in_train AND in_test")
         .select("query_id", "product_id")
     )
-
-
-def query_text_conflicts(pairs: DataFrame) -> DataFrame:
-    """Query ids that carry more than one normalised text."""
-    return (
-        with_query_norm(pairs)
-        .groupBy("query_id")
-        .agg(F.countDistinct("query_norm").alias("text_count"))
-        .filter("text_count > 1")
-    )

@@ -8,15 +8,19 @@ from judgelens.constants import SEED
 from judgelens.functions.hashing import KeyHash, xxhash_key
 from judgelens.operators import audits, joins
 from judgelens.operators.features import lexical_features
-from judgelens.operators.splits import assert_disjoint, assign_splits
+from judgelens.operators.splits import assert_disjoint, assign_splits, staged_profile
 from judgelens.sources.tables import feature_projection, read_features, write_features
 
 
 def prepare_features(
-    pairs: DataFrame, products: DataFrame, seed: int = SEED, key_hash: KeyHash = xxhash_key
+    pairs: DataFrame,
+    products: DataFrame,
+    seed: int = SEED,
+    key_hash: KeyHash = xxhash_key,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Split, join, flag and featurise in-scope pairs; lazy, without the gates."""
-    assigned = assign_splits(pairs, seed, key_hash)
+    """Split, join, flag and featurise in-scope pairs, without the gates."""
+    assigned = assign_splits(pairs, seed, key_hash, profile)
     joined = joins.attach_products_and_seen(assigned, products)
     return feature_projection(lexical_features(joined))
 
@@ -33,8 +37,9 @@ def prepare(
     """Validate, build and save the feature table; return it as read back from storage."""
     pairs = joins.scope_pairs(pairs, locale)
     products = joins.scope_products(products, locale)
-    audits.assert_valid(pairs, products)
-    write_features(prepare_features(pairs, products, seed, key_hash), path)
+    profile = staged_profile(pairs)
+    audits.assert_valid(pairs, products, profile)
+    write_features(prepare_features(pairs, products, seed, key_hash, profile), path)
     saved = read_features(spark, path)
     assert_disjoint(saved)
     return saved

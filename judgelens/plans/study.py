@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelens.constants import BOOTSTRAP_BUDGET, BOOTSTRAP_REPLICATES, CANDIDATES, REVIEW_BUDGETS
+from judgelens.constants import BOOTSTRAP_BUDGET, BOOTSTRAP_REPLICATES, REVIEW_BUDGETS
 from judgelens.operators import classification as C
 from judgelens.operators import modelling as M
 from judgelens.operators import provenance, review
 from judgelens.operators.bootstrap import bootstrap_intervals
-from judgelens.operators.slices import slice_metrics
+from judgelens.operators.slices import SLICE_INPUTS, slice_metrics
 from judgelens.sources.files import artifact_manifest
 from judgelens.sources.tables import read_features, read_scored, read_split, write_metrics, write_scored
 
@@ -26,11 +26,10 @@ def train(spark: SparkSession, root: str) -> DataFrame:
     validation tables, metrics, the manifest and the frozen record below root.
     """
     features = f"{root}/features"
-    fit_rows = read_split(spark, features, "train").persist()
+    fit_rows = read_split(spark, features, "train")
     valid = read_split(spark, features, "validation")
     scored = {"majority": C.baseline_scored(fit_rows, valid)}
-    for name, balanced in CANDIDATES:
-        model = M.fit_relevance_model(fit_rows, balanced)
+    for name, model in M.fit_candidates(fit_rows).items():
         M.save_model(model, f"{root}/models/{name}")
         write_scored(M.score(model, valid), f"{root}/scored/{name}_validation")
         scored[name] = read_scored(spark, f"{root}/scored/{name}_validation")
@@ -45,7 +44,6 @@ def train(spark: SparkSession, root: str) -> DataFrame:
         comparison, fit_rows, read_features(spark, features), spark.read.parquet(f"{root}/manifest")
     )
     write_metrics(record, f"{root}/freeze")
-    fit_rows.unpersist()
     return comparison
 
 
@@ -64,7 +62,7 @@ def evaluate(
     write_scored(M.score(M.load_model(f"{root}/models/{selected}"), test), f"{root}/scored/test")
     scored = read_scored(spark, f"{root}/scored/test")
     C.assert_scored(scored)
-    queue = review.review_queue(scored)
+    queue = review.review_queue(scored, *SLICE_INPUTS)
     results = {
         "classification": C.classification_summary(scored),
         "per_class": C.per_class_metrics(scored),
@@ -73,8 +71,8 @@ def evaluate(
         "review": review.review_metrics(queue, budgets),
         "review_expected_random": review.review_expected_random(queue, budgets),
         "review_random_draws": review.review_random_draws(queue, budgets),
-        "uncertainty": bootstrap_intervals(scored, BOOTSTRAP_BUDGET, replicates),
-        "slices": slice_metrics(scored, budgets),
+        "uncertainty": bootstrap_intervals(scored, BOOTSTRAP_BUDGET, replicates, queue=queue),
+        "slices": slice_metrics(scored, budgets, queue),
     }
     for name, metrics in results.items():
         write_metrics(metrics, f"{root}/metrics/test_{name}")

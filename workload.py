@@ -286,7 +286,7 @@ def blank_titles(spark, sf):
 def data_audit(spark, sf):
     pairs, products = fx.scoped_tables(spark, sf)
     joined = joins.attach_products(pairs, products)
-    return audits.data_audit(pairs, products, joined, splits.assign_splits(pairs, key_hash=sha_key))
+    return audits.data_audit(pairs, products, joined, splits.staged_profile(pairs))
 
 
 def excluded_rows(spark, sf):
@@ -478,8 +478,8 @@ def model_roundtrip(spark, sf):
 def _selection(spark, sf):
     path, train, valid = _model_inputs(spark, sf)
     scored = {"majority": C.baseline_scored(train, valid)}
-    for name, balanced in M.CANDIDATES:
-        scored[name] = stage(M.score(M.fit_relevance_model(train, balanced), valid), "scored")
+    for name, model in M.fit_candidates(train).items():
+        scored[name] = stage(M.score(model, valid), "scored")
     return path, train, M.compare_models(scored)
 
 
