@@ -1,7 +1,9 @@
 """Time the three study stages and single operators; prints one JSON line.
 
 The two input tables are derived and stored first, outside the clock, as the
-stages read stored Parquet. Every timed step runs its full input once.
+stages read stored Parquet. The stages then run once untimed, to load classes
+and compile code, and once more from the start with the clock on; nothing is
+cached between the two passes.
 """
 
 from __future__ import annotations
@@ -60,13 +62,18 @@ def main() -> None:
         """Run a plan in full without moving its rows."""
         df.write.format("noop").mode("overwrite").save()
 
-    def evaluate():
-        for frame in study.evaluate(spark, root).values():
+    def evaluate(folder):
+        for frame in study.evaluate(spark, folder).values():
             frame.collect()
 
+    # One untimed pass over the same tables loads classes and compiles code.
+    prepare(spark, pairs, products, fx.LOCALE, f"{work}/warm-up/features")
+    study.train(spark, f"{work}/warm-up").collect()
+    evaluate(f"{work}/warm-up")
+
     saved = clock("prepare", lambda: prepare(spark, pairs, products, fx.LOCALE, f"{root}/features"))
     clock("train", lambda: study.train(spark, root).collect())
-    clock("evaluate", evaluate)
+    clock("evaluate", lambda: evaluate(root))
     stages = sum(seconds.values())
 
     scored = tables.read_scored(spark, f"{root}/scored/test")
@@ -86,7 +93,7 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "prepare + train + evaluate, wall seconds",
+                "metric": "prepare + train + evaluate, wall seconds after one untimed pass",
                 "value": round(stages, 3),
                 "unit": "sec",
                 "queries": seconds,

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from judgelens.constants import LABELS, OFFICIAL_SPLITS, PRODUCT_KEYS
 from judgelens.functions.text import is_blank, normalize_query
 from judgelens.operators import splits
+from judgelens.plans.parallel import run_all
 
 QUANTILES = {"p50_candidates": 0.5, "p90_candidates": 0.9, "p99_candidates": 0.99}
 
@@ -127,16 +128,25 @@ def validate_products(products: DataFrame) -> DataFrame:
 def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | None = None) -> None:
     """Stop on broken rows, duplicate keys or query ids with several texts."""
     profile = splits.query_profile(pairs) if profile is None else profile
-    invalid = validate_pairs(pairs).first().asDict()
-    if invalid["invalid_pairs"]:
-        raise ValueError(f"invalid pairs: {invalid}")
-    if validate_products(products).first()["missing_product_key"]:
+    found = run_all(
+        pairs.sparkSession,
+        {
+            "pairs": lambda: validate_pairs(pairs).first().asDict(),
+            "keyless": lambda: validate_products(products).first()["missing_product_key"],
+            "products": lambda: duplicate_keys(products, PRODUCT_KEYS).isEmpty(),
+            "examples": lambda: duplicate_keys(pairs, ["example_id"]).isEmpty(),
+            "texts": lambda: splits.text_conflicts_of(profile).isEmpty(),
+        },
+    )
+    if found["pairs"]["invalid_pairs"]:
+        raise ValueError(f"invalid pairs: {found['pairs']}")
+    if found["keyless"]:
         raise ValueError("a product has no join key")
-    if not duplicate_keys(products, PRODUCT_KEYS).isEmpty():
+    if not found["products"]:
         raise ValueError("duplicate product keys: the join would multiply pairs")
-    if not duplicate_keys(pairs, ["example_id"]).isEmpty():
+    if not found["examples"]:
         raise ValueError("duplicate example ids")
-    if not splits.text_conflicts_of(profile).isEmpty():
+    if not found["texts"]:
         raise ValueError("a query id has several normalised texts")
 
 

@@ -74,8 +74,7 @@ def query_contingency(scored: DataFrame) -> DataFrame:
     return contingency(scored, "query_id")
 
 
-def confusion_matrix(scored: DataFrame) -> DataFrame:
-    """Dense 16-row matrix: label is the judged class, prediction the predicted one."""
+def matrix_of(cells: DataFrame) -> DataFrame:
     rows = [
         F.struct(
             F.lit(label).alias("label"),
@@ -85,7 +84,12 @@ def confusion_matrix(scored: DataFrame) -> DataFrame:
         for label in LABELS
         for prediction in LABELS
     ]
-    return contingency(scored).select(F.inline(F.array(*rows)))
+    return cells.select(F.inline(F.array(*rows)))
+
+
+def confusion_matrix(scored: DataFrame) -> DataFrame:
+    """Dense 16-row matrix: label is the judged class, prediction the predicted one."""
+    return matrix_of(contingency(scored))
 
 
 def support(label: str) -> Column:
@@ -115,7 +119,7 @@ def macro_f1() -> Column:
     return F.when(n_rows() > 0, mean)
 
 
-def per_class_metrics(scored: DataFrame) -> DataFrame:
+def per_class_of(cells: DataFrame) -> DataFrame:
     rows = []
     for label in LABELS:
         correct = F.col(cell(label, label))
@@ -129,11 +133,16 @@ def per_class_metrics(scored: DataFrame) -> DataFrame:
                 class_f1(label).alias("f1"),
             )
         )
-    return contingency(scored).select(F.inline(F.array(*rows)))
+    return cells.select(F.inline(F.array(*rows)))
 
 
-def classification_summary(scored: DataFrame, *groups: str) -> DataFrame:
-    return contingency(scored, *groups).select(
+def per_class_metrics(scored: DataFrame) -> DataFrame:
+    """Support, predictions, precision, recall and F1 of each of the four classes."""
+    return per_class_of(contingency(scored))
+
+
+def summary_of(cells: DataFrame, *groups: str) -> DataFrame:
+    return cells.select(
         *groups,
         n_rows().alias("n_rows"),
         accuracy().alias("accuracy"),
@@ -141,11 +150,14 @@ def classification_summary(scored: DataFrame, *groups: str) -> DataFrame:
     )
 
 
-def predicted_exact_summary(scored: DataFrame) -> DataFrame:
-    """Size, coverage and errors of the pool predicted as the first class."""
+def classification_summary(scored: DataFrame, *groups: str) -> DataFrame:
+    return summary_of(contingency(scored, *groups), *groups)
+
+
+def exact_of(cells: DataFrame) -> DataFrame:
     exact = LABELS[0]
     errors = predicted(exact) - F.col(cell(exact, exact))
-    return contingency(scored).select(
+    return cells.select(
         predicted(exact).alias("pool_size"),
         ratio_or_null(predicted(exact), n_rows()).alias("coverage"),
         errors.alias("errors"),
@@ -154,6 +166,11 @@ def predicted_exact_summary(scored: DataFrame) -> DataFrame:
     )
 
 
+def predicted_exact_summary(scored: DataFrame) -> DataFrame:
+    """Size, coverage and errors of the pool predicted as the first class."""
+    return exact_of(contingency(scored))
+
+
 def error_rows(scored: DataFrame) -> DataFrame:
     return scored.filter(F.col("label") != F.col("prediction"))
 

@@ -7,6 +7,8 @@ driver.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from judgelens.constants import BOOTSTRAP_BUDGET, BOOTSTRAP_REPLICATES, REVIEW_BUDGETS
@@ -15,7 +17,9 @@ from judgelens.operators import modelling as M
 from judgelens.operators import provenance, review
 from judgelens.operators.bootstrap import bootstrap_intervals
 from judgelens.operators.slices import SLICE_INPUTS, slice_metrics
+from judgelens.plans.parallel import run_all
 from judgelens.sources.files import artifact_manifest
+from judgelens.sources.staging import stage
 from judgelens.sources.tables import read_features, read_scored, read_split, write_metrics, write_scored
 
 
@@ -29,11 +33,16 @@ def train(spark: SparkSession, root: str) -> DataFrame:
     fit_rows = read_split(spark, features, "train")
     valid = read_split(spark, features, "validation")
     scored = {"majority": C.baseline_scored(fit_rows, valid)}
-    for name, model in M.fit_candidates(fit_rows).items():
-        M.save_model(model, f"{root}/models/{name}")
-        write_scored(M.score(model, valid), f"{root}/scored/{name}_validation")
+    models = M.fit_candidates(fit_rows)
+
+    def keep(name: str) -> None:
+        M.save_model(models[name], f"{root}/models/{name}")
+        write_scored(M.score(models[name], valid), f"{root}/scored/{name}_validation")
+        write_metrics(M.model_coefficients(spark, models[name]), f"{root}/metrics/{name}_coefficients")
+
+    run_all(spark, {name: partial(keep, name) for name in models})
+    for name in models:
         scored[name] = read_scored(spark, f"{root}/scored/{name}_validation")
-        write_metrics(M.model_coefficients(spark, model), f"{root}/metrics/{name}_coefficients")
     comparison = M.compare_models(scored)
     write_metrics(comparison, f"{root}/metrics/validation")
     comparison = spark.read.schema(comparison.schema).json(f"{root}/metrics/validation")
@@ -63,20 +72,22 @@ def evaluate(
     scored = read_scored(spark, f"{root}/scored/test")
     C.assert_scored(scored)
     queue = review.review_queue(scored, *SLICE_INPUTS)
-    results = {
-        "classification": C.classification_summary(scored),
-        "per_class": C.per_class_metrics(scored),
-        "confusion": C.confusion_matrix(scored),
-        "predicted_exact": C.predicted_exact_summary(scored),
-        "review": review.review_metrics(queue, budgets),
-        "review_expected_random": review.review_expected_random(queue, budgets),
-        "review_random_draws": review.review_random_draws(queue, budgets),
-        "uncertainty": bootstrap_intervals(scored, BOOTSTRAP_BUDGET, replicates, queue=queue),
-        "slices": slice_metrics(scored, budgets, queue),
-    }
-    for name, metrics in results.items():
-        write_metrics(metrics, f"{root}/metrics/test_{name}")
-    return {
-        name: spark.read.schema(metrics.schema).json(f"{root}/metrics/test_{name}")
-        for name, metrics in results.items()
+    cells = stage(C.contingency(scored), "cells")
+    measures = {
+        "classification": lambda: C.summary_of(cells),
+        "per_class": lambda: C.per_class_of(cells),
+        "confusion": lambda: C.matrix_of(cells),
+        "predicted_exact": lambda: C.exact_of(cells),
+        "review": lambda: review.review_metrics(queue, budgets),
+        "review_expected_random": lambda: review.review_expected_random(queue, budgets),
+        "review_random_draws": lambda: review.review_random_draws(queue, budgets),
+        "uncertainty": lambda: bootstrap_intervals(scored, BOOTSTRAP_BUDGET, replicates, queue=queue),
+        "slices": lambda: slice_metrics(scored, budgets, queue),
     }
+
+    def measure(name: str) -> DataFrame:
+        metrics, path = measures[name](), f"{root}/metrics/test_{name}"
+        write_metrics(metrics, path)
+        return spark.read.schema(metrics.schema).json(path)
+
+    return run_all(spark, {name: partial(measure, name) for name in measures})
