@@ -224,20 +224,23 @@ class Resampler:
         )
         weights = self.weigher()
 
-        def fill(rows: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("replicate", ignore_index=True)
-            replicates, position = rows["replicate"].to_numpy(), rows["position"].to_numpy()
-            weight = np.zeros(len(rows), dtype=np.int64)
+        def fill(keys: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+            keys = keys.sort_values("replicate", ignore_index=True)
+            replicates, position = keys["replicate"].to_numpy(), keys["position"].to_numpy()
+            weight = np.zeros(len(keys), dtype=np.int64)
             for chunk, replicate, count in draws[["chunk", "replicate", "draws"]].itertuples(index=False):
                 start, end = np.searchsorted(replicates, [replicate, replicate + 1])
                 if start < end:
                     weight[start:end] = weights(chunk, replicate, count)[position[start:end]]
-            rows["weight"] = weight
-            return rows.loc[weight > 0, ["replicate", "bucket", "queue_rank", "weight", "is_error"]]
+            return keys.assign(weight=weight)[weight > 0]
 
-        weighted = self.per_chunk(
-            at_cut, fill, "replicate bigint, bucket bigint, queue_rank bigint, weight bigint, is_error bigint"
+        # Only distinct (replicate, query) keys go to the chunks, so a query with
+        # very many pairs is one key there; its pairs meet the weight in a join.
+        key = ["replicate", "chunk", "position"]
+        drawn = self.per_chunk(
+            at_cut.select(*key).distinct(), fill, "replicate bigint, chunk bigint, position bigint, weight bigint"
         )
+        weighted = at_cut.join(drawn, key)
         return cut_yields(cuts, weighted, "replicate").select(
             "replicate",
             "n_reviewed",

@@ -46,7 +46,8 @@ def classifier() -> LogisticRegression:
 
 def training_weights(train: DataFrame) -> dict[str, float]:
     """Balancing weight of each class (at most four rows); all classes must occur."""
-    counted = {row["label"]: row["weight"] for row in C.class_weights(train).collect()}
+    classes = C.class_weights(train).limit(len(LABELS) + 1).collect()
+    counted = {row["label"]: row["weight"] for row in classes}
     if set(counted) != set(LABELS):
         raise ValueError("training data must hold exactly the four classes")
     return {label: counted[label] for label in LABELS}

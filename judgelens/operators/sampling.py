@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from judgelens.constants import (
     CASES_PER_CELL,
     EVIDENCE_COLUMNS,
+    LABELS,
     REVIEW_FORM_FIELDS,
     SAMPLE_MODULUS,
     SEED,
@@ -15,6 +16,9 @@ from judgelens.constants import (
 from judgelens.functions.hashing import KeyHash, hash_bucket, xxhash_key
 from judgelens.operators.classification import error_rows
 
+ERROR_CELLS = len(LABELS) * (len(LABELS) - 1)
+BROADCAST_ROWS = 100_000
+
 
 def sample_queries(
     pairs: DataFrame, modulus: int = SAMPLE_MODULUS, seed: int = SEED, key_hash: KeyHash = xxhash_key
@@ -58,15 +62,18 @@ def stratified_error_sample(
     )
 
 
-def attach_evidence(cases: DataFrame, features: DataFrame) -> DataFrame:
+def attach_evidence(cases: DataFrame, features: DataFrame, per_cell: int = CASES_PER_CELL) -> DataFrame:
     """Give every sampled case its text and evidence columns from the feature table.
 
-    A sample holds at most 12 cells times ``per_cell`` rows, so its ids are
-    broadcast and the feature table is filtered in place, not shuffled.
+    A sample holds at most 12 cells times ``per_cell`` rows. While that bound
+    is small its ids are broadcast and the feature table is filtered in place;
+    for larger samples the join is left to Spark.
     """
     ids = cases.select("example_id")
+    if ERROR_CELLS * per_cell <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
     evidence = (
-        features.join(F.broadcast(ids), "example_id", "left_semi")
+        features.join(ids, "example_id", "left_semi")
         .select(
             "example_id",
             "query",

@@ -14,7 +14,7 @@ def development_cases(
     scored: DataFrame, features: DataFrame, per_cell: int = CASES_PER_CELL, seed: int = SEED
 ) -> DataFrame:
     """Sampled errors with text, evidence and an empty review form."""
-    cases = attach_evidence(stratified_error_sample(scored, per_cell, seed), features)
+    cases = attach_evidence(stratified_error_sample(scored, per_cell, seed), features, per_cell)
     return annotate_cases(cases)
 
 

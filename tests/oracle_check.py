@@ -40,6 +40,15 @@ def table(columns, rows):
     return sorted(columns), sorted(found, key=repr)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_gaps(spark_df, con, sql: str):
+    """Columns whose declared types differ between the engines."""
+    kinds = {name: kind for name, kind, *_ in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(n, kind, kinds.get(n)) for n, kind in spark_df.dtypes if TYPES.get(kind) != kinds.get(n)]
+
+
 def compare(spark_df, con, sql: str):
     """None when both sides agree, else a short description."""
     rows = spark_df.collect()
@@ -71,7 +80,11 @@ def main():
         try:
             frame = queries[key](spark, sf_dir)
             if key in sqls:
-                problem, n = compare(frame, connect(sf_dir), sqls[key])
+                con = connect(sf_dir)
+                problem, n = compare(frame, con, sqls[key])
+                gaps = type_gaps(frame, con, sqls[key])
+                if gaps:
+                    print(f"     types of {key}: {gaps}")
             else:
                 problem, n = None, len(frame.collect())
         except Exception as error:  # report and go on with the next key
