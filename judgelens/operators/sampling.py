@@ -56,7 +56,7 @@ def stratified_error_sample(
     return (
         error_rows(scored)
         .select("example_id", "label", "prediction", "p_e", digest.alias("_digest"))
-        .withColumn("sample_rank", F.row_number().over(in_cell))
+        .withColumn("sample_rank", F.row_number().over(in_cell).cast("bigint"))
         .filter(F.col("sample_rank") <= per_cell)
         .drop("_digest")
     )

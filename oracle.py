@@ -500,7 +500,7 @@ SELECT count(*) AS row_count, count(*) FILTER (label NOT IN ('E', 'S', 'C', 'I')
     "case_annotations": f", {CASE_SAMPLE} SELECT *, {CASE_NOTES} FROM sampled",
     "development_cases": f", {CASE_SAMPLE} SELECT *, {CASE_NOTES} FROM ({CASE_EVIDENCE})",
     "case_csv_sink": f", {CASE_SAMPLE} SELECT example_id, label, prediction, p_e, {', '.join(EVIDENCE_COLUMNS)} FROM ({CASE_EVIDENCE})",
-    "stratified_error_sample": f", {CASE_SAMPLE} SELECT example_id, label, prediction, p_e, sample_rank::INT AS sample_rank FROM sampled",
+    "stratified_error_sample": f", {CASE_SAMPLE} SELECT example_id, label, prediction, p_e, sample_rank FROM sampled",
     "manifest_diff": f""", {MANIFESTS}
 SELECT path, CASE WHEN c.h IS NULL THEN 'missing' WHEN f.h IS NULL THEN 'added' ELSE 'changed' END AS status
 FROM frozen f FULL JOIN current c USING (path) WHERE f.h IS DISTINCT FROM c.h""",
