@@ -4,10 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelens.llm import mixing, packing, token_files
+from judgelens.llm import html_text, license_scan, mixing, packing, quality, token_counts, token_files, toxicity
 from judgelens.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of all documents."""
+    return license_scan.license_report(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest-match token counts of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdicts of all documents."""
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a model fitted on the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple-8b token table of all documents, written and read back."""
     return token_files.token_table(table(spark, sf_dir, "documents"), with_ids=False)
@@ -18,14 +39,24 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_token_counts": op2_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_html_text": op9_html_text,
     "op10_source_mixing": op10_source_mixing,
 }
 
