@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgelens.llm.common import as_texts, field_type, map_batches, pick, tokenizer_file
-from judgelens.llm.tokens import document_ids
+from judgelens.llm.common import field_type, map_batches, pick, tokenizer_file
+from judgelens.llm.tokens import encode_column
 from judgelens.sources.staging import stage
 
 CAPACITY = 1024
@@ -123,16 +123,19 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def pieces(batch: pa.RecordBatch) -> pa.Table:
         row, piece, starts, lengths, sums, raws = [], [], [], [], [], []
-        for k, ids in enumerate(document_ids(as_texts(batch.column("text")), path)):
-            for number, (start, length) in enumerate(cut(len(ids), capacity)):
-                raw = ids[start : start + length].tobytes()
-                row.append(k)
-                piece.append(number)
-                starts.append(start)
-                lengths.append(length)
-                sums.append(zlib.crc32(raw))
-                if with_ids:
-                    raws.append(raw)
+        for first, ids, ends in encode_column(batch.column("text"), path):
+            begin = 0
+            for k, end in enumerate(ends.tolist(), first):
+                for number, (start, length) in enumerate(cut(end - begin, capacity)):
+                    raw = ids[begin + start : begin + start + length].tobytes()
+                    row.append(k)
+                    piece.append(number)
+                    starts.append(start)
+                    lengths.append(length)
+                    sums.append(zlib.crc32(raw))
+                    if with_ids:
+                        raws.append(raw)
+                begin = end
         return pa.table(
             {
                 "doc_id": batch.column("doc_id").take(pa.array(row, pa.int64())),

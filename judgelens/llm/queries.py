@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelens.llm import html_text, license_scan, mixing, packing, quality, token_counts, token_files, toxicity
+from judgelens.llm import embedding_dedup, html_text, license_scan, mixing, packing, quality, token_counts, token_files, toxicity
 from judgelens.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdicts of all documents."""
     return quality.quality_report(table(spark, sf_dir, "documents"))
@@ -52,6 +57,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
@@ -61,3 +67,24 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {}
+
+SQL["op3_embedding_dedup"] = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+  SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM vectors
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM vectors
+  UNION
+  SELECT links.b, reach.seen FROM reach JOIN links ON links.a = reach.node
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT node AS vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(seen) AS component_id, node = min(seen) AS kept
+FROM reach LEFT JOIN counts ON a = node GROUP BY node
+"""

@@ -8,7 +8,7 @@ offset of each document and the offset of each ``STRIDE``-th word, so a reader
 decodes whole arrays at once and may start inside a block.
 
 A token table is a folder of Parquet files in ascending document order; a row is
-a block (``part, block, n_ids, doc_ids, ends, words``). Spark writes it wherever
+a block (``part, block, first, n_ids, doc_ids, ends, marks, words``). Spark writes it wherever
 a cluster can write, and a reader needs the rows of a block only.
 
 Defined results: a null text is an empty one and has the end id alone; rows with
@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgelens.llm.common import as_texts, field_type, parts, pick, tokenizer_file
-from judgelens.llm.tokens import document_ids
+from judgelens.llm.common import field_type, parts, pick, tokenizer_file
+from judgelens.llm.tokens import encode_column
 from judgelens.sources.staging import new_path
 
 # Fixed values of the Simple-8b coding: values per word by selector, and bits of a value.
@@ -46,22 +46,18 @@ def encode_words(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     raw = values >= ROOM  # the largest 60-bit value is left for the escape
-    width = np.zeros(n, np.int64)
-    for bits in sorted(set(BITS.tolist())):
-        width[values >> np.uint64(min(bits, 63)) > 0] = bits + 1
-    width[raw] = 61
-    # selector[k]: the one that packs most values from k on; a window must not leave the block or hold a wider value.
+    width = np.where(raw, 61, np.frexp(values.astype(np.float64))[1])
+    width[values >> np.uint64(53) > 0] = 61  # no selector but the last takes such values
+    # selector[k]: the one that packs most values from k on; its window must not leave the block or hold a wider value.
     selector = np.full(n, 15)
-    undecided = np.ones(n, bool)
-    for s in range(15):
-        size = VALUES[s]
-        if size > n:
-            continue
-        wide = np.concatenate([[0], np.cumsum(width > BITS[s])])
-        fits = np.zeros(n, bool)
-        fits[: n - size + 1] = wide[size:] == wide[:-size]
-        selector[fits & undecided] = s
-        undecided &= ~fits
+    for s in range(14, -1, -1):
+        wide = np.concatenate([[-1], np.flatnonzero(width > BITS[s]), [n]])
+        room = np.diff(wide) - VALUES[s]  # starts that fit into the run between two wider values
+        runs = np.flatnonzero(room > 0)
+        if len(runs):
+            spans = room[runs]
+            ends = np.cumsum(spans)
+            selector[np.repeat(wide[runs] + 1 - (ends - spans), spans) + np.arange(ends[-1])] = s
     jump = (np.arange(n) + VALUES[selector]).tolist()
     starts, at = [], 0
     while at < n:
@@ -143,6 +139,7 @@ def _block_schema(id_type: T.DataType) -> T.StructType:
         [
             T.StructField("part", T.IntegerType()),
             T.StructField("block", T.LongType()),
+            T.StructField("first", T.LongType()),  # ids ahead of the block in its part
             T.StructField("n_ids", T.LongType()),
             T.StructField("doc_ids", T.ArrayType(id_type)),
             T.StructField("ends", T.ArrayType(T.LongType())),
@@ -164,25 +161,26 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
         from pyspark.sql.pandas.types import to_arrow_schema
 
         part, number, arrow = TaskContext.get().partitionId(), 0, to_arrow_schema(schema)
-        names, ends, values, total = [], [], [], 0
+        names, ends, values, before, total = [], [], [], 0, 0
 
         def flush():
             raw, marks = encode_block(np.concatenate(values))
-            row = {"part": part, "block": number, "n_ids": total, "doc_ids": names, "ends": ends, "marks": marks, "words": raw}
+            row = {"part": part, "block": number, "first": before, "n_ids": total, "doc_ids": names, "ends": ends, "marks": marks, "words": raw}
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = as_texts(batch.column("text"))
-            for i in range(0, len(ids), 256):
-                for name, tokens in zip(ids[i : i + 256], document_ids(texts[i : i + 256], file)):
-                    total += len(tokens)
+            for first, tokens, stops in encode_column(batch.column("text"), file):
+                begin = 0
+                for name, stop in zip(ids[first : first + len(stops)], stops.tolist()):
+                    total += stop - begin
                     names.append(name)
                     ends.append(total)
-                    values.append(tokens)
+                    values.append(tokens[begin:stop])
+                    begin = stop
                     if total >= block_ids:
                         yield flush()
-                        names, ends, values, total, number = [], [], [], 0, number + 1
+                        names, ends, values, before, total, number = [], [], [], before + total, 0, number + 1
         if names:
             yield flush()
 
@@ -192,17 +190,11 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
 def read_token_table(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Per document of a token table: ``doc_id, start, n_tokens, ids_crc32[, ids]``."""
     stored = spark.read.parquet(path)
-    # One row per written file: bounded by the partitions of the writing job.
     sizes = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        stored.select("part", "block", "n_ids")
-        .withColumn("inside", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)))
-        .join(ahead, "part")
-        .select("part", "block", (F.col("ahead") + F.col("inside")).alias("base"))
-    )
+    # One row per written file: bounded by the partitions of the writing job. The blocks stay where they are read.
+    ahead = F.broadcast(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))
+    blocks = stored.join(ahead, "part").select((F.col("ahead") + F.col("first")).alias("base"), "doc_ids", "ends", "words")
     id_type = stored.schema["doc_ids"].dataType.elementType
     fields = [T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "ids_crc32"))]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
@@ -222,7 +214,7 @@ def read_token_table(spark: SparkSession, path: str, with_ids: bool = True) -> D
                 }
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(raws, pa.binary())} if with_ids else {}))
 
-    return stored.drop("marks").join(starts, ["part", "block"]).drop("part", "block", "n_ids").mapInArrow(documents, schema)
+    return blocks.mapInArrow(documents, schema)
 
 
 def token_table(docs: DataFrame, with_ids: bool = True, **options) -> DataFrame:

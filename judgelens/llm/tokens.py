@@ -1,32 +1,44 @@
-"""Byte-level BPE ids of whole texts, as little-endian unsigned 32-bit bytes.
+"""Byte-level BPE ids of whole texts, a column at a time.
 
 The pre-tokenizer of a byte-level vocabulary never lets a piece run from a
 visible character over a single space into the next word, so a text may be cut
-before such spaces and the cuts encoded apart. Words repeat; each worker keeps
-the ids of the words it met, and the tokenizers library sees only new words,
-many at a time. Texts in which a space touches other white space are encoded
-whole, as the rule does not hold for them.
+before such spaces and the cuts encoded apart. Words repeat: Arrow finds the
+distinct words of a slice of the column, each worker keeps the ids of the words
+it met, and the tokenizers library sees only new words, many at a time. Texts in
+which a space touches other white space are encoded whole, as the rule does not
+hold for them.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 2
 ID = np.dtype("<u4")
+SLICE_BYTES = 12 << 20
+
+
+def ragged(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs ``source[start : start + length]`` behind each other."""
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return source[:0]
+    return source[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
 
 
 class WordEncoder:
-    """``encode`` gives what ``Tokenizer.encode`` gives, as packed ids.
+    """Gives what ``Tokenizer.encode`` gives for each text, with an end id behind it.
 
     ``memo`` bounds the words kept in memory and never changes a result: the
     store is emptied when full.
     """
 
-    def __init__(self, path: str, memo: int = 700_000, longest: int = 48):
+    def __init__(self, path: str, memo: int = 900_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -42,56 +54,65 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=ID).tobytes() for x in found]
 
-    def learn(self, words: Iterable[str], known: dict[str, bytes | None], group: int = 2000) -> None:
+    def learn(self, words: Iterable[str], group: int = 2000) -> None:
         """Ids of " word" for each word; None where a cut beside the word would be wrong."""
         fit = []
         for word in words:
             if not word or word[0].isspace() or word[-1].isspace():
-                known[word] = None
+                self.known[word] = None
             else:
                 fit.append(word)
         for i in range(0, len(fit), group):
             some = fit[i : i + group]
             raw = self.whole([" " + " ".join(some)])[0]
-            starts = np.flatnonzero(self.opens[np.frombuffer(raw, dtype=ID)])
+            starts = np.flatnonzero(self.opens[np.frombuffer(raw, dtype=ID)]) * ID.itemsize
             if len(starts) != len(some):
                 raise ValueError("the vocabulary does not mark the start of words")
-            ends = [*(starts[1:] * 4).tolist(), len(raw)]
-            known.update(zip(some, (raw[a:b] for a, b in zip((starts * 4).tolist(), ends))))
-
-    def encode(self, texts: list[str], memo_batch: int = 256) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), memo_batch):
-            out += self._encode(texts[i : i + memo_batch])
-        return out
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") for text in texts]
+            starts = starts.tolist()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)]))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids behind each other, and the place behind the last id of each text."""
+        texts = texts.fill_null("")
+        lists = pc.split_pattern(texts, " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        word_of, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.memo:
             self.known = {}
-        known, new = self.known, set()
-        for words in cut:
-            new.update(words)
-        new -= known.keys()
-        long = [w for w in new if len(w) > self.longest]
-        if new:
-            self.learn(new, known)
-        heads = self.whole([words[0] for words in cut])
-        get, out = known.__getitem__, []
-        for text, words, head in zip(texts, cut, heads):
-            if len(words) == 1:
-                out.append(head)
-                continue
-            first = words.pop(0)
-            try:
-                if not first or first[-1].isspace():
-                    raise TypeError
-                out.append(head + b"".join(map(get, words)))
-            except TypeError:  # a None: some cut of this text would be wrong
-                out.append(self.whole([text])[0])
-        for word in long:
-            known.pop(word, None)
-        return out
+        missing = set(words).difference(self.known)
+        self.learn(missing)
+        raws = list(map(self.known.__getitem__, words))
+        for word in missing:
+            if len(word) > self.longest:
+                del self.known[word]
+        unfit = np.zeros(len(words), bool)
+        if None in raws:
+            unfit[[k for k, raw in enumerate(raws) if raw is None]] = True
+            raws = [raw or b"" for raw in raws]
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // ID.itemsize
+        first = offsets[:-1]
+        # A text is encoded whole if a cut in it would be wrong: any word but the first is unfit, or the first ends in white space.
+        wrong = unfit[word_of].astype(np.int64)
+        heads = [words[k] for k in word_of[first].tolist()]
+        wrong[first] = [not h or h[-1].isspace() for h in heads]
+        single = np.diff(offsets) == 1
+        whole = (np.add.reduceat(wrong, first) > 0) & ~single if len(first) else np.zeros(0, bool)
+        for k in np.flatnonzero(whole).tolist():
+            heads[k] = texts[k].as_py()
+        head_raws = self.whole(heads)
+        head_sizes = np.array([len(raw) // ID.itemsize for raw in head_raws], dtype=np.int64)
+        store = np.frombuffer(b"".join([*raws, *head_raws, np.array([END_ID], dtype=ID).tobytes()]), dtype=ID)
+        starts, head_starts = np.cumsum(sizes) - sizes, sizes.sum() + np.cumsum(head_sizes) - head_sizes
+        # One place for each word and one more for the end id of each text.
+        n_texts, n_words = len(first), len(word_of)
+        text_of = np.repeat(np.arange(n_texts), np.diff(offsets))
+        at, last = np.arange(n_words) + text_of, offsets[1:] + np.arange(n_texts)
+        begin, length = np.empty(n_words + n_texts, np.int64), np.empty(n_words + n_texts, np.int64)
+        begin[at], length[at] = starts[word_of], np.where(whole[text_of], 0, sizes[word_of])
+        begin[at[first]], length[at[first]] = head_starts, head_sizes
+        begin[last], length[last] = len(store) - 1, 1
+        return ragged(store, begin, length), np.cumsum(length)[last]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -104,7 +125,19 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def document_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text with the end id behind them."""
-    end = np.array([END_ID], dtype=ID).tobytes()
-    return [np.frombuffer(raw + end, dtype=ID) for raw in encoder(path).encode(texts)]
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes each, with at least one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(sizes):
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + most, side="right")))
+        yield start, end
+        start = end
+
+
+def encode_column(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For slices of a text column: first row, ids of its texts behind each other, end of each text."""
+    for start, end in slices(texts):
+        ids, ends = encoder(path).encode(texts.slice(start, end - start))
+        yield start, ids, ends
