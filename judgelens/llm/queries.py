@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from judgelens.llm import embedding_dedup, html_text, license_scan, mixing, packing, quality, token_counts, token_files, toxicity
+from judgelens.llm import embedding_dedup, html_text, license_scan, minhash_dedup, mixing, packing, quality, token_counts, token_files, toxicity
 from judgelens.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdicts of all documents."""
     return quality.quality_report(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_minhash_dedup": op4_minhash_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_token_files": op7_token_files,
@@ -88,3 +94,29 @@ WITH RECURSIVE vectors AS (
 SELECT node AS vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(seen) AS component_id, node = min(seen) AS kept
 FROM reach LEFT JOIN counts ON a = node GROUP BY node
 """
+
+SQL["op4_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT edges.b, reach.seen FROM reach JOIN edges ON edges.a = reach.node
+)
+SELECT node AS doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(seen) AS component_id, node = min(seen) AS kept
+FROM reach LEFT JOIN sizes ON sizes.doc_id = node GROUP BY node
+"""
