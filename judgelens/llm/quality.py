@@ -17,6 +17,7 @@ verdicts; other columns are ignored, also those named like the results.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,8 +228,6 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", common=COMMON_WORDS) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns; the same verdict as ``quality_report``."""
-    import pandas as pd
-
     references, bins = language_references(docs, text_col, lang_col, common), CommonWords(common)
 
     @F.pandas_udf("boolean")
