@@ -46,18 +46,17 @@ def encode_words(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     raw = values >= ROOM  # the largest 60-bit value is left for the escape
-    width = np.where(raw, 61, np.frexp(values.astype(np.float64))[1])
+    width = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # bits of each value
     width[values >> np.uint64(53) > 0] = 61  # no selector but the last takes such values
     # selector[k]: the one that packs most values from k on; its window must not leave the block or hold a wider value.
-    selector = np.full(n, 15)
+    selector = np.full(n, 15, dtype=np.int8)
     for s in range(14, -1, -1):
-        wide = np.concatenate([[-1], np.flatnonzero(width > BITS[s]), [n]])
-        room = np.diff(wide) - VALUES[s]  # starts that fit into the run between two wider values
-        runs = np.flatnonzero(room > 0)
-        if len(runs):
-            spans = room[runs]
-            ends = np.cumsum(spans)
-            selector[np.repeat(wide[runs] + 1 - (ends - spans), spans) + np.arange(ends[-1])] = s
+        fit, size = np.flatnonzero(width <= BITS[s]), VALUES[s]
+        if len(fit) == n:
+            selector[: max(0, n - size + 1)] = s
+        elif len(fit) >= size:
+            starts = fit[: len(fit) - size + 1]
+            selector[starts[fit[size - 1 :] - starts == size - 1]] = s
     jump = (np.arange(n) + VALUES[selector]).tolist()
     starts, at = [], 0
     while at < n:
@@ -72,8 +71,10 @@ def encode_words(values: np.ndarray) -> np.ndarray:
             one = values[starts[mine]]
             words[mine] = np.where(raw[starts[mine]], ESCAPE, words[mine] | one)
             continue
+        begin, packed = starts[mine], np.zeros(len(mine), np.uint64)
         for j in range(VALUES[s] if BITS[s] else 0):
-            words[mine] |= values[starts[mine] + j] << np.uint64(j * BITS[s])
+            packed |= values[begin + j] << np.uint64(j * BITS[s])
+        words[mine] |= packed
     escaped = np.flatnonzero((chosen == 15) & raw[starts])
     return np.insert(words, escaped + 1, values[starts[escaped]]) if len(escaped) else words
 

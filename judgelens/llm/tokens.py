@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 END_ID = 2
 ID = np.dtype("<u4")
 SLICE_BYTES = 12 << 20
+MARKS = ".,;:!?"
 
 
 def ragged(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -49,27 +50,77 @@ class WordEncoder:
         self.opens[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
         self.memo, self.longest = memo, longest
         self.known: dict[str, bytes | None] = {}
+        self.bare: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.line_feed = self.whole(["\n"])[0]
+        self.line_feed_id = int(np.frombuffer(self.line_feed, dtype=ID)[0])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=ID).tobytes() for x in found]
 
-    def learn(self, words: Iterable[str], group: int = 2000) -> None:
-        """Ids of " word" for each word; None where a cut beside the word would be wrong."""
-        fit = []
+    def learn(self, words: Iterable[str]) -> None:
+        """Ids of " word" for each word; None where a cut beside the word would be wrong.
+
+        The pre-tokenizer also cuts around a line feed between visible characters and
+        between a letter and the marks behind it, so that a word is made of stems
+        that many words share.
+        """
+        known, plain, marked, lined = self.known, set(), [], []
         for word in words:
-            if not word or word[0].isspace() or word[-1].isspace():
-                self.known[word] = None
+            if "\n" in word:
+                lined.append(word)
+            elif not word or word[0].isspace() or word[-1].isspace():
+                known[word] = None
+            elif word[-1] in MARKS and (stem := word.rstrip(MARKS)) and stem[-1].isalpha():
+                marked.append((word, stem))
+                if stem not in known:
+                    plain.add(stem)
             else:
-                fit.append(word)
-        for i in range(0, len(fit), group):
-            some = fit[i : i + group]
-            raw = self.whole([" " + " ".join(some)])[0]
-            starts = np.flatnonzero(self.opens[np.frombuffer(raw, dtype=ID)]) * ID.itemsize
+                plain.add(word)
+        bare, cuts_of = set(), []
+        for word in lined:
+            lines = word.split("\n")
+            if not all(lines) or any(x[0].isspace() or x[-1].isspace() for x in lines):
+                if word[0].isspace() or word[-1].isspace():
+                    known[word] = None
+                else:
+                    plain.add(word)
+                continue
+            stems = [stem if (stem := x.rstrip(MARKS)) and stem[-1].isalpha() else x for x in lines]
+            cuts_of.append((word, lines, stems))
+            if stems[0] not in known:
+                plain.add(stems[0])
+            bare.update(x for x in stems[1:] if x not in self.bare)
+        known.update(self._joined(list(plain), " "))
+        self.bare.update(self._joined(list(bare), "\n"))
+        marks = self._mark
+        for word, stem in marked:
+            known[word] = known[stem] + marks(word[len(stem) :])
+        for word, lines, stems in cuts_of:
+            ends = [marks(x[len(stem) :]) for x, stem in zip(lines, stems)]
+            raw = known[stems[0]] + ends[0]
+            known[word] = raw + b"".join(self.line_feed + self.bare[stem] + end for stem, end in zip(stems[1:], ends[1:]))
+
+    def _mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            self.marks[marks] = self.whole([marks])[0]
+        return self.marks[marks]
+
+    def _joined(self, stems: list[str], separator: str, group: int = 2000) -> dict[str, bytes]:
+        """Ids of stems, each behind a space (part of its first piece) or a line feed (a piece of its own)."""
+        out = {}
+        for i in range(0, len(stems), group):
+            some = stems[i : i + group]
+            raw = self.whole([separator + separator.join(some)])[0]
+            ids = np.frombuffer(raw, dtype=ID)
+            starts = np.flatnonzero(self.opens[ids] if separator == " " else ids == self.line_feed_id)
             if len(starts) != len(some):
                 raise ValueError("the vocabulary does not mark the start of words")
-            starts = starts.tolist()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)]))))
+            ends = [*(starts[1:] * ID.itemsize).tolist(), len(raw)]
+            begins = ((starts + (separator != " ")) * ID.itemsize).tolist()
+            out.update(zip(some, (raw[a:b] for a, b in zip(begins, ends))))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids behind each other, and the place behind the last id of each text."""
@@ -78,8 +129,8 @@ class WordEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         word_of, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > self.memo:
-            self.known = {}
+        if len(self.known) + len(self.bare) > self.memo:
+            self.known, self.bare = {}, {}
         missing = set(words).difference(self.known)
         self.learn(missing)
         raws = list(map(self.known.__getitem__, words))
