@@ -35,11 +35,11 @@ def ragged(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 class WordEncoder:
     """Gives what ``Tokenizer.encode`` gives for each text, with an end id behind it.
 
-    ``memo`` bounds the words kept in memory and never changes a result: the
-    store is emptied when full.
+    ``memo`` bounds the words kept in memory and never changes a result: when half
+    of it is full, words that were not met since the last time are forgotten.
     """
 
-    def __init__(self, path: str, memo: int = 900_000, longest: int = 48):
+    def __init__(self, path: str, memo: int = 1_100_000, longest: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,6 +50,7 @@ class WordEncoder:
         self.opens[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
         self.memo, self.longest = memo, longest
         self.known: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
         self.bare: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
         self.line_feed = self.whole(["\n"])[0]
@@ -129,9 +130,12 @@ class WordEncoder:
         offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         word_of, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) + len(self.bare) > self.memo:
-            self.known, self.bare = {}, {}
+        if len(self.known) + len(self.bare) > self.memo // 2:
+            self.old, self.known, self.bare = self.known, {}, {}
         missing = set(words).difference(self.known)
+        again = missing.intersection(self.old)
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        missing -= again
         self.learn(missing)
         raws = list(map(self.known.__getitem__, words))
         for word in missing:
