@@ -305,6 +305,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
     """The rows of ``docs`` whose document stands for its group, each document once."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    kept = docs.alias("docs").join(gone.alias("gone"), F.col(f"docs.`{id_col}`") == F.col("gone.doc_id"), "left_anti")
     return kept.dropDuplicates([id_col, text_col])
