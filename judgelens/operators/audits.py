@@ -152,12 +152,12 @@ def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | Non
 
 def label_domain_check(df: DataFrame, column: str) -> DataFrame:
     """Labels missing from the data or unknown to the study; empty when equal."""
-    spark = df.sparkSession
-    expected = spark.createDataFrame([(label,) for label in LABELS], "label string")
-    found = df.select(F.col(column).alias("label")).distinct()
-    missing = expected.exceptAll(found).withColumn("problem", F.lit("missing"))
-    unknown = found.exceptAll(expected).withColumn("problem", F.lit("unknown"))
-    return missing.unionByName(unknown)
+    # One grouping of the data; the expected labels are four rows.
+    expected = df.sparkSession.createDataFrame([(label, True) for label in LABELS], "expected string, listed boolean")
+    found = df.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
+    both = found.join(F.broadcast(expected), F.col("label").eqNullSafe(F.col("expected")), "full")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("listed").isNull(), "unknown")
+    return both.select(F.coalesce("label", "expected").alias("label"), problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def blank_titles(joined: DataFrame) -> DataFrame:

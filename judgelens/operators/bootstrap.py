@@ -26,17 +26,12 @@ from judgelens.operators.review import check_budgets, is_error, review_metrics,
 from judgelens.operators.sampling import percentile_interval
 from judgelens.sources.staging import stage
 
-MIN_CHUNK = 8192
+CHUNK = 8192  # queries per chunk; part of what a seed means, so it never depends on the data
 CELL_COUNT = len(C.CELLS)
 STATISTICS = ("macro_f1", "audit_yield", "random_expected_yield", "audit_yield_minus_random")
 
 
-def chunk_size(n_queries: int) -> int:
-    """Queries per chunk: about sqrt(G), so chunks and chunk contents grow alike."""
-    return max(MIN_CHUNK, math.ceil(math.sqrt(n_queries)))
-
-
-def chunk_draws(spark: SparkSession, n_queries: int, replicates: int, seed: int) -> DataFrame:
+def chunk_draws(spark: SparkSession, n_queries: int, replicates: int, seed: int, size: int = CHUNK) -> DataFrame:
     """(replicate, chunk, draws): how many of the G draws fall into each chunk.
 
     Draw j of a replicate becomes a 53-bit fraction of the query range, from
@@ -55,7 +50,7 @@ def chunk_draws(spark: SparkSession, n_queries: int, replicates: int, seed: int)
     draws = spark.range(0, n_queries * replicates)
     for layer in layers:
         draws = draws.select("*", *[F.expr(text).alias(name) for name, text in layer.items()])
-    chunk = F.expr(f"CAST(spot AS BIGINT) div {chunk_size(n_queries)}L")
+    chunk = F.expr(f"CAST(spot AS BIGINT) div {size}L")
     return draws.groupBy("replicate", chunk.alias("chunk")).agg(F.count("*").alias("draws"))
 
 
@@ -78,7 +73,7 @@ class Resampler:
     index of every query with its chunk and position.
     """
 
-    def __init__(self, scored: DataFrame, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED):
+    def __init__(self, scored: DataFrame, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED, chunk: int = CHUNK):
         if replicates < 1:
             raise ValueError("the number of replicates must be positive")
         self.spark = scored.sparkSession
@@ -86,7 +81,7 @@ class Resampler:
         self.seed = seed
         numbered = number_rows(scored.select("query_id").distinct(), ["query_id"], "query_number")
         self.n_queries = numbered.count()
-        self.size = chunk_size(self.n_queries)
+        self.size = chunk
         index = F.col("query_number") - 1
         self.queries = numbered.select(
             "query_id",
@@ -95,7 +90,7 @@ class Resampler:
         )
         # One query says nothing about the variation across queries.
         self.replicates = replicates if self.n_queries >= 2 else 0
-        self.draws = stage(chunk_draws(self.spark, max(self.n_queries, 1), self.replicates, seed), "draws")
+        self.draws = stage(chunk_draws(self.spark, max(self.n_queries, 1), self.replicates, seed, chunk), "draws")
 
     def per_chunk(self, rows: DataFrame, fill, schema: str) -> DataFrame:
         """Bring (chunk, ...) rows and the draws of the chunk together in one task.

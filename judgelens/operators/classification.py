@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgelens.constants import LABELS
@@ -59,7 +59,11 @@ def assert_scored(scored: DataFrame) -> None:
 
 
 def contingency(scored: DataFrame, *groups: str) -> DataFrame:
-    """The 16 cell counts of each group; without groups one row, even for no input."""
+    """The 16 cell counts of each group; without groups one row, even for no input.
+
+    Rows with an unknown or missing label or prediction are in no cell: reading
+    the counts of their group then raises an error.
+    """
     counts = [
         F.count_if((F.col("label") == label) & (F.col("prediction") == prediction)).alias(
             cell(label, prediction)
@@ -67,14 +71,17 @@ def contingency(scored: DataFrame, *groups: str) -> DataFrame:
         for label in LABELS
         for prediction in LABELS
     ]
-    return scored.groupBy(*groups).agg(*counts)
+    counted = scored.groupBy(*groups).agg(*counts, F.count("*").alias("_rows")).withColumn("_cells", total(CELLS))
+    whole = F.col("_cells") == F.col("_rows")
+    refuse = F.raise_error(F.lit("scored pairs hold unknown or missing labels or predictions")).cast("bigint")
+    return counted.select(*groups, *[F.when(whole, F.col(name)).otherwise(refuse).alias(name) for name in CELLS])
 
 
 def query_contingency(scored: DataFrame) -> DataFrame:
     return contingency(scored, "query_id")
 
 
-def matrix_of(cells: DataFrame) -> DataFrame:
+def matrix_of(cells: DataFrame, *groups: str) -> DataFrame:
     rows = [
         F.struct(
             F.lit(label).alias("label"),
@@ -84,7 +91,7 @@ def matrix_of(cells: DataFrame) -> DataFrame:
         for label in LABELS
         for prediction in LABELS
     ]
-    return cells.select(F.inline(F.array(*rows)))
+    return cells.select(*groups, F.inline(F.array(*rows)))
 
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def macro_f1() -> Column:
     return F.when(n_rows() > 0, mean)
 
 
-def per_class_of(cells: DataFrame) -> DataFrame:
+def per_class_of(cells: DataFrame, *groups: str) -> DataFrame:
     rows = []
     for label in LABELS:
         correct = F.col(cell(label, label))
@@ -133,7 +140,7 @@ def per_class_of(cells: DataFrame) -> DataFrame:
                 class_f1(label).alias("f1"),
             )
         )
-    return cells.select(F.inline(F.array(*rows)))
+    return cells.select(*groups, F.inline(F.array(*rows)))
 
 
 def per_class_metrics(scored: DataFrame) -> DataFrame:
@@ -188,7 +195,8 @@ def encode_label(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame) -> DataFrame:
     """Count and balancing weight n / (4 * count) of each class in the data."""
     counts = df.groupBy("label").agg(F.count("*").alias("class_count"))
-    whole = df.agg(F.count("*").alias("n")).scalar()
+    # A window over the few grouped counts, not a second scan.
+    whole = F.sum("class_count").over(Window.partitionBy(F.lit(0)))
     weight = whole.cast("double") / (len(LABELS) * F.col("class_count")).cast("double")
     return counts.withColumn("weight", weight)
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgelens.functions.text import ratio_or_null
-from judgelens.operators.review import budget_count, check_budgets
+from judgelens.operators.review import budget_count, budget_list
+from judgelens.sources.staging import stage
 
 
 def with_buckets(queue: DataFrame, parts: int = 1) -> DataFrame:
@@ -36,7 +37,6 @@ def bucket_sums(rows: DataFrame, group: str) -> DataFrame:
 
 def find_cuts(sums: DataFrame, group: str, budgets) -> DataFrame:
     """For each group and budget: its size, and the bucket where the budget ends."""
-    fractions = F.array(*[F.lit(budget) for budget in check_budgets(budgets)])
     whole = Window.partitionBy(group)
     ahead = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
@@ -49,7 +49,7 @@ def find_cuts(sums: DataFrame, group: str, budgets) -> DataFrame:
         F.sum("items").over(whole).alias("queue_items"),
         F.sum("errors").over(whole).alias("queue_errors"),
     )
-    counted = placed.select("*", F.explode(fractions).alias("budget_fraction")).withColumn(
+    counted = placed.select("*", F.posexplode(budget_list(budgets)).alias("budget_no", "budget_fraction")).withColumn(
         "n_reviewed", budget_count(F.col("queue_items"), F.col("budget_fraction"))
     )
     ends_here = (F.col("items_ahead") < F.col("n_reviewed")) & (
@@ -57,6 +57,7 @@ def find_cuts(sums: DataFrame, group: str, budgets) -> DataFrame:
     )
     return counted.filter(ends_here).select(
         group,
+        "budget_no",
         "budget_fraction",
         "n_reviewed",
         "queue_items",
@@ -73,7 +74,7 @@ def cut_yields(cuts: DataFrame, rows: DataFrame, group: str) -> DataFrame:
     ``rows`` must hold at least the rows of the cut buckets, with group,
     bucket, queue_rank, weight and is_error.
     """
-    queue = Window.partitionBy(group, "budget_fraction").orderBy("queue_rank")
+    queue = Window.partitionBy(group, "budget_no").orderBy("queue_rank")
     ahead = queue.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("bigint")
     room = F.col("still_needed") - F.coalesce(F.sum("weight").over(ahead), zero)
@@ -82,7 +83,8 @@ def cut_yields(cuts: DataFrame, rows: DataFrame, group: str) -> DataFrame:
         .join(cuts, [group, "bucket"])
         .withColumn("taken", F.least("weight", F.greatest(room, zero)))
     )
-    return taken.groupBy(group, "budget_fraction").agg(
+    return taken.groupBy(group, "budget_no").agg(
+        F.first("budget_fraction").alias("budget_fraction"),
         F.first("n_reviewed").alias("n_reviewed"),
         F.first("queue_items").alias("queue_items"),
         F.first("queue_errors").alias("queue_errors"),
@@ -99,5 +101,6 @@ def weighted_queue_yield(rows: DataFrame, group: str, budgets) -> DataFrame:
 
     ``rows`` carry group, bucket, queue_rank, weight and is_error.
     """
-    cuts = find_cuts(bucket_sums(rows, group), group, budgets)
-    return cut_yields(cuts, rows, group)
+    # One row per group and budget; stored, so that its size is known and the rows stay where they are.
+    cuts = stage(find_cuts(bucket_sums(rows, group), group, budgets), "cuts")
+    return cut_yields(cuts, rows, group).drop("budget_no")

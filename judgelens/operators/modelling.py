@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -143,3 +146,43 @@ def compare_models(scored: dict[str, DataFrame]) -> DataFrame:
     trained = F.col("model").isin(*[name for name, _ in CANDIDATES])
     best = named.filter(trained).agg(F.max_by("model", F.struct("macro_f1", -F.col("place")))).scalar()
     return named.withColumn("selected", F.col("model") == best).drop("place")
+
+
+def recomputed(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``p_check`` and ``label_check`` of each row by plain column arithmetic from the fitted numbers."""
+    scaler, fitted = model.stages[-2], model.stages[-1]
+    matrix, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    mean, sd = scaler.mean.toArray(), scaler.std.toArray()
+    scaled = [(F.col(name) - float(mean[j])) / float(sd[j]) if sd[j] else F.lit(0.0) for j, name in enumerate(FEATURES)]
+    margins = [reduce(add, [float(matrix[i, j]) * x for j, x in enumerate(scaled)], F.lit(float(intercepts[i]))) for i in range(len(LABELS))]
+    shifted = rows.withColumn("_z", F.array(*margins)).withColumn("_top", F.array_max("_z"))
+    weights = F.transform("_z", lambda z: F.exp(z - F.col("_top")))
+    share = F.get(weights, F.lit(0)) / F.aggregate(weights, F.lit(0.0), lambda a, b: a + b)
+    best = F.get(F.array(*[F.lit(label) for label in LABELS]), (F.array_position("_z", F.col("_top")) - 1).cast("int"))
+    return shifted.select(*rows.columns, share.alias("p_check"), best.alias("label_check"))
+
+
+def objective_slopes(model: PipelineModel, train: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """Slope of the penalised, weighted log loss at the fitted coefficients: label, feature, slope.
+
+    The penalty acts on coefficients of features with unit weighted deviation.
+    """
+    fitted = model.stages[-1]
+    matrix = fitted.coefficientMatrix.toArray()
+    rows = C.with_weights(PipelineModel(model.stages).transform(train), weights).select(
+        "label", F.col("fit_weight").alias("w"), vector_to_array("features").alias("x"), vector_to_array("probability").alias("p")
+    )
+    x = [F.get("x", F.lit(j)) for j in range(len(FEATURES))]
+    sums = [F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww")]
+    sums += [F.sum(F.col("w") * v).alias(f"m{j}") for j, v in enumerate(x)] + [F.sum(F.col("w") * v * v).alias(f"s{j}") for j, v in enumerate(x)]
+    for i, label in enumerate(LABELS):
+        miss = F.col("w") * (F.get("p", F.lit(i)) - (F.col("label") == label).cast("double"))
+        sums += [F.sum(miss * v).alias(f"g{i}_{j}") for j, v in enumerate(x)]
+    total = rows.agg(*sums)
+    out = []
+    for j, feature in enumerate(FEATURES):
+        variance = (F.col(f"s{j}") - F.col(f"m{j}") * F.col(f"m{j}") / F.col("w")) / (F.col("w") - F.col("ww") / F.col("w"))
+        for i, label in enumerate(LABELS):
+            slope = F.col(f"g{i}_{j}") / F.col("w") + REG_PARAM * float(matrix[i, j]) * variance
+            out.append(F.struct(F.lit(label).alias("label"), F.lit(feature).alias("feature"), slope.alias("slope")))
+    return total.select(F.inline(F.array(*out)))

@@ -29,6 +29,10 @@ def check_budgets(budgets) -> tuple[float, ...]:
     return values
 
 
+def budget_list(budgets) -> Column:
+    return F.array(*[F.lit(budget) for budget in check_budgets(budgets)])
+
+
 def budget_count(size: Column, fraction: Column | float) -> Column:
     """floor(size * fraction) items."""
     fraction = fraction if isinstance(fraction, Column) else F.lit(fraction)
@@ -53,7 +57,7 @@ def _pool_row(queue: DataFrame) -> DataFrame:
     )
 
 
-def _scores(rows: DataFrame, found: Column, by_label: dict[str, Column]) -> DataFrame:
+def _scores(rows: DataFrame, found: Column, by_label: dict[str, Column], *more: Column) -> DataFrame:
     """Yield, recall and remainder columns; a zero denominator gives null."""
     size, errors, reviewed = F.col("pool_size"), F.col("pool_errors"), F.col("n_reviewed")
     return rows.select(
@@ -66,6 +70,7 @@ def _scores(rows: DataFrame, found: Column, by_label: dict[str, Column]) -> Data
         (size - reviewed).alias("n_remaining"),
         (errors - found).alias("n_remaining_errors"),
         ratio_or_null(errors - found, size - reviewed).alias("remaining_error_rate"),
+        *more,
     )
 
 
@@ -106,8 +111,8 @@ def review_metrics(queue: DataFrame, budgets=REVIEW_BUDGETS) -> DataFrame:
 
 
 def _budget_rows(pool: DataFrame, budgets) -> DataFrame:
-    fractions = F.array(*[F.lit(budget) for budget in check_budgets(budgets)])
-    rows = pool.select("*", F.explode(fractions).alias("budget_fraction"))
+    """One row per listed budget; ``budget_no``, its place in the list, tells equal budgets apart."""
+    rows = pool.select("*", F.posexplode(budget_list(budgets)).alias("budget_no", "budget_fraction"))
     return rows.withColumn("n_reviewed", budget_count(F.col("pool_size"), F.col("budget_fraction")))
 
 
@@ -120,14 +125,10 @@ def review_expected_random(queue: DataFrame, budgets=REVIEW_BUDGETS) -> DataFram
         f"errors_{label.lower()}": share(F.col(f"pool_{label.lower()}").cast("double"))
         for label in ERROR_LABELS
     }
-    scores = _scores(rows, share(errors), by_label)
     variance = ratio_or_null(
         errors * (size - errors) * (size - reviewed), reviewed * size * size * (size - 1)
     )
-    return scores.join(
-        rows.select("budget_fraction", F.when(reviewed > 0, variance).alias("yield_variance")),
-        "budget_fraction",
-    )
+    return _scores(rows, share(errors), by_label, F.when(reviewed > 0, variance).alias("yield_variance"))
 
 
 def review_random_draws(
@@ -137,9 +138,10 @@ def review_random_draws(
 
     The number of errors in a random review is hypergeometric, so only the
     pool counts are read from the data. Each repeat inverts the distribution
-    at one seeded uniform number. The support is cut where less than 1e-30 of
-    the mass is left, far below the resolution of the uniform numbers, so it
-    grows with the standard deviation and not with the pool.
+    at one seeded uniform number. The uniform numbers lie on a grid of 2^-32,
+    and so no draw can fall where less than that is left: the support is
+    listed 12 deviations and 40 values around the mean, beyond which lies less
+    than 1e-30 of the mass. It grows with the deviation and not with the pool.
     """
     if repeats < 1:
         raise ValueError("repeats must be positive")
@@ -149,10 +151,11 @@ def review_random_draws(
     deviation = F.sqrt(mean * (size - errors) / size)
     reach = F.ceil(12 * deviation + 40).cast("bigint")
     bounded = rows.filter("n_reviewed > 0").select(
-        "budget_fraction",
+        "budget_no",
         "n_reviewed",
         "pool_size",
         "pool_errors",
+        "budget_fraction",
         F.greatest(
             F.lit(0).cast("bigint"),
             F.col("n_reviewed") - (F.col("pool_size") - F.col("pool_errors")),
@@ -163,7 +166,7 @@ def review_random_draws(
     support = bounded.select("*", F.explode(F.sequence("low", "high")).alias("found"))
     x = F.col("found").cast("double")
     step = F.log((errors - x + 1) * (k - x + 1) / (x * (size - errors - k + x)))
-    by_budget = Window.partitionBy("budget_fraction")
+    by_budget = Window.partitionBy("budget_no")
     upto = by_budget.orderBy("found").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mass = (
         support.withColumn("step", F.when(F.col("found") > F.col("low"), step).otherwise(0.0))
@@ -173,26 +176,26 @@ def review_random_draws(
     )
     key = F.concat_ws(":", F.col("budget_fraction").cast("string"), F.col("repeat").cast("string"))
     uniforms = bounded.select(
-        "budget_fraction", "n_reviewed", "low", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
+        "budget_no", "budget_fraction", "n_reviewed", "low", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")
     ).withColumn("level", (sha_key(key, seed) + 0.5) / 4294967296.0)
-    steps = mass.select("budget_fraction", "level", F.lit(1).alias("is_step"), F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("n_reviewed"))
-    asked = uniforms.select("budget_fraction", "level", F.lit(0).alias("is_step"), "low", "n_reviewed")
+    steps = mass.select("budget_no", "level", F.lit(1).alias("is_step"), F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("n_reviewed"))
+    asked = uniforms.select("budget_no", "level", F.lit(0).alias("is_step"), "low", "n_reviewed")
     below = by_budget.orderBy("level", "is_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     draws = (
         steps.unionByName(asked)
         .withColumn("passed", F.sum("is_step").over(below))
         .filter("is_step = 0")
-        .select("budget_fraction", "n_reviewed", (F.col("low") + F.col("passed")).alias("found"))
+        .select("budget_no", "n_reviewed", (F.col("low") + F.col("passed")).alias("found"))
     )
     audit_yield = F.col("found") / F.col("n_reviewed")
-    spread = draws.groupBy("budget_fraction").agg(
+    spread = draws.groupBy("budget_no").agg(
         F.count("*").alias("repeats"),
         (F.sum("found") / F.sum("n_reviewed")).alias("yield_mean"),
         F.percentile(audit_yield, F.array(F.lit(0.025), F.lit(0.975))).alias("q"),
     )
     return (
-        rows.select("budget_fraction")
-        .join(spread, "budget_fraction", "left")
+        rows.select("budget_no", "budget_fraction")
+        .join(spread, "budget_no", "left")
         .select(
             "budget_fraction",
             F.coalesce("repeats", F.lit(0).cast("bigint")).alias("repeats"),

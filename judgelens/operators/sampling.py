@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from judgelens.constants import (
     CASES_PER_CELL,
     EVIDENCE_COLUMNS,
-    LABELS,
     REVIEW_FORM_FIELDS,
     SAMPLE_MODULUS,
     SEED,
@@ -16,8 +15,7 @@ from judgelens.constants import (
 from judgelens.functions.hashing import KeyHash, hash_bucket, xxhash_key
 from judgelens.operators.classification import error_rows
 
-ERROR_CELLS = len(LABELS) * (len(LABELS) - 1)
-BROADCAST_ROWS = 100_000
+MAX_PER_CELL = 10_000
 
 
 def sample_queries(
@@ -43,14 +41,20 @@ def assert_sample(features: DataFrame) -> None:
         raise ValueError("the sample transformation produced no rows or null coverage")
 
 
+def check_per_cell(per_cell: int) -> None:
+    if not 1 <= per_cell <= MAX_PER_CELL:
+        raise ValueError(f"per_cell must be between 1 and {MAX_PER_CELL}")
+
+
 def stratified_error_sample(
     scored: DataFrame, per_cell: int = CASES_PER_CELL, seed: int = SEED
 ) -> DataFrame:
-    """At most ``per_cell`` errors of each (label, prediction) cell in SHA-256 order.
+    """The first ``per_cell`` (1 to ``MAX_PER_CELL``) errors of each (label, prediction) cell in SHA-256 order.
 
     Spark keeps only the first rows of a cell on the map side before the
     shuffle, so a hot cell does not end up in one task.
     """
+    check_per_cell(per_cell)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("example_id").cast("string")), 256)
     in_cell = Window.partitionBy("label", "prediction").orderBy("_digest", "example_id")
     return (
@@ -65,13 +69,12 @@ def stratified_error_sample(
 def attach_evidence(cases: DataFrame, features: DataFrame, per_cell: int = CASES_PER_CELL) -> DataFrame:
     """Give every sampled case its text and evidence columns from the feature table.
 
-    A sample holds at most 12 cells times ``per_cell`` rows. While that bound
-    is small its ids are broadcast and the feature table is filtered in place;
-    for larger samples the join is left to Spark.
+    A sample holds at most 12 cells times ``per_cell`` rows, and ``per_cell``
+    is bounded, so its ids are broadcast and the feature table is filtered
+    in place.
     """
-    ids = cases.select("example_id")
-    if ERROR_CELLS * per_cell <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
+    check_per_cell(per_cell)
+    ids = F.broadcast(cases.select("example_id"))
     evidence = (
         features.join(ids, "example_id", "left_semi")
         .select(
@@ -97,14 +100,14 @@ def assert_evidence(cases: DataFrame) -> None:
         raise ValueError(f"cases do not agree with the feature table: {check.asDict()}")
 
 
-def annotate_cases(cases: DataFrame) -> DataFrame:
+def annotate_cases(cases: DataFrame, per_cell: int = CASES_PER_CELL) -> DataFrame:
     """Add the selection reason, the pending status and the empty review fields."""
     reason = F.concat(
-        F.lit("validation error cell "),
+        F.lit("judged "),
         "label",
-        F.lit("→"),
+        F.lit(", predicted "),
         "prediction",
-        F.lit("; deterministic sample, at most four per cell"),
+        F.lit(f": one of the first {per_cell} such errors by hash"),
     )
     return cases.select(
         "*",

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgelens.constants import REVIEW_BUDGETS
+from judgelens.functions.text import ratio_or_null
 from judgelens.operators import classification as C
 from judgelens.operators.cuts import weighted_queue_yield, with_buckets
-from judgelens.operators.review import is_error, review_queue
+from judgelens.operators.review import budget_count, budget_list, is_error, review_queue
 
+# Slice names of the study.
 SLICES = {
     "query_0_2_tokens": "query_token_count <= 2",
     "query_3_plus_tokens": "query_token_count >= 3",
@@ -30,6 +32,11 @@ def slice_tags(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.explode(F.array_compact(F.array(*names))).alias("slice"))
 
 
+def percent(budget: float) -> str:
+    """A column suffix of its own for every budget: 0.05 is 05, 0.051 is 5_1."""
+    return f"{budget * 100:.10g}".replace(".", "_").zfill(2)
+
+
 def slice_grid(spark) -> DataFrame:
     names = F.array(*[F.lit(name) for name in SLICES])
     return spark.range(0, 1, 1, 1).select(F.explode(names).alias("slice"))
@@ -49,20 +56,10 @@ def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame |
         C.accuracy().alias("accuracy"),
         C.macro_f1().alias("macro_f1"),
     )
-    queue = review_queue(scored, *SLICE_INPUTS) if queue is None else queue
-    rows = slice_tags(with_buckets(queue)).select(
-        "slice",
-        "bucket",
-        "queue_rank",
-        F.lit(1).cast("bigint").alias("weight"),
-        is_error().cast("bigint").alias("is_error"),
-    )
-    found = weighted_queue_yield(rows, "slice", budgets)
+    found = slice_yields(scored, budgets, queue)
     columns = [
-        F.max(F.when(F.col("budget_fraction") == budget, F.col("priority_yield"))).alias(
-            f"yield_{round(budget * 100):02d}"
-        )
-        for budget in budgets
+        F.max(F.when(F.col("budget_fraction") == budget, F.col("priority_yield"))).alias(f"yield_{percent(budget)}")
+        for budget in dict.fromkeys(budgets)
     ]
     yields = found.groupBy("slice").agg(*columns)
     zero = {"n_rows": 0, "pool_size": 0, "pool_errors": 0}
@@ -72,3 +69,63 @@ def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame |
         .join(yields, "slice", "left")
         .fillna(zero)
     )
+
+
+def slice_yields(scored: DataFrame, budgets, queue: DataFrame | None = None) -> DataFrame:
+    """What each budget finds in the queue of each slice, cut by bucket sums."""
+    queue = review_queue(scored, *SLICE_INPUTS) if queue is None else queue
+    rows = slice_tags(with_buckets(queue)).select(
+        "slice",
+        "bucket",
+        "queue_rank",
+        F.lit(1).cast("bigint").alias("weight"),
+        is_error().cast("bigint").alias("is_error"),
+    )
+    return weighted_queue_yield(rows, "slice", budgets)
+
+
+def slice_classes(scored: DataFrame) -> DataFrame:
+    """Support, predictions, precision, recall and F1 of each class in each slice that has rows."""
+    return C.per_class_of(C.contingency(slice_tags(scored), "slice"), "slice")
+
+
+def slice_confusion(scored: DataFrame) -> DataFrame:
+    """The 16 cells of each slice that has rows."""
+    return C.matrix_of(C.contingency(slice_tags(scored), "slice"), "slice")
+
+
+def slice_review(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame | None = None) -> DataFrame:
+    """One row per slice and budget that reviews at least one pair."""
+    found, errors = F.col("n_errors_found"), F.col("queue_errors")
+    rest = F.col("queue_items") - F.col("n_reviewed")
+    return slice_yields(scored, budgets, queue).select(
+        "slice",
+        "budget_fraction",
+        "n_reviewed",
+        "n_errors_found",
+        F.col("priority_yield").alias("audit_yield"),
+        ratio_or_null(found, errors).alias("error_recall"),
+        rest.alias("n_remaining"),
+        (errors - found).alias("n_remaining_errors"),
+        ratio_or_null(errors - found, rest).alias("remaining_error_rate"),
+    )
+
+
+def slice_random(scored: DataFrame, budgets=REVIEW_BUDGETS) -> DataFrame:
+    """Expectation and variance of the yield of a random review of each slice and budget."""
+    exact = C.LABELS[0]
+    pools = C.contingency(slice_tags(scored), "slice").select(
+        "slice", C.predicted(exact).alias("pool_size"), (C.predicted(exact) - F.col(C.cell(exact, exact))).alias("pool_errors")
+    )
+    rows = pools.select("*", F.explode(budget_list(budgets)).alias("budget_fraction"))
+    n, e = F.col("pool_size").cast("double"), F.col("pool_errors").cast("double")
+    k = budget_count(F.col("pool_size"), F.col("budget_fraction"))
+    variance = ratio_or_null(e * (n - e) * (n - k), k * n * n * (n - 1))
+    return rows.select(
+        "slice",
+        "budget_fraction",
+        k.alias("n_reviewed"),
+        F.coalesce(ratio_or_null(k * e, n), F.lit(0.0)).alias("expected_errors"),
+        F.when(k > 0, e / n).alias("expected_yield"),
+        F.when(k > 0, variance).alias("yield_variance"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fixtures as fx
-from judgelens.constants import CASES_PER_CELL, FEATURES, LABELS, SEED
+from judgelens.constants import CANDIDATES, CASES_PER_CELL, FEATURES, LABELS, MAX_ITER, SEED
 from judgelens.functions import text as T
 from judgelens.functions.hashing import sha_key
 from judgelens.operators import audits, bootstrap, charts, joins, provenance, review, sampling, slices, splits
@@ -18,8 +18,8 @@ from judgelens.plans.cases import case_index, development_cases
 from judgelens.sources import eventlog, files, tables
 from judgelens.sources.staging import new_path, stage
 
-# Fewer replicates than the default where the whole weight table is returned.
-WEIGHT_REPLICATES = 50
+# A fit stops once the objective hardly falls; the slopes are then below this.
+STATIONARY = 2e-3
 QUEUES = 3
 
 
@@ -118,11 +118,16 @@ def eventlog_summary(spark, sf):
 
 
 def file_manifest(spark, sf):
-    return files.file_manifest(spark, sf)
+    return files.file_manifest(spark, sf).select("filename", "row_count", "is_parquet")
 
 
 def artifact_manifest(spark, sf):
-    return files.artifact_manifest(spark, _feature_path(spark, sf))
+    """One text file per nation, in a folder of its own; the names of the files are Spark's."""
+    path = new_path(spark, "names")
+    nations = fx.table(spark, sf, "nation").select("n_nationkey", "n_name")
+    nations.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = files.artifact_manifest(spark, path)
+    return found.where("path LIKE '%/part-%'").select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
 
 
 # Projections, filters, validation -------------------------------------------
@@ -309,8 +314,7 @@ def quantile_interval(spark, sf):
 
 
 def label_domain_check(spark, sf):
-    flags = fx.table(spark, sf, "lineitem").select("l_returnflag")
-    return audits.label_domain_check(flags, "l_returnflag")
+    return audits.label_domain_check(fx.damaged_pairs(spark, sf), "esci_label")
 
 
 # Text functions over whole documents --------------------------------------------
@@ -420,7 +424,26 @@ def case_annotations(spark, sf):
 
 
 def cluster_weights(spark, sf):
-    return bootstrap.cluster_weights(staged_scored(spark, sf), WEIGHT_REPLICATES)
+    """All replicates, each summed up: a replicate's weights have about 0.63 rows per query."""
+    digest = (F.col("query_id") * 1_000_003 + F.col("weight") * 7919) % 1_000_000_007
+    return bootstrap.cluster_weights(staged_scored(spark, sf)).groupBy("replicate").agg(
+        F.count("*").alias("queries"), F.sum("weight").alias("draws"), F.sum(F.col("weight") * F.col("weight")).alias("squares"), F.sum(digest).alias("digest")
+    )
+
+
+REPEATED = (0.1, 0.05, 0.1)
+
+
+def review_budgets_repeated(spark, sf):
+    """Each listed budget has its own row, also where budgets repeat."""
+    queue = review.review_queue(fx.scored(spark, sf))
+    keys = ["budget_fraction", "n_reviewed"]
+    seen = review.review_metrics(queue, REPEATED).select(F.lit("priority").alias("policy"), *keys, F.col("n_errors_found").cast("double").alias("errors"))
+    random = review.review_expected_random(queue, REPEATED).select(F.lit("random").alias("policy"), *keys, F.col("n_errors_found").alias("errors"))
+    draws = review.review_random_draws(queue, REPEATED).select(
+        F.lit("draws").alias("policy"), "budget_fraction", F.lit(None).cast("bigint").alias("n_reviewed"), F.col("repeats").cast("double").alias("errors")
+    )
+    return seen.unionByName(random).unionByName(draws)
 
 
 def budget_comparison(spark, sf):
@@ -444,7 +467,8 @@ def _model_inputs(spark, sf):
 
 def fit_relevance_model(spark, sf):
     _, train, _ = _model_inputs(spark, sf)
-    return M.fit_summary(spark, "logistic_class_weighted", M.fit_relevance_model(train, True), train)
+    summary = M.fit_summary(spark, "logistic_class_weighted", M.fit_relevance_model(train, True), train)
+    return summary.select("model", (F.col("iterations") < MAX_ITER).alias("converged"), "training_rows", "class_count")
 
 
 def feature_moments(spark, sf):
@@ -452,13 +476,22 @@ def feature_moments(spark, sf):
 
 
 def model_coefficients(spark, sf):
+    """Whether the fitted coefficients are at the minimum of the penalised loss, one row each."""
     _, train, _ = _model_inputs(spark, sf)
-    return M.model_coefficients(spark, M.fit_relevance_model(train, True))
+    model = M.fit_relevance_model(train, True)
+    slopes = M.objective_slopes(model, train, M.training_weights(train))
+    return M.model_coefficients(spark, model).join(slopes, ["label", "feature"]).select(
+        "label", "feature", (F.abs("slope") < STATIONARY).alias("stationary")
+    )
 
 
 def score_projection(spark, sf):
+    """Scores of all validation pairs, held against plain arithmetic from the fitted numbers."""
     _, train, valid = _model_inputs(spark, sf)
-    return M.score(M.fit_relevance_model(train, False), valid)
+    model = M.fit_relevance_model(train, False)
+    checks = M.recomputed(model, valid).select("example_id", "p_check", "label_check")
+    agrees = (F.abs(F.col("p_e") - F.col("p_check")) < 1e-9) & (F.col("prediction") == F.col("label_check")) & F.col("p_e").between(0, 1)
+    return M.score(model, valid).join(checks, "example_id").select("example_id", "query_id", "label", agrees.alias("agrees"))
 
 
 def model_roundtrip(spark, sf):
@@ -484,14 +517,34 @@ def _selection(spark, sf):
 
 
 def model_selection(spark, sf):
-    return _selection(spark, sf)[2]
+    """Row counts, the exact figures of the baseline, and whether the best trained model is selected."""
+    rows = stage(_selection(spark, sf)[2], "selection")
+    trained = F.col("model") != "majority"
+    best = rows.where(trained).agg(F.max("macro_f1")).scalar()
+    chosen = F.when(trained & F.col("selected"), F.col("macro_f1") == best).otherwise(trained | ~F.col("selected"))
+    exact = lambda name: F.when(~trained, F.round(name, 9)).alias(name)
+    return rows.select("model", "n_rows", exact("accuracy"), exact("macro_f1"), chosen.alias("sound"))
 
 
 def freeze_record(spark, sf):
+    """The fields of the frozen record that the data fixes, and whether the selected model is a trained one."""
     path, train, selection = _selection(spark, sf)
-    return provenance.freeze_record(
+    record = provenance.freeze_record(
         selection, train, tables.read_features(spark, path), files.artifact_manifest(spark, path)
     )
+    digest = lambda split: F.col("split_digests")[split].alias(f"{split}_digest")
+    return record.select(
+        "status",
+        F.col("selected_model").isin(*[name for name, _ in CANDIDATES]).alias("selected_is_trained"),
+        "majority_label",
+        F.round("majority_p_e", 9).alias("majority_p_e"),
+        "training_rows",
+        *[F.col("training_class_counts")[label].alias(f"n_{label.lower()}") for label in LABELS],
+        *[digest(split) for split in ("train", "validation", "test")],
+        "seed",
+        "bootstrap_budget",
+        "confidence",
+    )
 
 
 def feature_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -582,6 +635,11 @@ QUERIES = {
     "case_annotations": case_annotations,
     "development_cases": _cases,
     "slice_metrics": on_scored_table(slices.slice_metrics),
+    "slice_classes": on_scored_table(slices.slice_classes),
+    "slice_confusion": on_scored_table(slices.slice_confusion),
+    "slice_review": on_scored_table(slices.slice_review),
+    "slice_random": lambda s, d: rounded(on_scored_table(slices.slice_random)(s, d)),
+    "review_budgets_repeated": lambda s, d: rounded(review_budgets_repeated(s, d)),
     "cluster_weights": cluster_weights,
     "bootstrap_macro_f1": on_scored_table(bootstrap.bootstrap_macro_f1),
     "bootstrap_audit_yield": lambda s, d: rounded(on_scored_table(bootstrap.bootstrap_audit_yield)(s, d)),
