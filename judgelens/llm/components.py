@@ -44,4 +44,5 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         if now == known:
             break
         known = now
-    return edges.select(F.col("high").alias("node"), F.col("low").alias("component_id"))
+    roots = edges.select(F.col("low").alias("node"), F.col("low").alias("component_id")).distinct()
+    return edges.select(F.col("high").alias("node"), F.col("low").alias("component_id")).unionByName(roots)

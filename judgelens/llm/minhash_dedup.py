@@ -8,16 +8,20 @@ chooses by its own hash, and so on. Two sets of similarity s meet in a branch wi
 probability s, so at 0.8 a pair misses all twelve first branches with probability
 4e-9.
 
-Linking runs in two passes, so that a group of thousands of near copies costs
-rows and not pairs. First every member of a node is held against the smallest
-member, the pivot. Then nodes whose members are not yet all in one group are
-compared exhaustively while they are small (``LEAF``) and branched further while
-they are large, only between groups; what is left large at the last level is
-compared in blocks. Pairs whose sketches agree in fewer than ``LEAST_AGREEING``
-tokens are passed over (a pair of similarity 0.8 falls below it about once in
-20,000 times, per sketch and not per tree); all others are confirmed on their
-full sets, which are computed from the whole texts of just these documents.
-Full sets meet at their pivot in portions of at most ``PORTION`` documents.
+Families come first: every member of a node is held against its smallest member,
+the pivot, by sketch, and nodes where several families still meet are compared
+exhaustively between families while they are small (``LEAF``), branched further
+while they are large, and compared in blocks where they stay large at the last
+level. Pairs whose sketches agree in fewer than ``LEAST_AGREEING`` tokens are passed
+over; a pair of similarity 0.8 falls below that less than once in 20,000 times, and
+mostly has other links into its family.
+
+Full sets, computed from the whole texts of family members only, then decide. Each
+member is confirmed against its best pivot, which joins most of a large family at a
+cost of one comparison per row. What is left in more than one group is compared
+exhaustively inside the family: blocks of at most about ``BLOCK`` sets meet in a task
+that counts common shingles by matrix products and returns a spanning forest of the
+links, never pairs; two blocks of one and the same group do not meet.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 links with nothing; shorter texts than a shingle are one shingle; rows with equal
@@ -30,6 +34,7 @@ hashes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +46,8 @@ from judgelens.llm.components import components
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION = 64, 12, 3, 6, 100, 256
+SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION, BLOCK = 64, 12, 2, 6, 100, 256, 1024
+COLUMNS = 8192  # shingles of one matrix product
 LEAST_AGREEING = 37
 MEMO = 500_000
 _ODD = np.random.default_rng(20260926)
@@ -132,57 +138,143 @@ def agreeing_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_batches(both, run, schema)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (low, high) whose full sets are similar enough."""
+def full_sets(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``rep, hashes`` (packed 64-bit shingles) of the documents whose id is in ``members.rep``."""
+    texts = pick(docs, doc_id=id_col, text=text_col).join(members.select("rep"), F.col("doc_id") == F.col("rep")).select("rep", "text")
+
+    def sets(batch: pa.RecordBatch) -> pa.Table:
+        packed = [shingle_set(raw, words).tobytes() for raw in as_bytes(batch.column("text"))]
+        return pa.table({"rep": batch.column("rep"), "hashes": pa.array(packed, pa.binary())})
+
+    schema = T.StructType([T.StructField("rep", field_type(docs, id_col)), T.StructField("hashes", T.BinaryType())])
+    return map_batches(texts, sets, schema)
+
+
+def similar(common: np.ndarray, one: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (one + other - common)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (low, high) whose full sets are similar enough; sets meet at ``low`` in bounded portions."""
     portions = pairs.groupBy("low").agg(F.ceil(F.count("*") / PORTION).cast("int").alias("portions"))
     other = pairs.join(portions, "low").select(
-        F.col("high").alias("doc"), F.col("low").alias("hub"), F.pmod(F.xxhash64("high"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("role")
+        F.col("high").alias("rep"), F.col("low").alias("hub"), F.pmod(F.xxhash64("high"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("role")
     )
-    hubs = portions.select(F.col("low").alias("doc"), F.col("low").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"))
-    due = hubs.unionByName(other)
-    texts = pick(docs, doc_id=id_col, text=text_col)
-    id_type = field_type(docs, id_col)
-    fields = [T.StructField("hub", id_type), T.StructField("portion", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("doc", id_type)]
-
-    def sets(batch: pa.RecordBatch) -> pa.Table:
-        last, raws, out = None, as_bytes(batch.column("text")), []
-        for raw in raws:
-            if raw != last:
-                last, packed = raw, shingle_set(raw, words).tobytes()
-            out.append(packed)
-        return pa.table({n: batch.column(n) for n in ("hub", "portion", "role", "doc")} | {"hashes": pa.array(out, pa.binary())})
-
-    schema = T.StructType([*fields, T.StructField("hashes", T.BinaryType())])
-    ready = map_batches(texts.join(due, F.col("doc_id") == F.col("doc")).select("hub", "portion", "role", "doc", "text"), sets, schema)
+    hubs = portions.select(F.col("low").alias("rep"), F.col("low").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"))
+    ready = sets.join(hubs.unionByName(other), "rep").select("hub", "portion", "role", "rep", "hashes")
     dealt = ready.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "role")
 
     def compare(batches):
         at, against = None, []
         for batch in batches:
             low, high = [], []
-            columns = [batch.column(n).to_pylist() for n in ("hub", "portion", "role", "doc", "hashes")]
-            for hub, portion, role, doc, raw in zip(*columns):
+            columns = [batch.column(n).to_pylist() for n in ("hub", "portion", "role", "rep", "hashes")]
+            for hub, portion, role, rep, raw in zip(*columns):
                 if (hub, portion) != at:
                     at, against = (hub, portion), []
                 mine = np.frombuffer(raw, np.uint64)
                 if role == 0:
                     against.append(mine)
-                    continue
-                for theirs in against:
-                    common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                    if 100 * common >= percent * (len(mine) + len(theirs) - common):
-                        low.append(hub)
-                        high.append(doc)
-                        break
-            kind = batch.schema.field("hub").type
-            yield pa.RecordBatch.from_pydict({"low": pa.array(low, kind), "high": pa.array(high, kind)})
+                elif any(similar(len(np.intersect1d(mine, x, assume_unique=True)), len(mine), len(x), percent) for x in against):
+                    low.append(hub)
+                    high.append(rep)
+            yield pa.RecordBatch.from_pydict({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
 
-    return dealt.mapInArrow(compare, T.StructType([T.StructField("low", id_type), T.StructField("high", id_type)])).distinct()
+    return dealt.mapInArrow(compare, "low long, high long").distinct()
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the shingles that both sides have."""
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    rows = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    column = [np.searchsorted(shared, x) for x in flat]
+    known = [(c < len(shared)) & (shared[np.minimum(c, max(0, len(shared) - 1))] == x) if len(shared) else np.zeros(len(x), bool) for c, x in zip(column, flat)]
+    rows, column = [r[k] for r, k in zip(rows, known)], [c[k] for c, k in zip(column, known)]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)  # whole numbers are exact up to 2^24, more than a block row has
+    for start in range(0, len(shared), COLUMNS):
+        parts = []
+        for n, r, c in zip((len(left), len(right)), rows, column):
+            here = (c >= start) & (c < start + COLUMNS)
+            part = np.zeros((n, min(COLUMNS, len(shared) - start)), dtype=np.float32)
+            part[r[here], c[here] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs that connect what all the given pairs connect."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for x, y in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0).tolist():
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append((x, y))
+    return kept
+
+
+def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between groups inside families: ``family, rep, grp`` to group pairs ``low, high``.
+
+    Rows of groups below ``BLOCK`` members are dealt to blocks by a hash, rows of
+    larger groups to blocks of their own kind, which only meet each other if the
+    family has several such groups.
+    """
+    groups = rows.groupBy("family", "grp").agg(F.count("*").alias("n"))
+    big = F.col("n") >= BLOCK
+    families = groups.groupBy("family").agg(
+        F.ceil(F.sum(F.when(~big, F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("small_blocks"),
+        F.ceil(F.sum(F.when(big, F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("big_blocks"),
+        F.count_if(big).alias("big_groups"),
+        F.count("*").alias("n_groups"),
+    )
+    hashed = F.xxhash64(F.lit(11), "rep")
+    sized = (
+        rows.join(groups, ["family", "grp"])
+        .join(families.where("n_groups > 1"), "family")
+        .withColumn("big", big)
+        .withColumn("mine", F.pmod(hashed, F.when(big, F.col("big_blocks")).otherwise(F.col("small_blocks"))).cast("int"))
+    )
+    mine, w, b = F.col("mine"), F.col("small_blocks"), F.col("big_blocks")
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def seat(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    alike = lambda kind, n: F.transform(up_to(n), lambda j: seat(kind, F.least(j, mine), F.greatest(j, mine), (j < mine)))
+    small_seats = F.concat(alike("small", w), F.transform(up_to(b), lambda j: seat("mixed", mine, j, F.lit(0))))
+    big_seats = F.concat(F.transform(up_to(w), lambda i: seat("mixed", i, mine, F.lit(1))), F.when(F.col("big_groups") > 1, alike("big", b)).otherwise(alike("big", F.lit(0))))
+    dealt = (
+        sized.select("family", "rep", "grp", F.explode(F.when(F.col("big"), big_seats).otherwise(small_seats)).alias("seat"))
+        .select("family", "seat.*", "rep", "grp")
+        .join(sets, "rep")
+    )
 
+    def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        _, kind, i, j = key
+        left = block[block["side"] == 0]
+        right = left if kind != "mixed" and i == j else block[block["side"] == 1]
+        found = []
+        if len(left) and len(right):
+            sides = [[np.frombuffer(raw, np.uint64) for raw in x["hashes"]] for x in (left, right)]
+            sizes = [np.array([len(s) for s in x]) for x in sides]
+            one, other = left["grp"].to_numpy(), right["grp"].to_numpy()
+            linked = similar(common_counts(*sides), sizes[0][:, None], sizes[1][None, :], percent) & (one[:, None] != other[None, :])
+            p, q = np.nonzero(linked)
+            found = spanning(one[p], other[q])
+        return pd.DataFrame(found, columns=["low", "high"], dtype="int64")
 
-def _groups(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of nodes with the group they are in so far."""
-    return members.join(groups.select(F.col("node").alias("rep"), "component_id"), "rep", "left").withColumn("grp", F.coalesce("component_id", "rep")).drop("component_id")
+    return dealt.groupBy("family", "kind", "i", "j").applyInPandas(compare, "low long, high long").distinct()
 
 
 def _open_nodes(rows: DataFrame) -> DataFrame:
@@ -261,18 +353,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stage(first.join(sizes, "node"), "tree-nodes")
     stars = members.where("rep != pivot").select(F.col("pivot").alias("low"), F.col("rep").alias("high")).distinct()
     near = stage(agreeing_pairs(stars, classes), "star-pairs")
-    best = near.groupBy("high").agg(F.max(F.struct(F.col("agree"), (-F.col("low")).alias("order"), F.col("low"))).alias("b")).select(F.col("b.low").alias("low"), "high")
-    best = stage(best, "best-pairs")
-    links = stage(confirm(best, docs, id_col, text_col, words, percent), "links")
-    groups = components(links, "low", "high")
-    # Second pass: whatever may still link two groups.
-    rest = near.select("low", "high").join(best, ["low", "high"], "left_anti")
-    grouped = _groups(members.where("n > 2").select("node", "rep"), groups)
-    open_rows, pairs, level = grouped, [rest], 0
+    families = components(near, "low", "high")
+    label = lambda df, name: families.select(F.col("node").alias("rep"), F.col("component_id").alias(name)).join(df, "rep", "right").withColumn(name, F.coalesce(name, "rep"))
+    # Pairs between families, from nodes where several meet.
+    open_rows, across, level = label(members.where("n > 2").select("node", "rep"), "grp"), None, 0
     while True:
         open_rows = stage(open_rows.join(_open_nodes(open_rows), "node"), "open-nodes")
         small = open_rows.where(F.col("n") <= LEAF) if level < DEPTH else open_rows
-        pairs.append(leaf_pairs(small, classes))
+        pairs = leaf_pairs(small, classes)
+        across = pairs if across is None else across.unionByName(pairs)
         large = open_rows.where(F.col("n") > LEAF)
         if level == DEPTH or large.isEmpty():
             break
@@ -280,23 +369,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         choice = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(b)), F.lit(SKETCH - TREES)).cast("int") + TREES + 1 for b in range(BRANCHES)]
         token = F.explode(F.array(*[F.xxhash64("node", c, F.element_at("sketch", c)) for c in choice]))
         open_rows = large.join(classes.select("rep", "sketch"), "rep").select("rep", "grp", token.alias("node")).distinct()
-    candidates = pairs[0]
-    for more in pairs[1:]:
-        candidates = candidates.unionByName(more)
-    group_of = groups.select(F.col("node"), "component_id")
-    side = lambda name: group_of.withColumnsRenamed({"node": name, "component_id": f"g_{name}"})
-    between = (
-        candidates.distinct()
-        .join(best, ["low", "high"], "left_anti")
-        .join(side("low"), "low", "left")
-        .join(side("high"), "high", "left")
-        .where(F.coalesce("g_low", "low") != F.coalesce("g_high", "high"))
-        .select("low", "high")
-    )
-    between = stage(between, "pairs-between-groups")
-    if not between.isEmpty():
-        more_links = stage(confirm(between, docs, id_col, text_col, words, percent), "links")
-        groups = components(groups.select(F.col("node").alias("low"), F.col("component_id").alias("high")).unionByName(more_links), "low", "high")
+    across = stage(across.distinct(), "pairs-across")
+    families = stage(components(near.select("low", "high").unionByName(across), "low", "high").select(F.col("node").alias("rep"), F.col("component_id").alias("family")), "families")
+    sets = stage(full_sets(families, docs, id_col, text_col, words), "full-sets")
+    best = near.groupBy("high").agg(F.max(F.struct(F.col("agree"), (-F.col("low")).alias("order"), F.col("low"))).alias("b")).select(F.col("b.low").alias("low"), "high")
+    links = stage(confirm(best, sets, percent), "links")
+    groups = components(links, "low", "high")
+    rest = families.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("family", "rep", F.coalesce("component_id", "rep").alias("grp"))
+    more = stage(family_links(stage(rest, "family-groups"), sets, percent), "links")
+    groups = components(links.unionByName(more), "low", "high")
     of_class = classes.select(*keys, "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", *keys).join(of_class, keys, "left")
     component = F.coalesce("component_id", "doc_id")

@@ -43,8 +43,7 @@ def test_components(spark, shape):
     got = {r.node: r.component_id for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     expected = groups_of(ids, links)
     linked = {x for a, b in links if a != b for x in (a, b)}
-    ends = {n: c for n, c in expected.items() if n in linked}
-    assert {n: got.get(n, n) for n in ends} == ends and set(got) <= linked
+    assert got == {n: c for n, c in expected.items() if n in linked}
 
 
 def test_components_without_links(spark):
@@ -152,10 +151,11 @@ def crowded_texts():
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize("words", [4, 5])
-def test_document_links_equal_all_pairs(spark, words, monkeypatch):
+@pytest.mark.parametrize("words, block", [(4, 12), (5, 1024)])
+def test_document_links_equal_all_pairs(spark, words, block, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "LEAF", 20)
     monkeypatch.setattr(minhash_dedup, "PORTION", 16)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     texts = crowded_texts()
     rows = spark.createDataFrame([(k, t, 1, "x") for k, t in texts.items()], "doc_id long, text string, rep int, node string")
     got = minhash_dedup.near_duplicates(rows, words=words).collect()
