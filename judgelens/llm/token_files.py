@@ -206,13 +206,14 @@ def read_token_table(spark: SparkSession, path: str, with_ids: bool = True) -> D
             for base, names, ends, raw in zip(*columns):
                 ids = decode_block(raw).astype("<u4")
                 starts_ = [0, *ends[:-1]]
-                raws = [ids[a:b].tobytes() for a, b in zip(starts_, ends)]
+                spans = [ids[a:b] for a, b in zip(starts_, ends)]
                 out = {
                     "doc_id": pa.array(names, batch.schema.field("doc_ids").type.value_type),
                     "start": pa.array([base + a for a in starts_], pa.int64()),
                     "n_tokens": pa.array([b - a for a, b in zip(starts_, ends)], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in raws], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in spans], pa.int64()),
                 }
+                raws = [x.tobytes() for x in spans] if with_ids else []
                 yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(raws, pa.binary())} if with_ids else {}))
 
     return blocks.mapInArrow(documents, schema)

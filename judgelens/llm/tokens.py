@@ -103,6 +103,14 @@ class WordEncoder:
             raw = known[stems[0]] + ends[0]
             known[word] = raw + b"".join(self.line_feed + self.bare[stem] + end for stem, end in zip(stems[1:], ends[1:]))
 
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of words without a space before them, and of whole texts."""
+        plain = {h for h in heads if h and len(h) <= self.longest and not h[0].isspace() and not h[-1].isspace() and "\n" not in h and " " not in h}
+        self.bare.update(self._joined(list(plain.difference(self.bare)), "\n"))
+        rest = [h for h in heads if h not in plain]
+        others = iter(self.whole(rest) if rest else [])
+        return [self.bare[h] if h in plain else next(others) for h in heads]
+
     def _mark(self, marks: str) -> bytes:
         if marks not in self.marks:
             self.marks[marks] = self.whole([marks])[0]
@@ -148,14 +156,16 @@ class WordEncoder:
         sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // ID.itemsize
         first = offsets[:-1]
         # A text is encoded whole if a cut in it would be wrong: any word but the first is unfit, or the first ends in white space.
-        wrong = unfit[word_of].astype(np.int64)
         heads = [words[k] for k in word_of[first].tolist()]
-        wrong[first] = [not h or h[-1].isspace() for h in heads]
-        single = np.diff(offsets) == 1
-        whole = (np.add.reduceat(wrong, first) > 0) & ~single if len(first) else np.zeros(0, bool)
+        whole = np.array([not h or h[-1].isspace() for h in heads], dtype=bool)
+        if unfit.any():
+            wrong = unfit[word_of].astype(np.int64)
+            wrong[first] = 0
+            whole |= np.add.reduceat(wrong, first) > 0
+        whole &= np.diff(offsets) > 1
         for k in np.flatnonzero(whole).tolist():
             heads[k] = texts[k].as_py()
-        head_raws = self.whole(heads)
+        head_raws = self._heads(heads)
         head_sizes = np.array([len(raw) // ID.itemsize for raw in head_raws], dtype=np.int64)
         store = np.frombuffer(b"".join([*raws, *head_raws, np.array([END_ID], dtype=ID).tobytes()]), dtype=ID)
         starts, head_starts = np.cumsum(sizes) - sizes, sizes.sum() + np.cumsum(head_sizes) - head_sizes
