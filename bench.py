@@ -67,11 +67,11 @@ def main() -> None:
             frame.collect()
 
     # One untimed pass over the same tables loads classes and compiles code.
-    prepare(spark, pairs, products, fx.LOCALE, f"{work}/warm-up/features")
+    prepare(spark, pairs, products, fx.LOCALE, f"{work}/warm-up/features", reports=f"{work}/warm-up/reports")
     study.train(spark, f"{work}/warm-up").collect()
     evaluate(f"{work}/warm-up")
 
-    saved = clock("prepare", lambda: prepare(spark, pairs, products, fx.LOCALE, f"{root}/features"))
+    saved = clock("prepare", lambda: prepare(spark, pairs, products, fx.LOCALE, f"{root}/features", reports=f"{root}/reports"))
     clock("train", lambda: study.train(spark, root).collect())
     clock("evaluate", lambda: evaluate(root))
     stages = sum(seconds.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -198,14 +200,31 @@ def data_audit(pairs: DataFrame, products: DataFrame, joined: DataFrame, profile
     )
 
 
-def run_sql_audits(spark: SparkSession, text: str) -> DataFrame:
-    """Run each statement of an audit file; rows come back as JSON with a statement number.
+# Quoted text, comments, and the semicolon outside of both.
+SQL_PART = re.compile(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`)|(--[^\n]*|/\*.*?\*/)|(;)""", re.S)
 
-    Comment lines are dropped and statements end with a semicolon, so a
-    literal in the file must not hold one.
-    """
-    body = "\n".join(line for line in text.splitlines() if not line.lstrip().startswith("--"))
-    statements = [part.strip() for part in body.split(";") if part.strip()]
+
+def split_statements(text: str) -> list[str]:
+    """Statements of a file: cut at semicolons, comments left out, quoted text left alone."""
+    statements, current, at = [], [], 0
+    for part in SQL_PART.finditer(text):
+        current.append(text[at : part.start()])
+        at = part.end()
+        quoted, comment, end = part.groups()
+        if quoted:
+            current.append(quoted)
+        elif comment:
+            current.append(" ")
+        else:
+            statements.append("".join(current).strip())
+            current = []
+    statements.append("".join([*current, text[at:]]).strip())
+    return [x for x in statements if x]
+
+
+def run_sql_audits(spark: SparkSession, text: str) -> DataFrame:
+    """Run each statement of an audit file; rows come back as JSON with a statement number."""
+    statements = split_statements(text)
     if not statements:
         raise ValueError("no SQL statement found")
     results = []

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from judgelens.constants import CASES_PER_CELL, EVIDENCE_COLUMNS, SEED
-from judgelens.operators.sampling import annotate_cases, attach_evidence, stratified_error_sample
+from judgelens.operators.classification import assert_scored
+from judgelens.operators.sampling import annotate_cases, assert_evidence, attach_evidence, stratified_error_sample
+from judgelens.sources.staging import stage
 
 INDEX_COLUMNS = ("example_id", "label", "prediction", "p_e", *EVIDENCE_COLUMNS)
 
@@ -13,9 +15,11 @@ INDEX_COLUMNS = ("example_id", "label", "prediction", "p_e", *EVIDENCE_COLUMNS)
 def development_cases(
     scored: DataFrame, features: DataFrame, per_cell: int = CASES_PER_CELL, seed: int = SEED
 ) -> DataFrame:
-    """Sampled errors with text, evidence and an empty review form."""
-    cases = attach_evidence(stratified_error_sample(scored, per_cell, seed), features, per_cell)
-    return annotate_cases(cases)
+    """Sampled errors with text, evidence and an empty review form; refuses scores and sources that do not fit."""
+    assert_scored(scored)
+    cases = stage(attach_evidence(stratified_error_sample(scored, per_cell, seed), features, per_cell), "cases")
+    assert_evidence(cases)
+    return annotate_cases(cases, per_cell)
 
 
 def case_index(cases: DataFrame) -> DataFrame:

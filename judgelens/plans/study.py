@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from judgelens.constants import BOOTSTRAP_BUDGET, BOOTSTRAP_REPLICATES, REVIEW_BUDGETS
 from judgelens.operators import classification as C
 from judgelens.operators import modelling as M
-from judgelens.operators import provenance, review
+from judgelens.operators import charts, provenance, review, slices
 from judgelens.operators.bootstrap import bootstrap_intervals
-from judgelens.operators.slices import SLICE_INPUTS, slice_metrics
+from judgelens.operators.slices import SLICE_INPUTS
 from judgelens.plans.parallel import run_all
 from judgelens.sources.files import artifact_manifest
 from judgelens.sources.staging import stage
@@ -43,6 +43,15 @@ def train(spark: SparkSession, root: str) -> DataFrame:
     run_all(spark, {name: partial(keep, name) for name in models})
     for name in models:
         scored[name] = read_scored(spark, f"{root}/scored/{name}_validation")
+
+    def report(name: str) -> None:
+        C.assert_scored(scored[name])
+        write_metrics(review.review_metrics(review.review_queue(scored[name])), f"{root}/metrics/{name}_validation_review")
+        if name in models:
+            write_metrics(M.fit_summary(spark, name, models[name], fit_rows), f"{root}/metrics/{name}_fit")
+
+    run_all(spark, {name: partial(report, name) for name in scored})
+    write_metrics(C.class_weights(fit_rows), f"{root}/metrics/class_weights")
     comparison = M.compare_models(scored)
     write_metrics(comparison, f"{root}/metrics/validation")
     comparison = spark.read.schema(comparison.schema).json(f"{root}/metrics/validation")
@@ -73,6 +82,7 @@ def evaluate(
     C.assert_scored(scored)
     queue = review.review_queue(scored, *SLICE_INPUTS)
     cells = stage(C.contingency(scored), "cells")
+    majority = C.baseline_scored(read_split(spark, f"{root}/features", "train"), test)
     measures = {
         "classification": lambda: C.summary_of(cells),
         "per_class": lambda: C.per_class_of(cells),
@@ -82,7 +92,13 @@ def evaluate(
         "review_expected_random": lambda: review.review_expected_random(queue, budgets),
         "review_random_draws": lambda: review.review_random_draws(queue, budgets),
         "uncertainty": lambda: bootstrap_intervals(scored, BOOTSTRAP_BUDGET, replicates, queue=queue),
-        "slices": lambda: slice_metrics(scored, budgets, queue),
+        "slices": lambda: slices.slice_metrics(scored, budgets, queue),
+        "slice_classes": lambda: slices.slice_classes(scored),
+        "slice_confusion": lambda: slices.slice_confusion(scored),
+        "slice_review": lambda: slices.slice_review(scored, budgets, queue),
+        "slice_random": lambda: slices.slice_random(scored, budgets),
+        "majority": lambda: C.classification_summary(majority),
+        "class_tradeoff": lambda: charts.class_tradeoff(scored, majority),
     }
 
     def measure(name: str) -> DataFrame:
@@ -90,4 +106,6 @@ def evaluate(
         write_metrics(metrics, path)
         return spark.read.schema(metrics.schema).json(path)
 
-    return run_all(spark, {name: partial(measure, name) for name in measures})
+    results = run_all(spark, {name: partial(measure, name) for name in measures})
+    measures["budget_comparison"] = lambda: charts.budget_comparison(queue, results["uncertainty"], budgets, BOOTSTRAP_BUDGET)
+    return results | {"budget_comparison": measure("budget_comparison")}

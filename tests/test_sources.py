@@ -139,14 +139,23 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_study_end_to_end(spark, tmp_path):
     root = str(tmp_path)
     pairs, products = fx.pairs(spark, SF), fx.products(spark, SF)
-    saved = prepare(spark, pairs, products, "us", f"{root}/features", key_hash=sha_key)
+    saved = prepare(spark, pairs, products, "us", f"{root}/features", key_hash=sha_key, reports=f"{root}/reports")
+    audit = spark.read.json(f"{root}/reports/data_audit").first()
+    assert saved.count() == audit.n_pairs - audit.excluded_rows and audit.joined_rows == audit.n_pairs
+    assert spark.read.json(f"{root}/reports/query_digests").count() == 3
     assert saved.count() == fx.features(spark, SF).count()
     comparison = {r.model: r for r in study.train(spark, root).collect()}
     assert set(comparison) == {"majority", "logistic_unweighted", "logistic_class_weighted"}
     assert sum(r.selected for r in comparison.values()) == 1 and not comparison["majority"].selected
     best = max(comparison[name].macro_f1 for name in comparison if name != "majority")
     assert [r.macro_f1 for r in comparison.values() if r.selected] == [best]
+    for name in ("logistic_unweighted", "logistic_class_weighted"):
+        assert spark.read.json(f"{root}/metrics/{name}_validation_review").count() == 2
+        assert spark.read.json(f"{root}/metrics/{name}_fit").first().iterations > 0
     results = study.evaluate(spark, root, replicates=10)
+    assert results["majority"].first().n_rows == results["classification"].first().n_rows
+    assert results["class_tradeoff"].count() == 12 and results["budget_comparison"].count() == 4
+    assert results["slice_classes"].count() % 4 == 0 and results["slice_random"].count() > 0
     test_rows = saved.filter("dataset_split = 'test'").count()
     assert results["classification"].first().n_rows == test_rows
     assert sum(r.n for r in results["confusion"].collect()) == test_rows
@@ -154,3 +163,16 @@ def test_study_end_to_end(spark, tmp_path):
     (tmp_path / "features" / "dataset_split=test" / "extra.parquet").write_bytes(b"PAR1")
     with pytest.raises(ValueError, match="changed since"):
         study.evaluate(spark, root, replicates=10)
+
+
+def test_statements_are_cut_outside_of_quotes_and_comments():
+    from judgelens.operators.audits import split_statements
+
+    text = """-- first; not cut
+SELECT ';' AS a, "x;y" AS b, 'it''s; fine' AS c; /* none;
+here */ SELECT `d;e` FROM t -- end;
+;  ;"""
+    found = split_statements(text)
+    assert [x.split()[0] for x in found] == ["SELECT", "SELECT"]
+    assert found[0].count(";") == 3 and found[1] == "SELECT `d;e` FROM t"
+    assert split_statements(" -- nothing\n") == []
