@@ -34,7 +34,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy("high").agg(F.min("low").alias("seen")).select(F.col("high").alias("hub"), F.least("high", "seen").alias("least"))
         # Large star: the hub's larger neighbours go to the smallest node it sees.
-        large = both.join(least, both["low"] == least["hub"]).where((F.col("high") > F.col("low")) & (F.col("high") != F.col("least"))).select("high", F.col("least").alias("low")).distinct()
+        large = both.join(least, both["low"] == least["hub"]).where((F.col("high") > F.col("low")) & (F.col("high") != F.col("least"))).select("high", F.col("least").alias("low"))
         least = large.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "hub")
         # Small star: a node and its smaller neighbours go to the smallest of them.
         joined = large.join(least, large["high"] == least["hub"])

@@ -46,7 +46,7 @@ from judgelens.llm.components import components
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION, BLOCK = 64, 12, 2, 6, 100, 256, 1024
+SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION, BLOCK = 64, 12, 2, 6, 1000, 256, 1024
 COLUMNS = 8192  # shingles of one matrix product
 LEAST_AGREEING = 37
 MEMO = 500_000
@@ -370,14 +370,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         token = F.explode(F.array(*[F.xxhash64("node", c, F.element_at("sketch", c)) for c in choice]))
         open_rows = large.join(classes.select("rep", "sketch"), "rep").select("rep", "grp", token.alias("node")).distinct()
     across = stage(across.distinct(), "pairs-across")
-    families = stage(components(near.select("low", "high").unionByName(across), "low", "high").select(F.col("node").alias("rep"), F.col("component_id").alias("family")), "families")
+    if not across.isEmpty():  # families grow together
+        known = families.select(F.col("node").alias("low"), F.col("component_id").alias("high"))
+        families = components(known.unionByName(across), "low", "high")
+    families = stage(families.select(F.col("node").alias("rep"), F.col("component_id").alias("family")), "families")
     sets = stage(full_sets(families, docs, id_col, text_col, words), "full-sets")
     best = near.groupBy("high").agg(F.max(F.struct(F.col("agree"), (-F.col("low")).alias("order"), F.col("low"))).alias("b")).select(F.col("b.low").alias("low"), "high")
     links = stage(confirm(best, sets, percent), "links")
     groups = components(links, "low", "high")
     rest = families.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("family", "rep", F.coalesce("component_id", "rep").alias("grp"))
     more = stage(family_links(stage(rest, "family-groups"), sets, percent), "links")
-    groups = components(links.unionByName(more), "low", "high")
+    if not more.isEmpty():
+        known = groups.select(F.col("node").alias("low"), F.col("component_id").alias("high"))
+        groups = components(known.unionByName(more), "low", "high")
     of_class = classes.select(*keys, "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("doc_id", *keys).join(of_class, keys, "left")
     component = F.coalesce("component_id", "doc_id")
