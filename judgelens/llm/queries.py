@@ -78,9 +78,9 @@ SQL["op3_embedding_dedup"] = """
 WITH RECURSIVE vectors AS (
   SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
 ), usable AS (
-  SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM vectors
-  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(v, x -> x <> 0)) > 0
+  SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM vectors
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
@@ -102,7 +102,7 @@ WITH RECURSIVE words AS (
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
   FROM words
 ), sizes AS (
   SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
