@@ -46,7 +46,7 @@ from judgelens.llm.components import components
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION, BLOCK = 64, 12, 2, 6, 1000, 256, 1024
+SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION, BLOCK = 64, 12, 2, 6, 2000, 256, 1024
 COLUMNS = 8192  # shingles of one matrix product
 LEAST_AGREEING = 37
 MEMO = 500_000
