@@ -94,14 +94,14 @@ FORMS = [
     ("declared", 75, r"licen[sc]e(?: is| text)?(?: the)? (?:{spdx})", ()),
     ("name", 60, r"(?:the )?(?:{name})", ()),
 ]
-# Openings and conditions of license texts: label, priority, keywords, expression.
+# Openings and conditions of license texts: label, priority, keywords, expression. Words joined by | replace each other.
 TEXTS = [
     ("mit", 85, ("hereby", "granted"), r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", 85, ("permission", "hereby"), r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", 85, ("redistribution", "binary"), r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("apache", 85, ("reproduction", "distribution"), r"terms and conditions for use reproduction and distribution"),
     ("gpl", 85, ("copyleft",), r"free copyleft license for software"),
-    ("gpl", 85, ("redistribute", "foundation"), r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 85, ("redistribute", "gnu"), r"you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("mpl", 85, ("source", "mozilla"), r"this source code form is subject to the terms of the mozilla public license"),
     ("zlib", 85, ("altered",), r"altered source versions must be plainly marked as such"),
     ("bsl", 85, ("boost",), r"boost software license version 1 0"),
@@ -110,8 +110,8 @@ TEXTS = [
     ("proprietary", 45, ("confidential",), r"(?:proprietary and confidential|confidential and proprietary)"),
     ("proprietary", 45, ("unauthorized", "copying"), r"unauthorized copying of this (?:file|document|software)"),
     ("copyright", 30, ("copyright",), r"copyright (?:c )?(?:[12][0-9]{3}(?: [12][0-9]{3})*)"),
-    ("unknown", 20, ("licensed",), r"licensed under (?:the )?(?:terms of )?"),
-    ("unknown", 20, ("license",), r"see (?:the )?licen[sc]e(?: file)?(?: for details)?"),
+    ("unknown", 20, ("licensed",), r"licensed under(?: the)?(?: terms of)?"),
+    ("unknown", 20, ("license|licence",), r"see (?:the )?licen[sc]e(?: file)?(?: for details)?"),
 ]
 BASE_PRIORITY = 50
 SPAN = T.ArrayType(
@@ -135,7 +135,7 @@ class Rule:
 
 
 # Words of which every license name has one, where no single word is sure.
-HINTS = tuple("license licence licensed gpl bsd cc0 cc spdx creative unlicense openrail rail gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 domain ncsa expat".split())
+HINTS = tuple("license licence licensed gpl bsd cc0 cc spdx creative unlicense openrail rail gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 domain ncsa expat license1 licence1 license2 licence2 license3 licence3".split())
 
 
 def _rule(name, label, priority, keywords, hints, text, base=False) -> Rule:
@@ -144,12 +144,18 @@ def _rule(name, label, priority, keywords, hints, text, base=False) -> Rule:
 
 
 def _fixed_words(expression: str) -> tuple[str, ...]:
-    """A word that every match of the expression must hold, if it shows plainly; else none."""
-    if "|" in re.sub(r"\(\?:[^()]*\)\??", "", expression):
+    """Whole words that every match of the expression must hold, longest first; none if it has alternatives.
+
+    Groups, classes and optional characters become a mark, and a word that touches one is not counted:
+    it may be part of a longer word.
+    """
+    plain, before = expression, None
+    while plain != before:
+        before, plain = plain, re.sub(r"\(\?:[^()]*\)(?:[?*+]|\{[^}]*\})?", "\0", plain)
+    plain = re.sub(r"(?:\[[^\]]*\]|.)(?:[?*+]|\{[^}]*\})|\[[^\]]*\]", "\0", plain)
+    if "|" in plain:
         return ()
-    plain = re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]\S*|\S*\?\S*", " ", expression)
-    words = [w for w in plain.split() if re.fullmatch("[a-z0-9]{3,}", w)]
-    return (max(words, key=len),) if words else ()
+    return tuple(sorted((w for w in plain.split(" ") if re.fullmatch("[a-z0-9]{3,}", w)), key=len, reverse=True))
 
 
 def build_rules() -> list[Rule]:
@@ -158,9 +164,9 @@ def build_rules() -> list[Rule]:
     for label, spdx, name, url in LICENSES:
         for form, priority, shape, keywords in FORMS:
             own = _fixed_words({"address": url, "name": name}.get(form, "|"))
-            hints = own or (*HINTS, *re.findall(r"(?:^|\|)([a-z0-9]+)", spdx))
+            hints = own[:1] or (*HINTS, *re.findall(r"(?:^|\|)([a-z0-9]+)", spdx))
             rules.append(_rule(f"{form}:{label}", label, priority, (*keywords, *own), hints, shape.format(spdx=spdx, name=name, url=url)))
-    rules += [_rule(f"text:{label}", label, priority, keywords, keywords[-1:], text) for label, priority, keywords, text in TEXTS]
+    rules += [_rule(f"text:{label}", label, priority, keywords[:-1], keywords[-1].split("|"), text) for label, priority, keywords, text in TEXTS]
     return sorted(rules, key=lambda r: -r.priority)
 
 

@@ -105,6 +105,59 @@ def test_there_are_hundreds_of_rules_gated_by_words():
     assert license_scan.Scanner(rules).find(b"no hint of it here".split()) == []
 
 
+def sample(parsed, rng):
+    """A random string that a parsed regular expression matches."""
+    out = ""
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            kind, value = rng.choice(value)
+            out += chr(value if str(kind) == "LITERAL" else rng.randint(*value))
+        elif kind == "BRANCH":
+            out += sample(rng.choice(value[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += sample(value[-1], rng)
+        elif kind == "MAX_REPEAT":
+            low, high, inner = value
+            out += "".join(sample(inner, rng) for _ in range(rng.randint(low, min(int(high), low + 3))))
+        else:
+            assert kind == "ASSERT_NOT", kind
+    return out
+
+
+def test_every_license_rule_finds_what_its_pattern_matches():
+    rng, scanner, lost = random.Random(7), license_scan.Scanner(), set()
+    for n, rule in enumerate(scanner.rules):
+        parsed = re._parser.parse(rule.pattern.pattern.decode())
+        for _ in range(60):
+            words = sample(parsed, rng).encode().split()
+            one = license_scan.Scanner([license_scan.Rule(rule.name, rule.label, rule.priority, (), tuple(words), rule.pattern)])
+            if not one.find(words) or not any(x["rule"] == rule.name and x["priority"] == rule.priority for x in scanner.find(words)):
+                lost.add((n, rule.name, b" ".join(words)))
+    assert not lost
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("ISC License", "isc"),
+        ("zlib license", "zlib"),
+        ("zlib/libpng license", "zlib"),
+        ("Vim license", "vim"),
+        ("PHP License", "php"),
+        ("https://www.apache.org/licenses/", "apache"),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"),
+        ("see the licence file", "unknown"),
+        ("Licensed under the Acme terms", "unknown"),
+    ],
+)
+def test_license_rules_without_optional_words(text, label):
+    found = license_scan.Scanner().find(text.encode().translate(license_scan.FOLD).split())
+    assert label in {x["label"] for x in found if not x["suppressed"]}
+
+
 # Token counts
 
 
