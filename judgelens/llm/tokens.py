@@ -6,7 +6,8 @@ before such spaces and the cuts encoded apart. Words repeat: Arrow finds the
 distinct words of a slice of the column, each worker keeps the ids of the words
 it met, and the tokenizers library sees only new words, many at a time. Texts in
 which a space touches other white space are encoded whole, as the rule does not
-hold for them.
+hold for them, and so are texts with the string of an added token, such as
+"<|endoftext|>", which the library turns into that token's id.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = sorted({token.content for token in self.tokenizer.get_added_tokens_decoder().values() if token.content})
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for piece, i in vocabulary.items() if piece.startswith("Ġ")]] = True
@@ -103,9 +104,16 @@ class WordEncoder:
             raw = known[stems[0]] + ends[0]
             known[word] = raw + b"".join(self.line_feed + self.bare[stem] + end for stem, end in zip(stems[1:], ends[1:]))
 
-    def _heads(self, heads: list[str]) -> list[bytes]:
-        """Ids of words without a space before them, and of whole texts."""
-        plain = {h for h in heads if h and len(h) <= self.longest and not h[0].isspace() and not h[-1].isspace() and "\n" not in h and " " not in h}
+    def _with_added(self, texts: pa.Array) -> pa.Array:
+        """Which texts hold the string of an added token: a cut beside it could be wrong."""
+        found = pa.array(np.zeros(len(texts), bool))
+        for content in self.added:
+            found = pc.or_(found, pc.match_substring(texts, content))
+        return found
+
+    def _heads(self, heads: list[str], whole: set[int]) -> list[bytes]:
+        """Ids of words without a space before them, and of whole texts (those numbered in ``whole`` are no words)."""
+        plain = {h for k, h in enumerate(heads) if k not in whole and h and len(h) <= self.longest and not h[0].isspace() and not h[-1].isspace() and "\n" not in h and " " not in h}
         self.bare.update(self._joined(list(plain.difference(self.bare)), "\n"))
         rest = [h for h in heads if h not in plain]
         others = iter(self.whole(rest) if rest else [])
@@ -134,7 +142,8 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids behind each other, and the place behind the last id of each text."""
         texts = texts.fill_null("")
-        lists = pc.split_pattern(texts, " ")
+        added = self._with_added(texts)
+        lists = pc.split_pattern(pc.if_else(added, "", texts) if pc.any(added).as_py() else texts, " ")
         offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         word_of, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -163,9 +172,10 @@ class WordEncoder:
             wrong[first] = 0
             whole |= np.add.reduceat(wrong, first) > 0
         whole &= np.diff(offsets) > 1
-        for k in np.flatnonzero(whole).tolist():
+        uncut = np.flatnonzero(whole | added.to_numpy(zero_copy_only=False)).tolist()
+        for k in uncut:
             heads[k] = texts[k].as_py()
-        head_raws = self._heads(heads)
+        head_raws = self._heads(heads, set(uncut))
         head_sizes = np.array([len(raw) // ID.itemsize for raw in head_raws], dtype=np.int64)
         store = np.frombuffer(b"".join([*raws, *head_raws, np.array([END_ID], dtype=ID).tobytes()]), dtype=ID)
         starts, head_starts = np.cumsum(sizes) - sizes, sizes.sum() + np.cumsum(head_sizes) - head_sizes

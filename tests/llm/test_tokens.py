@@ -42,6 +42,20 @@ def test_column_encoding_equals_the_library(tokenizer, memo):
             assert ids[a:b].tolist() == reference(tokenizer, text).tolist(), repr(text)
 
 
+@pytest.mark.parametrize("memo", [10, 1_000_000])
+def test_added_tokens_get_their_ids(memo):
+    untouched, own = Tokenizer.from_file(tokenizer_file()), tokens.WordEncoder(tokenizer_file(), memo=memo)
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a{end}b", f"{end}{end} x", f"one two {end}", f"{end}\n{end}", f"a\n{end}\nb.", "<|endoftext |>", "a b", None]
+    texts += [text for seed in (8, 9) for text in odd_texts(seed)]
+    for start in range(0, len(texts), 300):
+        part = texts[start : start + 300]
+        ids, ends = own.encode(pa.array(part, pa.string()))
+        for text, a, b in zip(part, [0, *ends[:-1]], ends, strict=True):
+            assert ids[a:b].tolist() == reference(untouched, text).tolist(), repr(text)
+    assert own.encode(pa.array([f"a {end} b"]))[0].tolist() == [64, 220, 50256, 275, tokens.END_ID]
+
+
 def test_slices_cover_all_rows():
     texts = pa.array(["x" * n for n in (5, 0, 900, 3, 3, 3)] + [None])
     got = list(tokens.slices(texts, 10))
