@@ -9,7 +9,8 @@ never text.
 
 Defined results: a null or empty page, or one without main text, gives an empty
 text; broken markup is read as far as it goes (an unclosed tag at the end of the
-page is dropped, an unknown closing tag ignored); every page is read whole, in
+page is dropped, an unknown closing tag ignored, a head without its closing tag
+ends at the first tag or text that cannot be in one); every page is read whole, in
 one pass; repeated rows are read each for itself; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -33,6 +34,7 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SILENT_TAGS = frozenset("script style noscript template textarea select button iframe svg math object canvas audio video head title".split())
 RAW_TAGS = frozenset("script style textarea title iframe noscript xmp".split())  # their content holds no tags
+HEAD_CONTENT = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # any other tag ends an open head
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog fieldset address".split())
 MAIN_TAGS = frozenset("article main".split())
 # A new one of these closes an open one of the same group.
@@ -81,7 +83,13 @@ class BlockReader:
             self.blocks.append(Block(text, text.count(" ") + 1, self.link_words, self.depth["main"] > 0, self.depth["chrome"] > 0, self.depth["heading"] > 0, self.depth["li"] > 0))
         self.parts, self.link_words = [], 0
 
+    def _leave_head(self) -> None:
+        while self.count["head"]:
+            self._count(self.open.pop(), -1)
+
     def text(self, raw: str) -> None:
+        if self.count["head"] and self.open[-1][0] == "head" and raw.strip():
+            self._leave_head()
         if raw and not self.depth["silent"]:
             raw = html.unescape(raw) if "&" in raw else raw
             self.parts.append(raw)
@@ -100,6 +108,8 @@ class BlockReader:
         depth["heading"] += by * (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
 
     def start(self, tag: str, attributes: str) -> None:
+        if self.count["head"] and tag not in HEAD_CONTENT and not self.count["template"]:
+            self._leave_head()
         if tag in BLOCK_TAGS:
             self.flush()
         if tag in VOID_TAGS:

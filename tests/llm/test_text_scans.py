@@ -263,6 +263,15 @@ def test_page_text():
     assert " ".join(html_text.main_blocks(PAGE)) == "Head & line One bold two three é End."
 
 
+@pytest.mark.parametrize("opening", ["<body>", "", "Stray text"])
+def test_head_without_its_closing_tag(opening):
+    whole = "<!DOCTYPE html><html><head><meta charset=utf-8><title>T</title><script>var a</script><template><p>no</p></template></head>"
+    rest = opening + PAGE[PAGE.index("<nav>") :]
+    expected = html_text.blocks_of(whole + rest)
+    assert html_text.blocks_of(whole.replace("</head>", "") + rest) == expected and len(expected) > 5
+    assert html_text.main_blocks(PAGE.replace("</head>", "")) == html_text.main_blocks(PAGE)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<a", "a < b", "<p", "</p></p>", "<!-- open", "<script>", "<p class='x>text</p>", "<div " * 3000, "</b>" * 3000, "<b>" * 3000 + "</i>" * 3000])
 def test_broken_pages_are_read(page):
     html_text.main_blocks(page)
