@@ -48,7 +48,7 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"\s+")
 RAW_END = {tag: re.compile("</" + tag, re.I) for tag in RAW_TAGS}
-LONGEST_QUOTE = 100_000  # a quoted > further away means that the quote was never closed
+QUOTE = re.compile(r"=\s*([\"'])")
 # A closing tag of another kind does not reach out of these.
 CONTAINERS = frozenset("html body div section article main table form".split()) | CHROME_TAGS
 FEATURES = ("words", "link_share", "previous_words", "previous_link_share", "next_words", "next_link_share", "in_main", "in_chrome", "heading", "page_has_main", "list_item", "position")
@@ -76,6 +76,7 @@ class BlockReader:
         self.count: Counter[str] = Counter()  # open tags by name
         self.parts: list[str] = []
         self.link_words = 0
+        self.last_quote: dict[str, int] = {}  # where the last quote of a kind stands in the page
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -194,26 +195,21 @@ class BlockReader:
         self.flush()
         return self.blocks
 
-    @staticmethod
-    def _tag_end(page: str, at: int) -> int:
+    def _tag_end(self, page: str, at: int) -> int:
         """Position of the > that ends a tag; one inside quotes does not, unless the quote never closes."""
         close = page.find(">", at)
         while close >= 0:
-            inside = page[at:close]
-            if '"' not in inside and "'" not in inside:
+            opening = QUOTE.search(page, at, close)
+            if opening is None:
                 return close
-            quote = None
-            for mark in re.finditer(r"=\s*([\"'])|[\"']", inside):
-                if quote is None:
-                    quote = mark.group(1)
-                elif mark.group(0)[-1] == quote:
-                    quote = None
-            if quote is None:
+            quote, at = opening.group(1), opening.end()
+            if quote not in self.last_quote:
+                self.last_quote[quote] = page.rfind(quote)
+            if self.last_quote[quote] < at:  # no such quote: the tag ends here
                 return close
-            closing = page.find(quote, close, at + LONGEST_QUOTE)
-            if closing < 0:  # no such quote: the tag ends here
-                return close
-            close = page.find(">", closing)
+            at = page.find(quote, at) + 1
+            if at > close:
+                close = page.find(">", at)
         return -1
 
 

@@ -277,6 +277,27 @@ def test_broken_pages_are_read(page):
     html_text.main_blocks(page)
 
 
+@pytest.mark.parametrize("n", [10, 99_000, 150_000, 1_000_000])
+def test_quotes_close_however_far_away(n):
+    for mark, other in ("\"'", "'\""):
+        value = f"<p>not {other} text</p> " * (n // 20)
+        page = PAGE.replace("<h1>", f"<div data-state={mark}{value}{mark} data-n = {mark}>{mark}></div><h1>")
+        assert html_text.main_blocks(page) == html_text.main_blocks(PAGE)
+    assert [b.text for b in html_text.blocks_of("<p class='x>text</p>" + "<p>more</p>" * n)][:2] == ["text", "more"]
+
+
+def test_reading_of_long_attributes_is_linear_in_time():
+    import time
+
+    for start, bit, end in (("<p ", "a='>' ", ">x"), ("<p a='", "> ", "'>x"), ("", "<p a='\">' b=\"'>\">x", ""), ("", "<p a=\">x", ""), ("", "<p a='x'>y<p b=\">", "")):
+        times = []
+        for n in (4_000, 16_000):
+            begin = time.process_time()
+            html_text.blocks_of(start + bit * n + end)
+            times.append(time.process_time() - begin)
+        assert times[1] < 12 * times[0] + 0.2
+
+
 def test_page_reading_is_linear_in_time():
     import time
 
