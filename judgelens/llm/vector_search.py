@@ -139,7 +139,7 @@ def _bounds(best: bool):
     def bounds(key: tuple, queries: pd.DataFrame, regions: pd.DataFrame) -> pd.DataFrame:
         """Regions that queries visit: the best one of this band, or all whose bound reaches the floor but for the one seen."""
         if not len(queries) or not len(regions):
-            return pd.DataFrame({name.split()[0]: [] for name in VISITS.split(", ")})
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in VISITS.split(", ")})
         q, high, low = (np.array(x.tolist()).reshape(len(x), key[0]) for x in (queries["q"], regions["region_high"], regions["region_low"]))
         kind = number_type(q, np.maximum(np.abs(high), np.abs(low)))
         found = _summed_maxima(q.astype(kind), high.astype(kind), low.astype(kind))

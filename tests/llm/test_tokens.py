@@ -16,9 +16,7 @@ BITS = ["a", "b", "é", "ñ", "1", "2", ".", ",", "!?", "\n", "\n\n", " ", "  ",
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_file())
 
 
 def reference(tokenizer, text):
