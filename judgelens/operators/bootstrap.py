@@ -10,7 +10,6 @@ numbers, so the pairs are read once for all replicates.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from judgelens.constants import BOOTSTRAP_BUDGET, BOOTSTRAP_REPLICATES, CONFIDENCE, SEED
 from judgelens.functions.hashing import MASK_32, STREAM_STEP, mix32, mix32_array
 from judgelens.operators import classification as C
-from judgelens.operators.cuts import cut_yields, find_cuts, with_buckets
+from judgelens.operators.cuts import FAN, first_cuts, next_cuts, run_of, run_widths, yields_at
 from judgelens.operators.numbering import number_rows
 from judgelens.operators.review import check_budgets, is_error, review_metrics, review_queue
 from judgelens.operators.sampling import percentile_interval
@@ -69,11 +68,18 @@ def draw_weights(replicate: int, chunk: int, draws: int, size: int, seed: int) -
 class Resampler:
     """Scored pairs reduced to what the replicates need.
 
-    ``queue`` is the ranked pool with its buckets; ``queries`` has the dense
-    index of every query with its chunk and position.
+    ``queries`` has the dense index of every query with its chunk and position.
+    ``fan`` is the number of runs of ranks that the cut of a replicate is looked for in per turn.
     """
 
-    def __init__(self, scored: DataFrame, replicates: int = BOOTSTRAP_REPLICATES, seed: int = SEED, chunk: int = CHUNK):
+    def __init__(
+        self,
+        scored: DataFrame,
+        replicates: int = BOOTSTRAP_REPLICATES,
+        seed: int = SEED,
+        chunk: int = CHUNK,
+        fan: int = FAN,
+    ):
         if replicates < 1:
             raise ValueError("the number of replicates must be positive")
         self.spark = scored.sparkSession
@@ -82,6 +88,7 @@ class Resampler:
         numbered = number_rows(scored.select("query_id").distinct(), ["query_id"], "query_number")
         self.n_queries = numbered.count()
         self.size = chunk
+        self.fan = fan
         index = F.col("query_number") - 1
         self.queries = numbered.select(
             "query_id",
@@ -132,30 +139,34 @@ class Resampler:
 
         return self.per_chunk(self.queries, fill, f"replicate bigint, query_id {kind}, weight bigint")
 
-    def weighted_sums(self, entries: DataFrame) -> DataFrame:
+    def weighted_sums(self, entries: DataFrame, spans: dict[int, tuple[int, int]] | None = None) -> DataFrame:
         """(replicate, feature) totals of per-query values under the drawn weights.
 
-        ``entries`` are (chunk, position, feature, value) rows.
+        ``entries`` are (chunk, position, feature, value) rows. With ``spans``,
+        a replicate sums only the features from its first to before its second number.
         """
         weights = self.weigher()
 
         def fill(rows: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("feature", ignore_index=True)
             features, code = np.unique(rows["feature"].to_numpy(), return_inverse=True)
+            starts = np.append(np.searchsorted(code, np.arange(len(features))), len(code))
             position, value = rows["position"].to_numpy(), rows["value"].to_numpy()
-            totals = np.zeros((len(draws), len(features)))
-            for i, (chunk, replicate, count) in enumerate(
-                draws[["chunk", "replicate", "draws"]].itertuples(index=False)
-            ):
-                drawn = weights(chunk, replicate, count)[position]
-                totals[i] = np.bincount(code, weights=drawn * value, minlength=len(features))
-            row, column = np.nonzero(totals)
-            return pd.DataFrame(
-                {
-                    "replicate": draws["replicate"].to_numpy()[row],
-                    "feature": features[column],
-                    "total": totals[row, column].astype(np.int64),
-                }
-            )
+            out = [pd.DataFrame({"replicate": [], "feature": [], "total": []})]
+            for chunk, replicate, count in draws[["chunk", "replicate", "draws"]].itertuples(index=False):
+                low, high = 0, len(features)
+                if spans is not None:
+                    low, high = np.searchsorted(features, spans.get(replicate, (0, 0)))
+                if low >= high:
+                    continue
+                some = slice(starts[low], starts[high])
+                drawn = weights(chunk, replicate, count)[position[some]]
+                totals = np.bincount(code[some] - low, weights=drawn * value[some], minlength=high - low)
+                at = np.flatnonzero(totals)
+                out.append(
+                    pd.DataFrame({"replicate": replicate, "feature": features[low:high][at], "total": totals[at].astype(np.int64)})
+                )
+            return pd.concat(out[1:] or out)
 
         partial = self.per_chunk(entries, fill, "replicate bigint, feature bigint, total bigint")
         return partial.groupBy("replicate", "feature").agg(F.sum("total").alias("total"))
@@ -170,12 +181,12 @@ class Resampler:
             .filter("value > 0")
         )
 
-    def queue_entries(self, queue: DataFrame) -> DataFrame:
-        """Items and errors of each query per queue bucket, as two features a bucket."""
-        counted = queue.groupBy("query_id", "bucket").agg(
+    def queue_entries(self, queue: DataFrame, width: int) -> DataFrame:
+        """Items and errors of each query per run of ranks, as two features a run."""
+        counted = queue.groupBy("query_id", run_of(width).alias("run")).agg(
             F.count("*").alias("items"), F.sum("is_error").alias("errors")
         )
-        base = CELL_COUNT + 2 * F.col("bucket")
+        base = CELL_COUNT + 2 * F.col("run")
         pair = F.array(
             F.struct(base.alias("feature"), F.col("items").alias("value")),
             F.struct((base + 1).alias("feature"), F.col("errors").alias("value")),
@@ -188,55 +199,31 @@ class Resampler:
 
     def ranked(self, queue: DataFrame | None = None) -> DataFrame:
         queue = review_queue(self.scored) if queue is None else queue
-        chunks = math.ceil(self.n_queries / self.size)
-        narrow = queue.select("query_id", "queue_rank", "label", is_error().cast("bigint").alias("is_error"))
-        return with_buckets(narrow, max(chunks, 1))
+        return queue.select("query_id", "queue_rank", "label", is_error().cast("bigint").alias("is_error"))
 
     def audit_yield(self, budget: float) -> DataFrame:
         queue = self.ranked()
-        sums = stage(self.weighted_sums(self.queue_entries(queue)), "bootstrap-sums")
-        return self.yields_of(queue, sums, budget)
+        widths = run_widths(queue.count(), self.fan)
+        sums = stage(self.weighted_sums(self.queue_entries(queue, widths[0])), "bootstrap-sums")
+        return self.yields_of(queue, widths, sums, budget)
 
-    def yields_of(self, queue: DataFrame, sums: DataFrame, budget: float) -> DataFrame:
-        """Priority and random yield of each replicate; those without a budget are left out."""
-        check_budgets([budget])
-        bucket = F.floor((F.col("feature") - CELL_COUNT) / 2).cast("bigint")
-        is_items = (F.col("feature") - CELL_COUNT) % 2 == 0
-        buckets = (
-            sums.filter(F.col("feature") >= CELL_COUNT)
-            .groupBy("replicate", bucket.alias("bucket"))
-            .agg(
-                F.sum(F.when(is_items, F.col("total")).otherwise(0)).alias("items"),
-                F.sum(F.when(is_items, 0).otherwise(F.col("total"))).alias("errors"),
-            )
-        )
-        # At most one row per replicate, used on both sides of the lookup below.
-        cuts = stage(find_cuts(buckets, "replicate", [budget]), "cuts")
-        at_cut = (
-            queue.join(cuts.select("replicate", "bucket"), "bucket")
-            .join(self.queries, "query_id")
-            .select("chunk", "position", "replicate", "bucket", "queue_rank", "is_error")
-        )
-        weights = self.weigher()
+    def yields_of(self, queue: DataFrame, widths: list[int], sums: DataFrame, budget: float) -> DataFrame:
+        """Priority and random yield of each replicate; those without a budget are left out.
 
-        def fill(keys: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
-            keys = keys.sort_values("replicate", ignore_index=True)
-            replicates, position = keys["replicate"].to_numpy(), keys["position"].to_numpy()
-            weight = np.zeros(len(keys), dtype=np.int64)
-            for chunk, replicate, count in draws[["chunk", "replicate", "draws"]].itertuples(index=False):
-                start, end = np.searchsorted(replicates, [replicate, replicate + 1])
-                if start < end:
-                    weight[start:end] = weights(chunk, replicate, count)[position[start:end]]
-            return keys.assign(weight=weight)[weight > 0]
-
-        # Only distinct (replicate, query) keys go to the chunks, so a query with
-        # very many pairs is one key there; its pairs meet the weight in a join.
-        key = ["replicate", "chunk", "position"]
-        drawn = self.per_chunk(
-            at_cut.select(*key).distinct(), fill, "replicate bigint, chunk bigint, position bigint, weight bigint"
-        )
-        weighted = at_cut.join(drawn, key)
-        return cut_yields(cuts, weighted, "replicate").select(
+        All replicates descend together. A turn takes the rows of the runs that any
+        of them has open, and gives at most ``fan`` runs per replicate and chunk.
+        """
+        check_budgets([budget])
+        cuts = stage(first_cuts(run_sums_of(sums), "replicate", [budget]), "cuts")
+        for wide, width in zip(widths, widths[1:]):
+            # One run per replicate.
+            runs = {row["replicate"]: row["run"] for row in cuts.select("replicate", "run").collect()}
+            open_runs = F.broadcast(cuts.select(F.col("run").alias("_parent")).distinct())
+            queue = stage(queue.withColumn("_parent", run_of(wide)).join(open_runs, "_parent", "left_semi").drop("_parent"), "cut-queue")
+            spans = {k: (CELL_COUNT + 2 * run * self.fan, CELL_COUNT + 2 * (run + 1) * self.fan) for k, run in runs.items()}
+            below = run_sums_of(self.weighted_sums(self.queue_entries(queue, width), spans))
+            cuts = stage(next_cuts(cuts, below, "replicate", self.fan), "cuts")
+        return yields_at(cuts, "replicate").select(
             "replicate",
             "n_reviewed",
             "priority_yield",
@@ -245,6 +232,14 @@ class Resampler:
         )
 
 
+def run_sums_of(sums: DataFrame) -> DataFrame:
+    """(replicate, run, items, errors) from the features of runs."""
+    run = F.expr(f"(feature - {CELL_COUNT}) div 2")
+    total = lambda odd: F.sum(F.when(F.col("feature") % 2 == odd, F.col("total")).otherwise(0))
+    rows = sums.filter(F.col("feature") >= CELL_COUNT).groupBy("replicate", run.alias("run"))
+    return rows.agg(total(CELL_COUNT % 2).alias("items"), total(1 - CELL_COUNT % 2).alias("errors"))
+
+
 def macro_f1_of(sums: DataFrame) -> DataFrame:
     """Macro-F1 of each replicate from its 16 weighted cells."""
     cells = [F.sum(F.when(F.col("feature") == i, F.col("total")).otherwise(0)).alias(n) for i, n in enumerate(C.CELLS)]
@@ -289,9 +284,10 @@ def bootstrap_intervals(
     check_budgets([budget])
     sampler = Resampler(scored, replicates, seed)
     queue = sampler.ranked(queue)
-    entries = sampler.cell_entries().unionByName(sampler.queue_entries(queue))
+    widths = run_widths(queue.count(), sampler.fan)
+    entries = sampler.cell_entries().unionByName(sampler.queue_entries(queue, widths[0]))
     sums = stage(sampler.weighted_sums(entries), "bootstrap-sums")
-    yields = sampler.yields_of(queue, sums, budget)
+    yields = sampler.yields_of(queue, widths, sums, budget)
     long = macro_f1_of(sums).select(F.lit(STATISTICS[0]).alias("statistic"), F.col("macro_f1").alias("value"))
     measures = ("priority_yield", "random_yield", "difference")
     pairs = [F.struct(F.lit(name).alias("statistic"), F.col(m).alias("value")) for name, m in zip(STATISTICS[1:], measures)]

@@ -14,6 +14,7 @@ from judgelens.constants import (
 )
 from judgelens.functions.hashing import KeyHash, hash_bucket, xxhash_key
 from judgelens.operators.classification import error_rows
+from judgelens.operators.quantiles import exact_quantiles
 
 MAX_PER_CELL = 10_000
 
@@ -122,14 +123,10 @@ def percentile_interval(df: DataFrame, column: str, confidence: float, *groups:
     if not 0 < confidence < 1:
         raise ValueError("confidence must be in (0, 1)")
     alpha = (1 - confidence) / 2
-    bounds = F.percentile(column, F.array(F.lit(alpha), F.lit(1 - alpha)))
-    return (
-        df.groupBy(*groups)
-        .agg(bounds.alias("_bounds"), F.count(column).alias("n_valid"))
-        .select(
-            *groups,
-            F.col("_bounds")[0].alias("low"),
-            F.col("_bounds")[1].alias("high"),
-            "n_valid",
-        )
+    found = exact_quantiles(df, column, (alpha, 1 - alpha), *groups)
+    return found.select(
+        *groups,
+        F.col("quantiles")[0].alias("low"),
+        F.col("quantiles")[1].alias("high"),
+        "n_valid",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from judgelens.constants import REVIEW_BUDGETS
 from judgelens.functions.text import ratio_or_null
 from judgelens.operators import classification as C
-from judgelens.operators.cuts import weighted_queue_yield, with_buckets
+from judgelens.operators.cuts import weighted_queue_yield
 from judgelens.operators.review import budget_count, budget_list, is_error, review_queue
 
 # Slice names of the study.
@@ -72,11 +72,10 @@ def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame |
 
 
 def slice_yields(scored: DataFrame, budgets, queue: DataFrame | None = None) -> DataFrame:
-    """What each budget finds in the queue of each slice, cut by bucket sums."""
+    """What each budget finds in the queue of each slice, cut by run sums."""
     queue = review_queue(scored, *SLICE_INPUTS) if queue is None else queue
-    rows = slice_tags(with_buckets(queue)).select(
+    rows = slice_tags(queue).select(
         "slice",
-        "bucket",
         "queue_rank",
         F.lit(1).cast("bigint").alias("weight"),
         is_error().cast("bigint").alias("is_error"),

@@ -12,7 +12,7 @@ from judgelens.functions.hashing import sha_key
 from judgelens.operators import audits, bootstrap, charts, joins, provenance, review, sampling, slices, splits
 from judgelens.operators import classification as C
 from judgelens.operators import modelling as M
-from judgelens.operators.cuts import weighted_queue_yield, with_buckets
+from judgelens.operators.cuts import weighted_queue_yield
 from judgelens.operators.features import lexical_features
 from judgelens.plans.cases import case_index, development_cases
 from judgelens.sources import eventlog, files, tables
@@ -389,11 +389,10 @@ def review_metrics_tied(spark, sf):
 
 
 def weighted_yield(spark, sf):
-    queue = with_buckets(review.review_queue(staged_scored(spark, sf)))
+    queue = review.review_queue(staged_scored(spark, sf))
     rows = queue.select(
         F.explode(F.expr(f"sequence(0L, {QUEUES - 1}L)")).alias("replicate"),
         "query_id",
-        "bucket",
         "queue_rank",
         review.is_error().cast("bigint").alias("is_error"),
     )
