@@ -1,8 +1,6 @@
 """File manifests: sizes, SHA-256 digests and Parquet row counts.
 
-Files are hashed where they are read, one file per row; the ``binaryFile``
-source refuses files above 2 GiB, which the writers of this package stay
-far below.
+Files are hashed where they are read, in chunks, by the ``file_digests`` source.
 """
 
 from __future__ import annotations
@@ -10,36 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARQUET_MAGIC = "PAR1"
-
+from judgelens.sources.streams import file_digests
 
-def _relative(path, root: str):
-    """The part of a file path behind the root directory."""
-    root = root.rstrip("/")
-    return F.element_at(F.split(path, F.lit(root + "/"), 2), -1)
+PARQUET_MAGIC = "PAR1"
 
 
 def artifact_manifest(spark: SparkSession, root: str, directories=("",)) -> DataFrame:
-    """(path, bytes, sha256) of every file below the directories, hidden files left out."""
-    root = root.rstrip("/")
-    paths = [f"{root}/{directory}".rstrip("/") for directory in directories]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.filter(~name.startswith(".")).select(
-        _relative(F.col("path"), root).alias("path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """(path, bytes, sha256) of every file below the directories; only names that begin with a dot are left out."""
+    return file_digests(spark, root, directories).select("path", "bytes", "sha256")
 
 
 def file_manifest(spark: SparkSession, directory: str) -> DataFrame:
     """Name, bytes, digest, rows and header check of each Parquet file of a directory."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(directory)
-    hashed = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
-        (F.substring("content", 1, 4) == F.lit(PARQUET_MAGIC).cast("binary")).alias("is_parquet"),
+    hashed = (
+        file_digests(spark, directory)
+        .where(F.col("path").endswith(".parquet") & ~F.col("path").contains("/"))
+        .select(
+            F.col("path").alias("filename"),
+            "bytes",
+            "sha256",
+            (F.col("head") == F.lit(PARQUET_MAGIC).cast("binary")).alias("is_parquet"),
+        )
     )
     rows = (
         spark.read.option("pathGlobFilter", "*.parquet")

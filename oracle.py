@@ -592,8 +592,9 @@ SELECT 'frozen_before_test' AS status, true AS selected_is_trained,
   {', '.join(f"count(*) FILTER (label = '{x}') AS n_{x.lower()}" for x in LABELS)},
   {', '.join(f"(SELECT d FROM digests WHERE dataset_split = '{x}') AS {x}_digest" for x in ('train', 'validation', 'test'))},
   {SEED} AS seed, 0.1::DOUBLE AS bootstrap_budget, 0.95::DOUBLE AS confidence FROM train""",
-    "file_manifest": " " + " UNION ALL ".join(f"SELECT '{name}.parquet' AS filename, count(*) AS row_count, true AS is_parquet FROM {name}" for name in TABLES),
-    "artifact_manifest": """ SELECT 'n_nationkey=' || n_nationkey AS folder, strlen(n_name || chr(10))::BIGINT AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation""",
+    "file_manifest": " " + " UNION ALL ".join(f"SELECT '{name}.parquet' AS filename, count(*) AS row_count, true AS is_parquet, true AS digest_agrees FROM {name}" for name in TABLES),
+    "artifact_manifest": """ SELECT 'n_nationkey=' || n_nationkey AS folder, strlen(n_name || chr(10))::BIGINT AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation
+UNION ALL SELECT '_SUCCESS', 0, sha256('')""",
     "bootstrap_macro_f1": f"{weights(300)}{REPLICATE_F1} SELECT replicate, macro_f1 FROM rep_f1",
     "bootstrap_audit_yield": f"""{weights(300)}{REPLICATE_YIELD}
 SELECT replicate, n_reviewed, round(priority_yield, 9) AS priority_yield, round(random_yield, 9) AS random_yield,

@@ -1,10 +1,12 @@
 """Sinks, manifests, digests, event logs and the plans end to end."""
 
 import hashlib
+import io
 import json
 import shutil
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import fixtures as fx
@@ -12,7 +14,7 @@ from judgelens.functions.hashing import sha_key
 from judgelens.operators import provenance
 from judgelens.plans import study
 from judgelens.plans.prepare import prepare
-from judgelens.sources import eventlog, files, tables
+from judgelens.sources import eventlog, files, streams, tables
 from judgelens.sources.staging import shared_folder
 
 SF = "/root/testdata/sf0.001"
@@ -126,10 +128,97 @@ def test_event_logs_are_summed_and_incomplete_ones_refused(spark, tmp_path):
     assert (row.shuffle_read_bytes, row.shuffle_write_bytes, row.executor_run_time_ms_sum) == (6, 10, 14)
     assert (row.master, row.driver_memory, row.application_wall_seconds) == ("local[4]", "4g", 2.5)
     assert row.executor_ids == ["1", "driver"]
-    eventlog.assert_complete(summary)
     event_file(tmp_path / "app-2", [bare], finished=False)
-    with pytest.raises(ValueError):
-        eventlog.assert_complete(eventlog.eventlog_summary(eventlog.read_event_logs(spark, str(tmp_path))))
+    with pytest.raises(Exception, match="app-2: the application has no start or end"):
+        eventlog.eventlog_summary(eventlog.read_event_logs(spark, str(tmp_path))).collect()
+
+
+def rolled(folder, lines, cuts, names):
+    """Lines cut into files; names that end with .zstd, or .zstd.compact, are packed."""
+    folder.mkdir(parents=True, exist_ok=True)
+    for name, a, b in zip(names, [0, *cuts], [*cuts, len(lines)]):
+        text = ("\n".join(lines[a:b]) + "\n").encode()
+        (folder / name).write_bytes(zstandard.compress(text) if ".zstd" in name else text)
+
+
+def test_rolling_packed_and_compacted_logs_give_the_row_of_the_plain_one(spark, tmp_path):
+    task = {"Event": "SparkListenerTaskEnd", "Task Info": {"Executor ID": "3"}, "Task Metrics": {"Executor Run Time": 4}}
+    (tmp_path / "plain").mkdir()
+    event_file(tmp_path / "plain" / "one", [task] * 20)
+    lines = (tmp_path / "plain" / "one").read_text().split("\n")
+    summary = lambda path, rolling: [tuple(map(str, r)) for r in eventlog.eventlog_summary(eventlog.read_event_logs(spark, str(path), rolling)).collect()]
+    expected = summary(tmp_path / "plain", False)
+    folder = tmp_path / "rolling" / "eventlog_v2_app-1"
+    rolled(folder, lines, [3, 9, 15], ["events_2_app-1.zstd.compact", "events_3_app-1", "events_4_app-1.zstd", "events_5_app-1.zstd"])
+    rolled(folder, lines, [5], ["events_1_app-1.zstd", "events_2_app-1.zstd"])  # older than the compacted file
+    (folder / "appstatus_app-1").write_text("")
+    assert summary(tmp_path / "rolling", True) == expected
+    rolled(tmp_path / "single", lines, [], ["app-1.zstd"])
+    assert summary(tmp_path / "single", False) == expected
+
+
+@pytest.mark.parametrize(
+    "names, reason",
+    [
+        (["events_1_a", "events_3_a"], "rolling files"),
+        (["events_2_a"], "rolling files"),
+        (["events_4_a.compact", "events_6_a.zstd"], "rolling files"),
+        (["events_1_a", "appstatus_a.inprogress"], "still writing"),
+        (["events_1_a.lz4"], "codec"),
+        (["a.inprogress"], "still writing"),
+    ],
+)
+def test_incomplete_logs_are_refused_by_name(names, reason):
+    with pytest.raises(ValueError, match=f"logs/a: .*{reason}"):
+        eventlog.current_files("logs/a", names)
+
+
+def test_files_above_two_gib_are_hashed_in_chunks(spark, tmp_path):
+    size = (1 << 31) + 5
+    with open(tmp_path / "large.bin", "wb") as handle:
+        handle.truncate(size)  # a sparse file
+    (tmp_path / "_metadata").write_bytes(b"abc" * 1000)
+    found = {r.path: r for r in streams.file_digests(spark, str(tmp_path)).collect()}
+    sha, zeros = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(size >> 20):
+        sha.update(zeros)
+    sha.update(bytes(size % (1 << 20)))
+    assert (found["large.bin"].bytes, found["large.bin"].sha256) == (size, sha.hexdigest())
+    assert found["_metadata"].sha256 == hashlib.sha256(b"abc" * 1000).hexdigest() and bytes(found["_metadata"].head) == b"abca"
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_streams_hold_a_chunk_at_most(chunk):
+    class Counted(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            assert n >= 0
+            self.most = max(self.most, n)
+            return super().read(n)
+
+    text = "one\ntwo ä\n\nlast"
+    stream = Counted(text.encode())
+    assert streams.digest_of(stream, chunk) == (len(text.encode()), b"one\n", hashlib.sha256(text.encode()).hexdigest())
+    assert stream.most == chunk
+    assert list(streams.lines_of(Counted(text.encode()), chunk)) == ["one", "two ä", "", "last"]
+    assert list(streams.lines_of(Counted(b""), chunk)) == []
+
+
+def test_small_files_share_a_task_and_large_ones_do_not():
+    files_of = [("a", 3), ("b", 4), ("c", 30), ("d", 1), ("e", 9), ("f", 1)]
+    assert streams.by_size(files_of, 10) == [["a", "b"], ["c"], ["d", "e"], ["f"]]
+
+
+def test_a_changed_file_with_an_underscore_is_found(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "_common_metadata").write_bytes(b"1")
+    (tmp_path / "m" / ".hidden").write_bytes(b"1")
+    frozen = spark.createDataFrame(files.artifact_manifest(spark, str(tmp_path)).collect(), "path string, bytes long, sha256 string")
+    assert frozen.count() == 1
+    (tmp_path / "m" / "_common_metadata").write_bytes(b"2")
+    with pytest.raises(ValueError, match="_common_metadata"):
+        provenance.verify_freeze(frozen, files.artifact_manifest(spark, str(tmp_path)))
 
 
 def test_shared_folder_comes_from_the_session(spark):

@@ -118,16 +118,21 @@ def eventlog_summary(spark, sf):
 
 
 def file_manifest(spark, sf):
-    return files.file_manifest(spark, sf).select("filename", "row_count", "is_parquet")
+    """The files of the given tables; size and streamed digest are held against those of whole contents."""
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf).select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length"), F.sha2("content", 256).alias("digest")
+    )
+    agrees = (F.col("bytes") == F.col("length")) & (F.col("sha256") == F.col("digest"))
+    return files.file_manifest(spark, sf).join(whole, "filename").select("filename", "row_count", "is_parquet", agrees.alias("digest_agrees"))
 
 
 def artifact_manifest(spark, sf):
-    """One text file per nation, in a folder of its own; the names of the files are Spark's."""
+    """One text file per nation, in a folder of its own, and the marker of the write; the names of the text files are Spark's."""
     path = new_path(spark, "names")
     nations = fx.table(spark, sf, "nation").select("n_nationkey", "n_name")
     nations.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
     found = files.artifact_manifest(spark, path)
-    return found.where("path LIKE '%/part-%'").select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
+    return found.select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
 
 
 # Projections, filters, validation -------------------------------------------
