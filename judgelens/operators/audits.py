@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -127,14 +128,14 @@ def validate_products(products: DataFrame) -> DataFrame:
     )
 
 
-def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | None = None) -> None:
-    """Stop on broken rows, duplicate keys or query ids with several texts."""
+def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | None = None) -> dict[str, int]:
+    """Stop on broken rows, duplicate keys or query ids with several texts; returns how many pairs and products there are."""
     profile = splits.query_profile(pairs) if profile is None else profile
     found = run_all(
         pairs.sparkSession,
         {
             "pairs": lambda: validate_pairs(pairs).first().asDict(),
-            "keyless": lambda: validate_products(products).first()["missing_product_key"],
+            "listed": lambda: validate_products(products).first().asDict(),
             "products": lambda: duplicate_keys(products, PRODUCT_KEYS).isEmpty(),
             "examples": lambda: duplicate_keys(pairs, ["example_id"]).isEmpty(),
             "texts": lambda: splits.text_conflicts_of(profile).isEmpty(),
@@ -142,7 +143,7 @@ def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | Non
     )
     if found["pairs"]["invalid_pairs"]:
         raise ValueError(f"invalid pairs: {found['pairs']}")
-    if found["keyless"]:
+    if found["listed"]["missing_product_key"]:
         raise ValueError("a product has no join key")
     if not found["products"]:
         raise ValueError("duplicate product keys: the join would multiply pairs")
@@ -150,6 +151,7 @@ def assert_valid(pairs: DataFrame, products: DataFrame, profile: DataFrame | Non
         raise ValueError("duplicate example ids")
     if not found["texts"]:
         raise ValueError("a query id has several normalised texts")
+    return {"n_pairs": found["pairs"]["pair_count"], "n_products": found["listed"]["product_count"]}
 
 
 def label_domain_check(df: DataFrame, column: str) -> DataFrame:
@@ -195,11 +197,46 @@ def data_audit(pairs: DataFrame, products: DataFrame, joined: DataFrame, profile
         count(splits.overlap_ids_of(profile)).alias("overlap_ids"),
         count(splits.overlap_texts_of(profile)).alias("overlap_texts"),
         count(splits.leaky_ids_of(profile)).alias("excluded_query_ids"),
-        count(splits.pair_overlap(pairs)).alias("pair_overlap"),
+        count(splits.pair_overlap(pairs, profile)).alias("pair_overlap"),
         count(excluded).alias("excluded_rows"),
     )
 
 
+def observe_join(joined: DataFrame, observation: Observation) -> DataFrame:
+    """Count, while they are written, all joined pairs and those left out; ``joined`` marks the latter by a null split."""
+    left_out = F.col("dataset_split").isNull()
+    return joined.observe(
+        observation,
+        F.count("*").alias("joined_rows"),
+        F.count_if(~F.col("product_matched")).alias("unmatched_products"),
+        F.count_if(is_blank("product_title")).alias("blank_titles"),
+        F.count_if(left_out).alias("excluded_rows"),
+    )
+
+
+def observed_audit(checked: dict[str, int], observed: dict[str, int], pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The row of ``data_audit`` after a preparation, without reading its tables again.
+
+    ``checked`` are the counts of ``assert_valid``, which has refused duplicate
+    keys; ``observed`` those of the write. The rest comes from the query profile,
+    and from the pairs of queries that are in both official splits.
+    """
+    count = lambda df: df.agg(F.count("*").alias("n")).scalar()
+    known = lambda value, name: F.lit(value).cast("bigint").alias(name)
+    return pairs.sparkSession.range(0, 1, 1, 1).select(
+        known(checked["n_pairs"], "n_pairs"),
+        known(checked["n_products"], "n_products"),
+        known(0, "duplicate_product_keys"),
+        known(0, "duplicate_example_ids"),
+        *[known(observed[name], name) for name in ("joined_rows", "unmatched_products", "blank_titles")],
+        count(splits.overlap_ids_of(profile)).alias("overlap_ids"),
+        count(splits.overlap_texts_of(profile)).alias("overlap_texts"),
+        count(splits.leaky_ids_of(profile)).alias("excluded_query_ids"),
+        count(splits.pair_overlap(pairs, profile)).alias("pair_overlap"),
+        known(observed["excluded_rows"], "excluded_rows"),
+    )
+
+
 # Quoted text, comments, and the semicolon outside of both.
 SQL_PART = re.compile(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`)|(--[^\n]*|/\*.*?\*/)|(;)""", re.S)
 
@@ -222,17 +259,18 @@ def split_statements(text: str) -> list[str]:
     return [x for x in statements if x]
 
 
-def run_sql_audits(spark: SparkSession, text: str) -> DataFrame:
-    """Run each statement of an audit file; rows come back as JSON with a statement number."""
+def sql_audit_tables(spark: SparkSession, text: str) -> list[DataFrame]:
+    """The result of each statement of an audit file, in the order the statement asks for."""
     statements = split_statements(text)
     if not statements:
         raise ValueError("no SQL statement found")
+    return [spark.sql(statement) for statement in statements]
+
+
+def run_sql_audits(spark: SparkSession, text: str) -> DataFrame:
+    """All rows of an audit file as one table: JSON with the number of the statement, in no order."""
     results = []
-    for number, statement in enumerate(statements, start=1):
-        rows = spark.sql(statement)
+    for number, rows in enumerate(sql_audit_tables(spark, text), start=1):
         as_json = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
         results.append(rows.select(F.lit(number).alias("statement_id"), as_json.alias("row_json")))
-    combined = results[0]
-    for result in results[1:]:
-        combined = combined.unionByName(result)
-    return combined
+    return reduce(DataFrame.unionByName, results)

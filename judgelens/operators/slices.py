@@ -10,6 +10,7 @@ from judgelens.functions.text import ratio_or_null
 from judgelens.operators import classification as C
 from judgelens.operators.cuts import weighted_queue_yield
 from judgelens.operators.review import budget_count, budget_list, is_error, review_queue
+from judgelens.sources.staging import stage
 
 # Slice names of the study.
 SLICES = {
@@ -42,13 +43,37 @@ def slice_grid(spark) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(names).alias("slice"))
 
 
-def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame | None = None) -> DataFrame:
+def slice_cube(scored: DataFrame) -> DataFrame:
+    """The 16 cells of every set of slices that pairs have in common (``slices``), as a staged table.
+
+    One pass over the pairs gives at most 2^9 rows, and they hold the cells of
+    each slice and of all pairs.
+    """
+    names = [F.when(F.expr(rule), F.lit(name)) for name, rule in SLICES.items()]
+    return stage(C.contingency(scored.withColumn("slices", F.array_compact(F.array(*names))), "slices"), "slice-cube")
+
+
+def cells_of(cube: DataFrame) -> DataFrame:
+    """The cells of all pairs: one row, also for none."""
+    zero = F.lit(0).cast("bigint")
+    return cube.agg(*[F.coalesce(F.sum(name), zero).alias(name) for name in C.CELLS])
+
+
+def slice_cells(cube: DataFrame) -> DataFrame:
+    """The cells of each slice that has pairs."""
+    return cube.withColumn("slice", F.explode("slices")).groupBy("slice").agg(*[F.sum(name).alias(name) for name in C.CELLS])
+
+
+def slice_metrics(
+    scored: DataFrame, budgets=REVIEW_BUDGETS, cells: DataFrame | None = None, found: DataFrame | None = None
+) -> DataFrame:
     """Classification and review metrics of every slice; empty slices stay as rows.
 
-    ``queue`` is the ranked pool with the slice inputs, where the caller has it.
+    ``cells`` (``slice_cells``) and ``found`` (``slice_yields``) where the caller has them.
     """
     exact = C.LABELS[0]
-    quality = C.contingency(slice_tags(scored), "slice").select(
+    cells = slice_cells(slice_cube(scored)) if cells is None else cells
+    quality = cells.select(
         "slice",
         C.n_rows().alias("n_rows"),
         C.predicted(exact).alias("pool_size"),
@@ -56,7 +81,7 @@ def slice_metrics(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame |
         C.accuracy().alias("accuracy"),
         C.macro_f1().alias("macro_f1"),
     )
-    found = slice_yields(scored, budgets, queue)
+    found = slice_yields(scored, budgets) if found is None else found
     columns = [
         F.max(F.when(F.col("budget_fraction") == budget, F.col("priority_yield"))).alias(f"yield_{percent(budget)}")
         for budget in dict.fromkeys(budgets)
@@ -83,21 +108,22 @@ def slice_yields(scored: DataFrame, budgets, queue: DataFrame | None = None) ->
     return weighted_queue_yield(rows, "slice", budgets)
 
 
-def slice_classes(scored: DataFrame) -> DataFrame:
+def slice_classes(scored: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Support, predictions, precision, recall and F1 of each class in each slice that has rows."""
-    return C.per_class_of(C.contingency(slice_tags(scored), "slice"), "slice")
+    return C.per_class_of(slice_cells(slice_cube(scored)) if cells is None else cells, "slice")
 
 
-def slice_confusion(scored: DataFrame) -> DataFrame:
+def slice_confusion(scored: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """The 16 cells of each slice that has rows."""
-    return C.matrix_of(C.contingency(slice_tags(scored), "slice"), "slice")
+    return C.matrix_of(slice_cells(slice_cube(scored)) if cells is None else cells, "slice")
 
 
-def slice_review(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame | None = None) -> DataFrame:
+def slice_review(scored: DataFrame, budgets=REVIEW_BUDGETS, found: DataFrame | None = None) -> DataFrame:
     """One row per slice and budget that reviews at least one pair."""
+    yields = slice_yields(scored, budgets) if found is None else found
     found, errors = F.col("n_errors_found"), F.col("queue_errors")
     rest = F.col("queue_items") - F.col("n_reviewed")
-    return slice_yields(scored, budgets, queue).select(
+    return yields.select(
         "slice",
         "budget_fraction",
         "n_reviewed",
@@ -110,10 +136,11 @@ def slice_review(scored: DataFrame, budgets=REVIEW_BUDGETS, queue: DataFrame | N
     )
 
 
-def slice_random(scored: DataFrame, budgets=REVIEW_BUDGETS) -> DataFrame:
+def slice_random(scored: DataFrame, budgets=REVIEW_BUDGETS, cells: DataFrame | None = None) -> DataFrame:
     """Expectation and variance of the yield of a random review of each slice and budget."""
     exact = C.LABELS[0]
-    pools = C.contingency(slice_tags(scored), "slice").select(
+    cells = slice_cells(slice_cube(scored)) if cells is None else cells
+    pools = cells.select(
         "slice", C.predicted(exact).alias("pool_size"), (C.predicted(exact) - F.col(C.cell(exact, exact))).alias("pool_errors")
     )
     rows = pools.select("*", F.explode(budget_list(budgets)).alias("budget_fraction"))

@@ -115,6 +115,31 @@ def assign_splits(
     return train.unionByName(test)
 
 
+def marked_splits(
+    pairs: DataFrame, profile: DataFrame, seed: int = SEED, key_hash: KeyHash = xxhash_key
+) -> DataFrame:
+    """All pairs from one scan, with the split of ``assign_splits``; it is null for the pairs that are left out."""
+    validation = hash_bucket("query_norm", HASH_BUCKETS, seed, key_hash) < VALIDATION_BUCKETS
+    leaky = leaky_ids_of(profile).withColumn("_leaky", F.lit(True))
+    split = F.col("split")
+    return (
+        with_query_norm(pairs)
+        .join(leaky, "query_id", "left")
+        .withColumn(
+            "dataset_split",
+            F.when(split == "test", "test")
+            .when((split == "train") & F.col("_leaky").isNull(), F.when(validation, "validation").otherwise("train")),
+        )
+        .select(*pairs.columns, "query_norm", "dataset_split")
+    )
+
+
+def saved_profile(features: DataFrame) -> DataFrame:
+    """One staged row per split and query of a feature table, with its number of pairs."""
+    keys = ("dataset_split", "query_id", "query_norm")
+    return stage(features.groupBy(*keys).agg(F.count("*").alias("n_pairs")), "saved-profile")
+
+
 def split_label_counts(features: DataFrame) -> DataFrame:
     return (
         features.groupBy("dataset_split", "label")
@@ -129,6 +154,13 @@ def split_summary(features: DataFrame) -> DataFrame:
     )
 
 
+def split_summary_of(profile: DataFrame) -> DataFrame:
+    """The split summary from a saved profile."""
+    return profile.groupBy("dataset_split").agg(
+        F.sum("n_pairs").alias("row_count"), F.countDistinct("query_id").alias("query_count")
+    )
+
+
 def split_disjointness(assigned: DataFrame) -> DataFrame:
     """Query ids and texts found in more than one dataset split; empty when sound."""
     def shared(key: str) -> DataFrame:
@@ -148,8 +180,14 @@ def assert_disjoint(assigned: DataFrame) -> None:
         raise ValueError("a query id or text occurs in more than one dataset split")
 
 
-def pair_overlap(pairs: DataFrame) -> DataFrame:
-    """(query_id, product_id) pairs judged in both official splits."""
+def pair_overlap(pairs: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """(query_id, product_id) pairs judged in both official splits.
+
+    Only queries of both splits can hold such pairs; with the staged profile,
+    pairs of other queries are left out before the grouping.
+    """
+    if profile is not None:
+        pairs = pairs.join(overlap_ids_of(profile), "query_id", "left_semi")
     return (
         pairs.dropna(subset=["query_id", "product_id"])
         .groupBy("query_id", "product_id")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from judgelens.constants import SEED
 from judgelens.functions.hashing import KeyHash, xxhash_key
 from judgelens.operators import audits, joins, sampling
 from judgelens.operators.features import lexical_features
 from judgelens.operators.provenance import query_digest
-from judgelens.operators.splits import assert_disjoint, assign_splits, split_summary, staged_profile
+from judgelens.operators.splits import assert_disjoint, assign_splits, marked_splits, saved_profile, split_summary_of, staged_profile
 from judgelens.plans.parallel import run_all
 from judgelens.sources.tables import feature_projection, read_features, write_features, write_metrics
 
@@ -39,35 +40,33 @@ def prepare(
 ) -> DataFrame:
     """Validate, try a sample, build and save the feature table; return it as read back from storage.
 
-    With ``reports``, a folder, the audit counts, the split summary and the
-    query digests are stored there, and the saved rows are held against the
-    pairs that were to be kept.
+    The counts of the audit are observed on the write itself. The saved rows are
+    held against the pairs that were to be kept. With ``reports``, a folder, the
+    audit counts, the split summary and the query digests are stored there.
     """
     pairs = joins.scope_pairs(pairs, locale)
     products = joins.scope_products(products, locale)
     profile = staged_profile(pairs)
-    audits.assert_valid(pairs, products, profile)
+    checked = audits.assert_valid(pairs, products, profile)
     sample = sampling.sample_queries(pairs, seed=seed, key_hash=key_hash)
-    if not sample.isEmpty():
-        sampling.assert_sample(prepare_features(sample, products, seed, key_hash))
-    write_features(prepare_features(pairs, products, seed, key_hash, profile), path)
+    sampling.assert_sample(prepare_features(sample, products, seed, key_hash, profile), sample)
+    observation = Observation("prepare")
+    joined = joins.attach_products_and_seen(marked_splits(pairs, profile, seed, key_hash), products)
+    kept = audits.observe_join(joined, observation).filter("dataset_split IS NOT NULL")
+    write_features(feature_projection(lexical_features(kept)), path)
+    observed = observation.get
     saved = read_features(spark, path)
-    assert_disjoint(saved)
+    saved_queries = saved_profile(saved)
+    assert_disjoint(saved_queries)
+    n_saved = saved_queries.agg(F.sum("n_pairs")).first()[0] or 0
+    if n_saved != observed["joined_rows"] - observed["excluded_rows"] or observed["joined_rows"] != checked["n_pairs"]:
+        raise ValueError(f"rows were lost or multiplied: {n_saved} saved, {checked}, {observed}")
     if reports:
-        store_reports(spark, pairs, products, profile, saved, reports)
+        made = {
+            "data_audit": lambda: audits.observed_audit(checked, observed, pairs, profile),
+            "split_summary": lambda: split_summary_of(saved_queries),
+            "query_digests": lambda: query_digest(saved_queries),
+            "label_balance": lambda: audits.label_balance(pairs),
+        }
+        run_all(spark, {name: lambda name=name: write_metrics(made[name](), f"{reports}/{name}") for name in made})
     return saved
-
-
-def store_reports(spark: SparkSession, pairs: DataFrame, products: DataFrame, profile: DataFrame, saved: DataFrame, folder: str) -> None:
-    """Write the reports of a preparation side by side and check that joining kept every row."""
-    joined = joins.attach_products(pairs, products)
-    made = {
-        "data_audit": lambda: audits.data_audit(pairs, products, joined, profile),
-        "split_summary": lambda: split_summary(saved),
-        "query_digests": lambda: query_digest(saved),
-        "label_balance": lambda: audits.label_balance(pairs),
-    }
-    run_all(spark, {name: lambda name=name: write_metrics(made[name](), f"{folder}/{name}") for name in made})
-    audit, kept = spark.read.json(f"{folder}/data_audit").first(), saved.count()
-    if kept != audit["n_pairs"] - audit["excluded_rows"] or audit["joined_rows"] != audit["n_pairs"]:
-        raise ValueError(f"rows were lost or multiplied: {kept} saved, {audit.asDict()}")

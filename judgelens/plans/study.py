@@ -81,7 +81,9 @@ def evaluate(
     scored = read_scored(spark, f"{root}/scored/test")
     C.assert_scored(scored)
     queue = review.review_queue(scored, *SLICE_INPUTS)
-    cells = stage(C.contingency(scored), "cells")
+    cube = slices.slice_cube(scored)
+    cells, by_slice = slices.cells_of(cube), slices.slice_cells(cube)
+    found = stage(slices.slice_yields(scored, budgets, queue), "slice-yields")
     majority = C.baseline_scored(read_split(spark, f"{root}/features", "train"), test)
     measures = {
         "classification": lambda: C.summary_of(cells),
@@ -92,11 +94,11 @@ def evaluate(
         "review_expected_random": lambda: review.review_expected_random(queue, budgets),
         "review_random_draws": lambda: review.review_random_draws(queue, budgets),
         "uncertainty": lambda: bootstrap_intervals(scored, BOOTSTRAP_BUDGET, replicates, queue=queue),
-        "slices": lambda: slices.slice_metrics(scored, budgets, queue),
-        "slice_classes": lambda: slices.slice_classes(scored),
-        "slice_confusion": lambda: slices.slice_confusion(scored),
-        "slice_review": lambda: slices.slice_review(scored, budgets, queue),
-        "slice_random": lambda: slices.slice_random(scored, budgets),
+        "slices": lambda: slices.slice_metrics(scored, budgets, by_slice, found),
+        "slice_classes": lambda: slices.slice_classes(scored, by_slice),
+        "slice_confusion": lambda: slices.slice_confusion(scored, by_slice),
+        "slice_review": lambda: slices.slice_review(scored, budgets, found),
+        "slice_random": lambda: slices.slice_random(scored, budgets, by_slice),
         "majority": lambda: C.classification_summary(majority),
         "class_tradeoff": lambda: charts.class_tradeoff(scored, majority),
     }

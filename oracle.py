@@ -465,16 +465,20 @@ FINAL = {
 
 FULL = {
     "sql_audit_runner": f""", a1 AS ({FINAL['label_balance']}), a3 AS ({FINAL['join_coverage']}),
-a4 AS ({FINAL['metadata_missingness']}), a5 AS ({FINAL['cross_split_queries']}), a6 AS ({FINAL['candidate_set_sizes']})
+a4 AS ({FINAL['metadata_missingness']}), a6 AS ({FINAL['candidate_set_sizes']})
 SELECT 1 AS statement_id, json_object('split', split, 'esci_label', esci_label, 'pair_count', pair_count,
   'query_count', query_count, 'pair_share', pair_share)::VARCHAR AS row_json FROM a1
-UNION ALL SELECT 2, json_object('product_locale', product_locale, 'product_id', product_id, 'product_rows', count(*))::VARCHAR
-  FROM pr GROUP BY product_locale, product_id HAVING count(*) > 1
+UNION ALL SELECT 2, json_object('rows_per_key', n, 'key_count', count(*), 'pair_count', sum(pairs)::BIGINT, 'surplus_pairs', (sum(pairs) * (n - 1))::BIGINT)::VARCHAR
+  FROM (SELECT count(*) AS n, (SELECT count(*) FROM sp WHERE sp.product_locale = pr.product_locale AND sp.product_id = pr.product_id) AS pairs
+    FROM pr GROUP BY product_locale, product_id) GROUP BY n
 UNION ALL SELECT 3, json_object('input_pair_count', input_pair_count, 'joined_pair_count', joined_pair_count,
   'unmatched_pair_count', unmatched_pair_count, 'product_match_rate', product_match_rate)::VARCHAR FROM a3
 UNION ALL SELECT 4, json_object('split', split, 'pair_count', pair_count, 'missing_query', missing_query,
   'missing_title', missing_title, 'missing_brand', missing_brand, 'missing_color', missing_color)::VARCHAR FROM a4
-UNION ALL SELECT 5, json_object('product_locale', product_locale, 'query_id', query_id, 'split_count', split_count)::VARCHAR FROM a5
+UNION ALL SELECT 5, json_object('product_locale', product_locale, 'query_id', query_id, 'id_split_count', ids, 'text_split_count', texts)::VARCHAR
+  FROM (SELECT product_locale, query_id, count(DISTINCT split) AS ids, max(t.n) AS texts FROM spn
+    JOIN (SELECT product_locale, query_norm, count(DISTINCT split) AS n FROM spn GROUP BY ALL) t USING (product_locale, query_norm)
+    GROUP BY product_locale, query_id) WHERE ids > 1 OR texts > 1
 UNION ALL SELECT 6, json_object('split', split, 'query_count', query_count, 'minimum_candidates', minimum_candidates,
   'candidate_quantiles', [p50_candidates, p90_candidates, p99_candidates], 'maximum_candidates', maximum_candidates)::VARCHAR FROM a6""",
     "sample_smoke": f""", smp AS (SELECT * FROM spn WHERE {h32('query_id')} % 1000 = 0),
