@@ -165,10 +165,10 @@ def split_disjointness(assigned: DataFrame) -> DataFrame:
     """Query ids and texts found in more than one dataset split; empty when sound."""
     def shared(key: str) -> DataFrame:
         return (
-            assigned.groupBy(F.col(key).cast("string").alias("key_value"))
+            assigned.groupBy(key)
             .agg(F.countDistinct("dataset_split").alias("split_count"))
             .filter("split_count > 1")
-            .select(F.lit(key).alias("key_name"), "key_value", "split_count")
+            .select(F.lit(key).alias("key_name"), F.col(key).cast("string").alias("key_value"), "split_count")
         )
 
     return shared("query_id").unionByName(shared("query_norm"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from judgelens.constants import FEATURE_TABLE_COLUMNS, FEATURES, SCORED_COLUMNS
 from judgelens.operators.features import require_columns
+from judgelens.sources.bucketed import write_bucketed
 
 PAIR_SCHEMA = (
     "example_id bigint, query string, query_id bigint, product_id string, product_locale string, "
@@ -66,6 +67,17 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return read_features(spark, path).filter(F.col("dataset_split") == split)
 
 
+def write_features_by_query(features: DataFrame, path: str, buckets: int) -> None:
+    """The feature table in buckets of queries, for work that groups by query; ``read_bucketed`` reads it."""
+    write_bucketed(features.select(*FEATURE_TABLE_COLUMNS), path, "query_id", buckets, "dataset_split")
+
+
+def write_scored_by_query(scored: DataFrame, path: str, buckets: int) -> None:
+    """Scored pairs in buckets of queries; ``read_bucketed`` reads them."""
+    require_columns(scored, SCORED_COLUMNS, "write_scored_by_query")
+    write_bucketed(scored.select(*SCORED_COLUMNS), path, "query_id", buckets)
+
+
 def write_scored(scored: DataFrame, path: str) -> None:
     require_columns(scored, SCORED_COLUMNS, "write_scored")
     scored.select(*SCORED_COLUMNS).write.mode("overwrite").parquet(path)

