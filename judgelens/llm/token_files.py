@@ -12,12 +12,13 @@ a block (``part, block, first, n_ids, doc_ids, ends, marks, words``). Spark writ
 a cluster can write, and a reader needs the rows of a block only.
 
 Defined results: a null text is an empty one and has the end id alone; rows with
-equal document ids follow each other, ordered by text; null ids come first; an
+equal document ids follow each other, ordered by a hash of the text; null ids come first; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
 
 import numpy as np
@@ -36,6 +37,8 @@ BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 # Selector 15 packs one value of 60 bits; with the lowest of these bits patterns it announces a raw word.
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLOCK_IDS, STRIDE = 1 << 16, 128
+# Parts of ascending ids that a task of the write holds, and ids sampled for the bounds of each.
+PARTS_PER_TASK, SAMPLE_PER_PART, SAMPLE_SEED = 4, 50, 20260926
 ROOM = (1 << 60) - 1
 
 
@@ -150,19 +153,57 @@ def _block_schema(id_type: T.DataType) -> T.StructType:
     )
 
 
+def _rank(doc_id) -> tuple:
+    """A sort key of ids: a missing one comes first."""
+    return (doc_id is not None, doc_id if doc_id is not None else 0)
+
+
+def part_bounds(ids: DataFrame, n_parts: int) -> list[tuple]:
+    """Ids that cut the table into about ``n_parts`` equal parts, from a random sample of bounded size; a frequent id occurs repeatedly."""
+    sampled = ids.orderBy(F.rand(SAMPLE_SEED)).limit(SAMPLE_PER_PART * n_parts).collect()
+    ranks = sorted(_rank(r[0]) for r in sampled)
+    return [ranks[len(ranks) * k // n_parts] for k in range(1, n_parts)] if ranks else []
+
+
+def part_of(bounds: list[tuple], doc_id, mixed: int) -> int:
+    """The part of a document. Parts ascend with ids; an id that fills several parts is spread over them by the hash ``mixed``."""
+    rank = _rank(doc_id)
+    low = bisect.bisect_left(bounds, rank)
+    return low + (mixed + (1 << 63)) * (bisect.bisect_right(bounds, rank, low) - low + 1) // (1 << 64)
+
+
 def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", block_ids: int = BLOCK_IDS) -> None:
-    """Write the ids of all texts; a block ends with the document that reaches ``block_ids`` ids."""
+    """Write the ids of all texts; a block ends with the document that reaches ``block_ids`` ids.
+
+    Texts are encoded where they are read; only their ids are shuffled.
+    """
     file, id_type = tokenizer_file(vocabulary), field_type(docs, id_col)
     schema = _block_schema(id_type)
     rows = pick(docs, doc_id=id_col, text=text_col)
-    ordered = rows.repartitionByRange(parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    tasks = parts(docs.sparkSession)
+    bounds = part_bounds(rows.select("doc_id"), PARTS_PER_TASK * tasks)
+    coded_schema = T.StructType(
+        [T.StructField("part", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("mixed", T.LongType()), T.StructField("ids", T.BinaryType())]
+    )
+
+    def encode(batches):
+        for batch in batches:
+            names, hashes = batch.column("doc_id"), batch.column("mixed").to_pylist()
+            placed = [part_of(bounds, name, mixed) for name, mixed in zip(names.to_pylist(), hashes)]
+            for first, tokens, stops in encode_column(batch.column("text"), file):
+                n = len(stops)
+                raws = [tokens[a:b].tobytes() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+                columns = [pa.array(placed[first : first + n], pa.int32()), names.slice(first, n), batch.column("mixed").slice(first, n), pa.array(raws, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "mixed", "ids"])
+
+    coded = rows.withColumn("mixed", F.xxhash64("text")).mapInArrow(encode, coded_schema)
+    ordered = coded.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "mixed")
 
     def blocks(batches):
-        from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        part, number, arrow = TaskContext.get().partitionId(), 0, to_arrow_schema(schema)
-        names, ends, values, before, total = [], [], [], 0, 0
+        arrow = to_arrow_schema(schema)
+        part, number, names, ends, values, before, total = None, 0, [], [], [], 0, 0
 
         def flush():
             raw, marks = encode_block(np.concatenate(values))
@@ -170,18 +211,18 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for first, tokens, stops in encode_column(batch.column("text"), file):
-                begin = 0
-                for name, stop in zip(ids[first : first + len(stops)], stops.tolist()):
-                    total += stop - begin
-                    names.append(name)
-                    ends.append(total)
-                    values.append(tokens[begin:stop])
-                    begin = stop
-                    if total >= block_ids:
+            for own, name, raw in zip(*(batch.column(n).to_pylist() for n in ("part", "doc_id", "ids"))):
+                if own != part:
+                    if names:
                         yield flush()
-                        names, ends, values, before, total, number = [], [], [], before + total, 0, number + 1
+                    part, number, names, ends, values, before, total = own, 0, [], [], [], 0, 0
+                values.append(np.frombuffer(raw, "<u4"))
+                total += len(values[-1])
+                names.append(name)
+                ends.append(total)
+                if total >= block_ids:
+                    yield flush()
+                    names, ends, values, before, total, number = [], [], [], before + total, 0, number + 1
         if names:
             yield flush()
 
@@ -193,7 +234,7 @@ def read_token_table(spark: SparkSession, path: str, with_ids: bool = True) -> D
     stored = spark.read.parquet(path)
     sizes = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per written file: bounded by the partitions of the writing job. The blocks stay where they are read.
+    # One row per part: bounded by the partitions of the writing job. The blocks stay where they are read.
     ahead = F.broadcast(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead")))
     blocks = stored.join(ahead, "part").select((F.col("ahead") + F.col("first")).alias("base"), "doc_ids", "ends", "words")
     id_type = stored.schema["doc_ids"].dataType.elementType

@@ -196,3 +196,26 @@ def test_packing_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.length) for r in packing.pack(docs, with_ids=False).collect()) == [(-1, 1), (1, 3), (1, 3)]
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_parts_ascend_with_ids_and_frequent_ids_fill_several(spark):
+    rng = random.Random(2)
+    ids = [7] * 4000 + [None] * 2000 + rng.sample(range(-5000, 5000), 2000)
+    bounds = token_files.part_bounds(spark.createDataFrame([(i,) for i in ids], "doc_id long"), 40)
+    assert len(bounds) == 39 and bounds == sorted(bounds)
+    placed = [(i is not None, i or 0, token_files.part_of(bounds, i, rng.randrange(-(1 << 63), 1 << 63))) for i in ids]
+    by_id = {}
+    for given, i, part in placed:
+        by_id.setdefault((given, i), []).append(part)
+    spans = [(min(by_id[k]), max(by_id[k])) for k in sorted(by_id)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    sizes = np.bincount([part for *_, part in placed], minlength=40)
+    assert sizes.max() < 500 and len(set(by_id[True, 7])) >= 15 and len(set(by_id[False, 0])) >= 7
+    assert token_files.part_bounds(spark.createDataFrame([], "doc_id long"), 8) == [] and token_files.part_of([], 5, 0) == 0
+
+
+def test_one_id_for_all_rows(spark, tokenizer):
+    texts = odd_texts(12)[:120]
+    got = token_files.token_table(document_frame(spark, texts, [3] * len(texts)), block_ids=40).orderBy("start").collect()
+    assert sorted(bytes(r.ids) for r in got) == sorted(reference(tokenizer, t).tobytes() for t in texts)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
