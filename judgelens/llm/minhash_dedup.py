@@ -25,9 +25,9 @@ links, never pairs; two blocks of one and the same group do not meet.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 links with nothing; shorter texts than a shingle are one shingle; rows with equal
-texts are copies, also under one id; a row without an id belongs to the group of
-its text, and is kept only if no row with an id has that text; an empty table
-gives an empty result; other columns are ignored. Words are compared by 64-bit
+texts are copies, also under one id; in ``near_duplicates`` rows of one id are one
+document, and a row without an id belongs to the group of its text, but to no
+near copies; ``distinct_documents`` goes by rows; an empty table gives an empty result; other columns are ignored. Words are compared by 64-bit
 hashes.
 """
 
@@ -43,6 +43,7 @@ from pyspark.sql import types as T
 
 from judgelens.llm.common import as_bytes, field_type, map_batches, pick
 from judgelens.llm.components import components
+from judgelens.operators.numbering import number_rows
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -390,7 +391,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group, each document once."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    kept = docs.alias("docs").join(gone.alias("gone"), F.col(f"docs.`{id_col}`") == F.col("gone.doc_id"), "left_anti")
-    return kept.dropDuplicates([id_col, text_col])
+    """One row of each group of near copies: the one with the smallest id, a missing id counting as the largest.
+
+    Rows are what is compared and removed, not ids: of rows with equal ids, or
+    without one, each is judged by its own text. Where ids do not tell rows apart, the
+    rows are numbered in the order of their ids first.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    unclear = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    # The columns of a document travel as one, so that no name clashes.
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(doc, F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
+    if not unclear.isEmpty():
+        numbered = number_rows(rows.select("doc", "key", F.xxhash64("text").alias("mixed")), [F.col("key").asc_nulls_last(), "mixed"], "number")
+        rows = numbered.select("doc", F.col("number").alias("key"), F.col("doc")[text_col].alias("text"))
+    gone = near_duplicates(rows, "key", "text", words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("doc.*")

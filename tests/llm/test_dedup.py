@@ -196,3 +196,17 @@ def test_sketches_estimate_similarity():
         base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
         agree.append((minhash_dedup.sketch(base[:800]) == minhash_dedup.sketch(np.concatenate([base[:700], base[800:]]))).mean())
     assert abs(np.mean(agree) - 700 / 900) < 0.03
+
+
+def test_distinct_documents_goes_by_rows(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80))
+    first, clean, lone = text(), text(), text()
+    near, alone = lone + " tail", text()
+    rows = [(1, first), (5, first), (5, clean), (7, clean), (None, lone), (None, near), (None, alone), (9, ""), (9, ""), (8, None), (3, alone), (3, alone)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, _row string, _gone int")
+    left = minhash_dedup.distinct_documents(df)
+    assert left.columns == df.columns
+    found = [(r.doc_id, r.text) for r in left.collect()]
+    expected = [(1, first), (5, clean), (9, ""), (9, ""), (8, None), (3, alone)]
+    assert sorted(map(str, found)) in (sorted(map(str, [*expected, (None, lone)])), sorted(map(str, [*expected, (None, near)])))
