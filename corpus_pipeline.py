@@ -2,6 +2,12 @@
 
 ``STAGES`` are applied in order, each to all that the one before has kept. All
 but the last return the columns of ``documents``.
+
+Defined results: a null or empty text is not toxic by its words, but fails the plain
+quality rules; repeated rows, and rows without an id, are documents of their own to
+the toxicity and quality stages, and the near-duplicate stage keeps one of each group
+of copies; further columns are carried along, whatever their names, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
