@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 END_ID = 2
 ID = np.dtype("<u4")
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 MARKS = ".,;:!?"
 
 
