@@ -12,9 +12,12 @@ counted in the first.
 
 Cells are compared in blocks: members and visitors are dealt to blocks by a hash
 of their id, and each pair of blocks is a task of its own with bounded rows, so
-one crowded cell is many tasks. A task returns, instead of pairs, the number of
-links of each vector and a spanning forest of the links. The work inside a cell
-is quadratic, as counting links exactly demands; cells keep it apart.
+one crowded cell is many tasks. Vectors travel as packed bytes, in single precision
+if that is what the column holds. A task forms the products in single precision,
+and again in double precision for the pairs that these leave within their rounding
+bound of the limit or above it. It returns, instead of pairs, the number of links of
+each vector and a spanning forest of the links. The work inside a cell is quadratic,
+as counting links exactly demands; cells keep it apart.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are groups of their own, and so are vectors of a
@@ -28,17 +31,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgelens.llm.common import pick
+from judgelens.llm.common import field_type, map_batches, pick
 from judgelens.llm.components import components
 from judgelens.sources.staging import stage
 
 COSINE = 0.9
-# Vectors per cell aimed at, most cells, sampled vectors per cell for k-means, turns, vectors per block.
-CELL, MAX_CELLS, SAMPLE, TURNS, BLOCK, SEED = 4096, 4096, 64, 12, 4096, 20260926
+# Vectors per cell aimed at, most cells, sampled vectors per cell for k-means, turns, members and visitors per block.
+CELL, MAX_CELLS, SAMPLE, TURNS, BLOCK, VISITORS, SEED = 2048, 4096, 64, 12, 4096, 4, 20260926
+# Components of the sampled vectors on the driver at most; rows of one matrix product.
+SAMPLE_COMPONENTS, ROWS = 1 << 25, 1024
 SLACK = 1e-9
 
 
@@ -51,16 +58,18 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 def spherical_kmeans(points: np.ndarray, k: int, turns: int = TURNS, seed: int = SEED) -> np.ndarray:
     """Unit centroids of unit vectors; an empty cell restarts at the worst served point."""
     rng = np.random.default_rng(seed)
-    centers = points[rng.choice(len(points), k, replace=False)]
+    centers = points[rng.choice(len(points), k, replace=False)].astype(np.float64)
     for _ in range(turns):
-        similar = points @ centers.T
-        cell = similar.argmax(axis=1)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, cell, points)
+        sums, best = np.zeros_like(centers), []
+        for start in range(0, len(points), ROWS):
+            some = points[start : start + ROWS]
+            similar = some @ centers.astype(points.dtype).T
+            np.add.at(sums, similar.argmax(axis=1), some)
+            best.append(similar.max(axis=1))
         norms = np.sqrt((sums * sums).sum(axis=1))
         empty = np.flatnonzero(norms < SLACK)
         if len(empty):
-            worst = np.argsort(similar.max(axis=1))[: len(empty)]
+            worst = np.argsort(np.concatenate(best), kind="stable")[: len(empty)]
             sums[empty], norms[empty] = points[worst], 1.0
         centers = sums / norms[:, None]
     return centers
@@ -77,11 +86,30 @@ def border_distance(points: np.ndarray, centers: np.ndarray, cell: np.ndarray) -
     return out
 
 
-def usable(embedding) -> F.Column:
-    """Whether a vector has a direction."""
-    v = F.col(embedding)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+def packed(vectors: DataFrame) -> DataFrame:
+    """``vec_id, v`` of the rows with an id and a direction; ``v`` packs the components of one number type."""
+    single = isinstance(field_type(vectors, "v").elementType, T.FloatType)
+    known = vectors.where("vec_id IS NOT NULL AND size(v) > 0").select("vec_id", F.col("v").cast(f"array<{'float' if single else 'double'}>").alias("v"))
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        column = batch.column("v")
+        values = column.flatten().to_numpy(zero_copy_only=False) + 0.0  # null becomes nan, -0.0 becomes 0.0
+        ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+        starts = np.concatenate([[0], ends[:-1]])
+        bad = np.logical_or.reduceat(~np.isfinite(values), starts)
+        good = np.logical_or.reduceat(values != 0, starts) & ~bad
+        raw, size = values.tobytes(), values.itemsize
+        keep = np.flatnonzero(good)
+        rows = [raw[x * size : y * size] for x, y in zip(starts[keep].tolist(), ends[keep].tolist())]
+        return pa.table({"vec_id": batch.column("vec_id").take(pa.array(keep)), "v": pa.array(rows, pa.binary())})
+
+    return map_batches(known, run, T.StructType([T.StructField("vec_id", field_type(vectors, "vec_id")), T.StructField("v", T.BinaryType())]))
+
+
+def matrix(packs, number: str) -> np.ndarray:
+    """Packed vectors of one length as unit rows in double precision."""
+    packs = list(packs)
+    return unit(np.frombuffer(b"".join(packs), dtype=number).reshape(len(packs), -1).astype(np.float64))
 
 
 def vector_classes(vectors: DataFrame) -> DataFrame:
@@ -89,30 +117,31 @@ def vector_classes(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
 
 
-def _cells(classes: DataFrame, width: int, per_cell: int, seed: int) -> np.ndarray:
-    """Centroids fitted on a bounded sample of the classes of one vector length."""
-    own = classes.where(F.size("v") == width)
+def _cells(classes: DataFrame, width: int, number: str, per_cell: int, seed: int) -> np.ndarray:
+    """Centroids fitted on a bounded sample of the classes of one vector length (in bytes)."""
+    own, n = classes.where(F.octet_length("v") == width), width // np.dtype(number).itemsize
     k = int(min(MAX_CELLS, max(1, own.count() // per_cell)))
     if k == 1:
-        return np.eye(1, width)
-    rows = own.orderBy(F.xxhash64(F.lit(seed), "rep")).limit(SAMPLE * k).select("v").toPandas()  # at most SAMPLE * MAX_CELLS vectors
-    return spherical_kmeans(unit(np.array(rows["v"].tolist(), dtype=np.float64)), k, seed=seed)
+        return np.eye(1, n)
+    most = max(k, min(SAMPLE * k, SAMPLE_COMPONENTS // n))
+    rows = own.orderBy(F.xxhash64(F.lit(seed), "rep")).limit(most).select("v").toPandas()
+    return spherical_kmeans(matrix(rows["v"], number).astype(np.float32), k, seed=seed)
 
 
-PLACED = "width int, cell int, home boolean, own_cell int, rep long, copies long, visits array<int>, v array<double>"
+PLACED = "width int, cell int, home boolean, own_cell int, rep long, copies long, visits binary, v binary"
 
 
-def place(classes: DataFrame, centers: dict[int, np.ndarray], reach: float) -> DataFrame:
+def place(classes: DataFrame, centers: dict[int, np.ndarray], number: str, reach: float) -> DataFrame:
     """Rows of each class in its own cell and in every cell within ``reach`` of its border."""
 
     def rows(frames):
         for frame in frames:
-            for (width, _), group in frame.groupby([frame["v"].map(len), np.arange(len(frame)) // 1024]):
+            for (width, _), group in frame.groupby([frame["v"].map(len), np.arange(len(frame)) // ROWS]):
                 own = centers[int(width)]
-                points = unit(np.array(group["v"].tolist(), dtype=np.float64))
+                points = matrix(group["v"], number)
                 cell = (points @ own.T).argmax(axis=1)
                 near = border_distance(points, own, cell) <= reach
-                visits = [np.flatnonzero(x).astype(np.int32) for x in near]
+                visits = [np.flatnonzero(x).astype("<i4") for x in near]
                 at = np.concatenate([np.arange(len(points)), np.repeat(np.arange(len(points)), near.sum(axis=1))])
                 home = np.arange(len(at)) < len(points)
                 yield pd.DataFrame(
@@ -123,8 +152,8 @@ def place(classes: DataFrame, centers: dict[int, np.ndarray], reach: float) -> D
                         "own_cell": cell[at].astype(np.int32),
                         "rep": group["rep"].to_numpy()[at],
                         "copies": group["copies"].to_numpy()[at],
-                        "visits": [visits[k] if h else np.zeros(0, np.int32) for k, h in zip(at, home)],
-                        "v": list(points[at]),
+                        "visits": [visits[k].tobytes() if h else b"" for k, h in zip(at.tolist(), home.tolist())],
+                        "v": group["v"].to_numpy()[at],
                     }
                 )
 
@@ -153,7 +182,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 FOUND = "a long, b long, n long"
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, number: str):
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Links of one pair of blocks: counts (b null) and a spanning forest (n null)."""
         _, cell, i, j, kind = key
@@ -161,21 +190,26 @@ def _compare(cosine: float):
         right = left if kind == "same" else rows[rows["side"] == 1].sort_values("rep")
         if not len(left) or not len(right):
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        x, y = np.array(left["v"].tolist()), np.array(right["v"].tolist())
+        x = matrix(left["v"], number)
+        short, width = x.astype(np.float32), x.shape[1]
+        # A single-precision product of unit vectors is off by less than (width + 2) units of rounding.
+        margin, packs_y = 1e-5 + 1.2e-7 * width, right["v"].to_numpy()
         ids_x, ids_y = left["rep"].to_numpy(), right["rep"].to_numpy()
         copies_x, copies_y = left["copies"].to_numpy(), right["copies"].to_numpy()
-        counts_x, counts_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        counts_x, counts_y = np.zeros(len(ids_x), np.int64), np.zeros(len(ids_y), np.int64)
         links_a, links_b = [], []
         # Members stand left; a visitor whose own cell is visited by the member too was compared there if that cell comes first.
-        visits = [frozenset(v) for v in left["visits"]] if kind == "visit" else None
+        visits = left["visits"].to_numpy()
         own = right["own_cell"].to_numpy()
-        for start in range(0, len(x), 256):
-            p, q = np.nonzero(x[start : start + 256] @ y.T >= cosine)
-            p = p + start
+        for start in range(0, len(ids_y), ROWS):
+            y = matrix(packs_y[start : start + ROWS], number)
+            p, q = np.nonzero(short @ y.astype(np.float32).T >= cosine - margin)
+            sure = np.concatenate([np.zeros(0, bool), *((x[p[k : k + ROWS]] * y[q[k : k + ROWS]]).sum(axis=1) >= cosine for k in range(0, len(p), ROWS))])
+            p, q = p[sure], q[sure] + start
             if kind == "same":
                 p, q = p[p < q], q[p < q]
             elif kind == "visit" and len(p):
-                keep = np.array([own[b] > cell or own[b] not in visits[a] for a, b in zip(p.tolist(), q.tolist())], dtype=bool)
+                keep = np.array([own[b] > cell or own[b] not in np.frombuffer(visits[a], "<i4") for a, b in zip(p.tolist(), q.tolist())], dtype=bool)
                 p, q = p[keep], q[keep]
             np.add.at(counts_x, p, copies_y[q])
             np.add.at(counts_y, q, copies_x[p])
@@ -202,10 +236,10 @@ def deal_blocks(placed: DataFrame, block: int) -> DataFrame:
     """Copy each row to the pairs of blocks it takes part in: ``i, j, kind, side`` are added.
 
     With m member blocks and w visitor blocks in a cell, member block i meets the
-    member blocks j >= i and all visitor blocks.
+    member blocks j >= i and all visitor blocks, which hold ``VISITORS`` times as many rows.
     """
     sizes = placed.groupBy("width", "cell").agg(
-        F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("m"), F.ceil(F.sum((~F.col("home")).cast("int")) / block).cast("int").alias("w")
+        F.ceil(F.sum(F.col("home").cast("int")) / block).cast("int").alias("m"), F.ceil(F.sum((~F.col("home")).cast("int")) / (VISITORS * block)).cast("int").alias("w")
     )
     with_sizes = placed.join(sizes, ["width", "cell"]).where("m > 0")
     hashed = F.xxhash64(F.lit(SEED + 1), "rep")
@@ -232,17 +266,17 @@ def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, per_cell: int = CELL, block: int = BLOCK, seed: int = SEED
 ) -> DataFrame:
     """Per row: ``vec_id, n_links, component_id, kept``; for a ``cosine`` above 0."""
-    rows = pick(vectors, vec_id=id_col, v=vector_col).withColumn("v", F.col("v").cast("array<double>")).withColumn("usable", usable("v"))
-    # -0.0 and 0.0 are one value.
-    good = rows.where("usable").where(F.col("vec_id").isNotNull()).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")).distinct()
+    rows = pick(vectors, vec_id=id_col, v=vector_col)
+    number = "<f4" if isinstance(field_type(rows, "v").elementType, T.FloatType) else "<f8"
+    good = stage(packed(rows).distinct(), "vectors")
     classes = stage(vector_classes(good), "vector-classes")
-    # Widths are few; each has its own cells.
-    widths = [r[0] for r in classes.select(F.size("v")).distinct().collect()]
-    centers = {width: _cells(classes, width, per_cell, seed) for width in widths}
+    # Lengths (in bytes) are few; each has its own cells.
+    widths = [r[0] for r in classes.select(F.octet_length("v")).distinct().collect()]
+    centers = {width: _cells(classes, width, number, per_cell, seed) for width in widths}
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)) / 2 + SLACK)
-    placed = stage(place(classes, centers, reach), "vector-cells")  # read twice
+    placed = stage(place(classes, centers, number, reach), "vector-cells")  # read twice
     dealt = deal_blocks(placed, block)
-    found = stage(dealt.groupBy("width", "cell", "i", "j", "kind").applyInPandas(_compare(cosine), FOUND), "vector-links")
+    found = stage(dealt.groupBy("width", "cell", "i", "j", "kind").applyInPandas(_compare(cosine, number), FOUND), "vector-links")
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("other"))
     groups = components(found.where("b is not null"), "a", "b").withColumnRenamed("node", "rep")
     of_class = (

@@ -98,6 +98,26 @@ def test_vector_rows_that_repeat_or_have_no_id(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
 
 
+@pytest.mark.parametrize("number", ["float", "double", "int"])
+def test_packed_vectors(spark, number):
+    vectors = {1: [1, -0.0, 2], 2: [], 3: None, 4: [0, 0], 5: [1, None], 6: [3], None: [1, 2]}
+    odd = {} if number == "int" else {7: [float("nan"), 1.0], 8: [1.0, float("inf")]}
+    rows = spark.createDataFrame([(k, v and [None if x is None else float(x) for x in v]) for k, v in (vectors | odd).items()], "vec_id long, v array<double>")
+    rows = rows.select("vec_id", F.col("v").cast(f"array<{number}>").alias("v"))
+    got = {r.vec_id: np.frombuffer(bytes(r.v), "<f4" if number == "float" else "<f8").tolist() for r in embedding_dedup.packed(rows).collect()}
+    assert got == {1: [1.0, 0.0, 2.0], 6: [3.0]} and not np.signbit(got[1][1])
+
+
+def test_links_of_many_visitors_in_single_precision(spark):
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(300, 24)).astype(np.float32)
+    near = points + rng.normal(size=points.shape).astype(np.float32) * np.float32(0.48) * rng.random((300, 1)).astype(np.float32)
+    vectors = {k: v.tolist() for k, v in enumerate(np.concatenate([points, near]))}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(rows, per_cell=30, block=16).collect()}
+    assert got == brute_vectors(vectors) and 100 < sum(n for n, _, _ in got.values()) < 600
+
+
 def test_no_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>").limit(0)
     assert embedding_dedup.near_duplicates(rows).count() == 0
@@ -105,8 +125,8 @@ def test_no_vectors(spark):
 
 def test_compared_blocks_are_bounded(spark):
     rng = np.random.default_rng(1)
-    classes = spark.createDataFrame([(k, 1, (np.ones(8) + rng.normal(size=8) * 0.01).tolist()) for k in range(600)], "rep long, copies long, v array<double>")
-    placed = embedding_dedup.place(classes, {8: np.eye(1, 8)}, 0.3)
+    classes = spark.createDataFrame([(k, 1, bytearray((np.ones(8) + rng.normal(size=8) * 0.01).tobytes())) for k in range(600)], "rep long, copies long, v binary")
+    placed = embedding_dedup.place(classes, {64: np.eye(1, 8)}, "<f8", 0.3)
     dealt = embedding_dedup.deal_blocks(placed, 50)
     assert dealt.groupBy("width", "cell", "i", "j", "kind").count().agg(F.max("count")).first()[0] < 4 * 50
 
