@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from judgelens.operators.numbering import number_rows
+
 # Words are runs of anything but ASCII white space. bytes.split() cuts at the same six bytes.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -28,6 +30,22 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
+def keyed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc`` (all columns of a row, so that no name clashes), ``key`` (one to a row), ``text``.
+
+    The key is the id, or if ids are missing or repeated the number of the row in the
+    order of ids, missing ones last.
+    """
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    unclear = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(doc, F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
+    if unclear.isEmpty():
+        return rows
+    numbered = number_rows(rows.select("doc", "key", F.xxhash64("text").alias("mixed")), [F.col("key").asc_nulls_last(), "mixed"], "number")
+    return numbered.select("doc", F.col("number").alias("key"), F.col("doc")[text_col].alias("text"))
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema) -> DataFrame:
     """Apply ``function`` to each Arrow batch of a partition."""
 

@@ -41,9 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgelens.llm.common import as_bytes, field_type, map_batches, pick
+from judgelens.llm.common import as_bytes, field_type, keyed_rows, map_batches, pick
 from judgelens.llm.components import components
-from judgelens.operators.numbering import number_rows
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -397,13 +396,6 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     without one, each is judged by its own text. Where ids do not tell rows apart, the
     rows are numbered in the order of their ids first.
     """
-    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
-    unclear = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
-    # The columns of a document travel as one, so that no name clashes.
-    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    rows = docs.select(doc, F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
-    if not unclear.isEmpty():
-        numbered = number_rows(rows.select("doc", "key", F.xxhash64("text").alias("mixed")), [F.col("key").asc_nulls_last(), "mixed"], "number")
-        rows = numbered.select("doc", F.col("number").alias("key"), F.col("doc")[text_col].alias("text"))
+    rows = keyed_rows(docs, id_col, text_col)
     gone = near_duplicates(rows, "key", "text", words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
     return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("doc.*")

@@ -9,15 +9,17 @@ vector of probabilities walks through the null space of the balancing rows
 (words, documents) until nearly all entries are 0 or 1, so that the drawn words
 and the drawn number of documents of each source stay at their expectation.
 
-The walk runs in blocks of ``block`` documents of one source, dealt by a hash of
-the document id, so one huge source is many tasks. A block leaves at most two or
-three undecided documents; those of a source meet again in fewer blocks, and so
-on until one block is left, whose last few documents (the landing) are rounded
-to the words nearest to the expected ones, one decided document helping out.
+The documents of a source are numbered in the order of a seeded hash of id and
+text, and the walk runs in blocks of ``block`` numbers, so one huge source is many
+tasks of bounded size, also if all its documents share one id or have none. A block
+leaves at most two undecided documents; those of the next ``block / 4`` blocks meet
+again, and so on until one block is left, whose last few documents (the landing) are
+rounded to the words nearest to the expected ones, one decided document helping out.
 
 Defined results: a null text has 0 words, a null source is a source of its own
 that sorts last, a null document id is hashed as such, repeated rows are separate
-documents, an empty table gives an empty result. Other columns are ignored.
+documents (of equal ones any may be the one that is taken), an empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgelens.llm.common import pick, word_count
+from judgelens.llm.common import keyed_rows, pick, word_count
 from judgelens.operators.numbering import number_rows
 from judgelens.sources.staging import stage
 
@@ -98,7 +100,7 @@ def land(sizes: list[float], chances: list[float]) -> list[float]:
 
 def _fly(seed: int, level: int):
     def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "id_text", "size"], kind="stable")
+        rows = rows.sort_values("number")
         rng = random.Random(f"{seed}:{level}:{key[0]}:{key[1]}")
         sizes = rows["size"].astype(float).tolist()
         chances = walk(sizes, rows["chance"].tolist(), rng)
@@ -145,9 +147,12 @@ def mix(
     most: float = MOST,
     block: int = BLOCK,
     seed: int = SEED,
+    key_col: str | None = None,
 ) -> DataFrame:
-    """Per document: ``doc_id, source, size, source_size, target, copies, taken``."""
-    sized = pick(docs, doc_id=id_col, text=text_col, source=source_col).select("doc_id", "source", word_count("text").alias("size"))
+    """Per document: ``doc_id, source, size, source_size, target, copies, taken``, and ``key`` if a key of the rows is named."""
+    sized = pick(docs, doc_id=id_col, text=text_col, source=source_col, key=key_col or id_col).select(
+        "doc_id", "key", "source", word_count("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order")
+    )
     sized = stage(sized, "mix-sizes")
     targets = source_targets(sized, weights, total_share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -155,53 +160,47 @@ def mix(
         sized.join(targets, sized["source"].eqNullSafe(targets["source"]))
         .select(
             "doc_id",
+            "key",
             sized["source"],
             "size",
             "source_no",
+            "n_docs",
             "source_size",
             "target",
             F.floor(ratio).alias("sure"),
             (ratio - F.floor(ratio)).alias("chance"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("order"),
-            F.col("doc_id").cast("string").alias("id_text"),
+            "order",
         )
     )
     # A ratio of almost a whole number is that number.
     near = F.col("chance") > 1 - EDGE
     rows = rows.withColumns({"sure": F.when(near, F.col("sure") + 1).otherwise(F.col("sure")), "chance": F.when(near | (F.col("chance") < EDGE), F.lit(0.0)).otherwise(F.col("chance"))})
-    done, level = [], 0
+    rows = number_rows(rows, ["source_no", "order", F.col("doc_id").asc_nulls_last(), "size", F.col("key").asc_nulls_last()], "number").drop("order")
+    begins = rows.groupBy("source_no").agg(F.min("number").alias("begin"))
+    rows = rows.join(begins, "source_no").withColumn("number", F.col("number") - F.col("begin")).drop("begin")
+    # All open documents of a source have one chance, so its first blocks are full.
+    done, span = [], block
     while True:
         rows = stage(rows, "mix-chances")
         done.append(rows.where(~F.col("chance").between(EDGE, 1 - EDGE)))
         rows = rows.where(F.col("chance").between(EDGE, 1 - EDGE))
-        left = rows.groupBy("source_no").agg(F.count("*").alias("n_open"))
-        if not (left.agg(F.max("n_open")).first()[0] or 0):
+        if rows.isEmpty():
             break
         columns = rows.columns
-        dealt = (
-            rows.join(left, "source_no")
-            .withColumn("blocks", F.ceil(F.col("n_open") / block))
-            .withColumn("block", F.pmod(F.shiftright("order", 8 + 11 * (level % 4)), F.col("blocks")))
-            .withColumn("last", F.col("blocks") == 1)
-            .select(*columns, "block", "last")
-        )
-        schema = dealt.schema
-        rows = dealt.groupBy("source_no", "block").applyInPandas(_fly(seed, level), schema).select(*columns)
-        level += 1
+        dealt = rows.withColumn("block", F.floor(F.col("number") / span)).withColumn("last", F.col("n_docs") <= span)
+        rows = dealt.groupBy("source_no", "block").applyInPandas(_fly(seed, span), dealt.schema).select(*columns)
+        span *= max(2, block // 4)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     copies = (F.col("sure") + F.round("chance")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *["key"] * bool(key_col))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its document.
-
-    Rows that share a document id (or have none) are taken as often as the one
-    among them that is taken least.
-    """
-    taken = mix(docs, **options).groupBy("doc_id").agg(F.min("copies").alias("_copies"))
-    named = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).where(F.col("t._copies") > 0)
-    # At most floor(most) + 1 copies; inside a struct the columns of docs cannot clash with own ones.
-    return named.select(F.explode(F.array_repeat(F.struct(F.col("d.*")), F.col("t._copies").cast("int"))).alias("_row")).select("_row.*")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; rows are drawn each for itself, also with shared or missing ids."""
+    rows = keyed_rows(docs, id_col, text_col)
+    drawn = mix(rows.select("key", "text", F.col("doc")[id_col].alias("id"), F.col("doc")[source_col].alias("source")), "id", "text", "source", key_col="key", **options)
+    taken = drawn.where("copies > 0").select(F.col("key").alias("taken"), F.col("copies").cast("int").alias("copies"))
+    # At most floor(most) + 1 copies.
+    return rows.join(taken, F.col("key") == F.col("taken")).select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc")).select("doc.*")

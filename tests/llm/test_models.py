@@ -171,6 +171,36 @@ def test_mixed_documents_repeat_rows(spark):
     assert Counter(r.doc_id for r in got.collect()) == {k: n for k, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("one_text", [False, True])
+def test_rows_of_one_id_are_dealt_to_bounded_blocks(spark, monkeypatch, one_text):
+    ids = [None] * 300 + [7] * 300 + list(range(100, 160))
+    rows = [(k, "same words here" if one_text else " ".join(["w"] * (1 + i % 9)), "a" if i % 20 else "b") for i, k in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    groups, fly = spark.sparkContext.accumulator(0), mixing._fly
+
+    def counted(seed, level):
+        def run(key, frame):
+            groups.add(1)
+            assert len(frame) <= 40 or frame["number"].max() - frame["number"].min() >= 40 and len(frame) <= 44
+            return fly(seed, level)(key, frame)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_fly", counted)
+    out = mixing.mix(docs, block=40).collect()
+    assert groups.value >= 660 / 40 and len(out) == 660
+    for source in "ab":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 9
+    monkeypatch.setattr(mixing, "_fly", fly)
+    sizes, total = Counter(), Counter()
+    for r in mixing.mixed_documents(docs, block=40).collect():
+        total[r.source] += len(r.text.split())
+    for r in out:
+        sizes[r.source] = r.target
+    assert all(abs(total[x] - sizes[x]) <= 9 for x in sizes)
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark):
     docs = mixed_rows(spark, 4, 20)
     assert mixing.mix(docs.limit(0)).count() == 0
