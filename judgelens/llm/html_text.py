@@ -1,10 +1,10 @@
 """Main text of HTML pages from flat text blocks and a trained decision tree.
 
 A page is cut into text blocks at block-level tags. A block knows its number of
-words, the share of them inside links, the same of its neighbours, where it
-stands, and what its enclosing tags and their names say. A decision tree, grown
-here on the blocks of a few labelled pages (``TRAINING``), tells main text from
-the rest. Scripts, styles, markup, comments of the source and form controls are
+words, the share of them inside links, the same of its neighbours, and what its
+enclosing tags and their names say, if they say anything. A decision tree, grown
+here on the blocks of labelled pages with and without such tags and names
+(``html_training``), tells main text from the rest. Scripts, styles, markup, comments of the source and form controls are
 never text.
 
 Defined results: a null or empty page, or one without main text, gives an empty
@@ -51,7 +51,7 @@ RAW_END = {tag: re.compile("</" + tag, re.I) for tag in RAW_TAGS}
 QUOTE = re.compile(r"=\s*([\"'])")
 # A closing tag of another kind does not reach out of these.
 CONTAINERS = frozenset("html body div section article main table form".split()) | CHROME_TAGS
-FEATURES = ("words", "link_share", "previous_words", "previous_link_share", "next_words", "next_link_share", "in_main", "in_chrome", "heading", "page_has_main", "list_item", "position")
+FEATURES = ("words", "link_share", "previous_words", "previous_link_share", "next_words", "next_link_share", "own_main", "outside_main", "in_chrome", "heading", "list_item")
 
 
 @dataclass
@@ -227,12 +227,11 @@ def blocks_of(page: str) -> list[Block]:
             last[1],
             following[0].words if following[0] else 0,
             following[1],
-            b.in_main,
+            b.in_main and not b.in_chrome,
+            has_main and not b.in_main,
             b.in_chrome,
             b.heading,
-            has_main,
             b.list_item,
-            k / len(blocks),
         ]
     return blocks
 
@@ -246,7 +245,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(rows: list[list[float]], labels: list[bool], depth: int = 6, least: int = 2) -> Node:
+def grow(rows: list[list[float]], labels: list[bool], depth: int = 8, least: int = 3) -> Node:
     """A binary decision tree by Gini impurity; ties go to the earlier feature and lower limit."""
     share = sum(labels) / len(labels)
     node = Node(share)
@@ -282,10 +281,10 @@ def predict(tree: Node, features: list[float]) -> float:
 
 def train(pages: list[tuple[str, str]] | None = None) -> Node:
     """Grow the tree on pages whose main text blocks start with ``html_training.MARK``."""
-    from judgelens.llm.html_training import MARK, PAGES
+    from judgelens.llm.html_training import MARK, PAGES, PLAIN_PAGES
 
     rows, labels = [], []
-    for page in pages or PAGES:
+    for page in pages or PAGES + PLAIN_PAGES:
         for block in blocks_of(page):
             labels.append(block.text.startswith(MARK))
             rows.append(block.features)
