@@ -1,20 +1,25 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is its set of word shingles, and a sketch of ``SKETCH`` minwise tokens
-stands for the set. Documents with equal sets are one class from the start. In
-each of ``TREES`` independent trees a class first branches by one minwise token;
-in a node that is still large it branches again by a few tokens that the node
-chooses by its own hash, and so on. Two sets of similarity s meet in a branch with
-probability s, so at 0.8 a pair misses all twelve first branches with probability
-4e-9.
+A document is its set of word shingles, and a sketch stands for the set: one byte of
+each of ``SKETCH`` minwise tokens, and the first ``TREES`` tokens whole. Documents with
+equal sets are one class from the start. In each of ``TREES`` independent trees a
+class first branches by one minwise token. Two sets of similarity s meet in a branch
+with probability s, so at 0.8 a pair misses all ten first branches once in ten
+million times.
 
 Families come first: every member of a node is held against its smallest member,
-the pivot, by sketch, and nodes where several families still meet are compared
-exhaustively between families while they are small (``LEAF``), branched further
-while they are large, and compared in blocks where they stay large at the last
-level. Pairs whose sketches agree in fewer than ``LEAST_AGREEING`` tokens are passed
-over; a pair of similarity 0.8 falls below that less than once in 20,000 times, and
-mostly has other links into its family.
+the pivot, by sketch. In a node where several families still meet, the members outside
+its largest family are the outsiders. With at most ``LEAF`` outsiders the node is a
+leaf: each outsider is compared with all members of other families, which costs a
+fixed multiple of the members, however large the largest family is. With more, the
+node branches again, by one token that its own hash chooses or, every other time, by
+two. A pair at 0.8 then goes on in 1.2 branches on average and outlives any number of
+levels in half of the trees, so ten trees miss it once in a thousand times at worst;
+pairs below two thirds die out. Nodes that stay large at the last level are compared
+in blocks. A node tells which families agree, not which members. Pairs whose sketches
+agree in fewer than ``LEAST_AGREEING`` tokens are passed over; a pair of similarity 0.8
+falls below that less than once in 20,000 times, and mostly has other links into its
+family.
 
 Full sets, computed from the whole texts of family members only, then decide. Each
 member is confirmed against its best pivot, which joins most of a large family at a
@@ -27,8 +32,8 @@ Defined results: a null or empty text, or one without words, has no shingles and
 links with nothing; shorter texts than a shingle are one shingle; rows with equal
 texts are copies, also under one id; in ``near_duplicates`` rows of one id are one
 document, and a row without an id belongs to the group of its text, but to no
-near copies; ``distinct_documents`` goes by rows; an empty table gives an empty result; other columns are ignored. Words are compared by 64-bit
-hashes.
+near copies; ``distinct_documents`` goes by rows; an empty table gives an empty
+result; other columns are ignored. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -46,7 +51,7 @@ from judgelens.llm.components import components
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-SKETCH, TREES, BRANCHES, DEPTH, LEAF, PORTION, BLOCK = 64, 12, 2, 6, 2000, 256, 1024
+SKETCH, TREES, DEPTH, LEAF, PORTION, BLOCK = 64, 10, 6, 100, 256, 1024
 COLUMNS = 8192  # shingles of one matrix product
 LEAST_AGREEING = 37
 MEMO = 500_000
@@ -98,33 +103,35 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, f1, f2, sketch``; f1 and f2 are sums that tell sets apart."""
+    """Per row: ``doc_id, n_shingles, f1, f2, first, marks``; f1 and f2 are sums that tell sets apart, marks has one byte a token."""
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        sizes, ones, twos, tokens = [], [], [], []
+        sizes, ones, twos, first, marks = [], [], [], [], []
         for raw in as_bytes(batch.column("text")):
             hashes = shingle_set(raw, words)
             sizes.append(len(hashes))
             ones.append(hashes.sum(dtype=np.uint64).astype(np.int64))
             twos.append(mix(hashes).sum(dtype=np.uint64).astype(np.int64))
-            tokens.append(sketch(hashes) if len(hashes) else None)
+            tokens = sketch(hashes) if len(hashes) else None
+            first.append(None if tokens is None else tokens[:TREES])
+            marks.append(None if tokens is None else tokens.astype(np.uint8).tobytes())
         longs = {n: pa.array(v, pa.int64()) for n, v in (("n_shingles", sizes), ("f1", ones), ("f2", twos))}
-        return pa.table({"doc_id": batch.column("doc_id")} | longs | {"sketch": pa.array(tokens, pa.list_(pa.int32()))})
+        return pa.table({"doc_id": batch.column("doc_id")} | longs | {"first": pa.array(first, pa.list_(pa.int32())), "marks": pa.array(marks, pa.binary())})
 
     fields = [T.StructField("doc_id", field_type(docs, id_col)), *(T.StructField(n, T.LongType()) for n in ("n_shingles", "f1", "f2"))]
-    return map_batches(pick(docs, doc_id=id_col, text=text_col), run, T.StructType([*fields, T.StructField("sketch", T.ArrayType(T.IntegerType()))]))
+    return map_batches(pick(docs, doc_id=id_col, text=text_col), run, T.StructType([*fields, T.StructField("first", T.ArrayType(T.IntegerType())), T.StructField("marks", T.BinaryType())]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(-1, SKETCH)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
 def agreeing_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (low, high) whose sketches agree often enough, with ``agree``."""
-    tokens = classes.select("rep", "sketch")
+    marks = classes.select("rep", "marks")
     both = (
-        pairs.join(tokens.withColumnsRenamed({"rep": "low", "sketch": "s_low"}), "low")
-        .join(tokens.withColumnsRenamed({"rep": "high", "sketch": "s_high"}), "high")
+        pairs.join(marks.withColumnsRenamed({"rep": "low", "marks": "s_low"}), "low")
+        .join(marks.withColumnsRenamed({"rep": "high", "marks": "s_high"}), "high")
         .select("low", "high", "s_low", "s_high")
     )
 
@@ -278,64 +285,67 @@ def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open_nodes(rows: DataFrame) -> DataFrame:
-    """Nodes with their size, where at least two groups meet."""
-    return rows.groupBy("node").agg(F.count("*").alias("n"), F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 != g1").select("node", "n")
+    """Nodes where groups meet: ``node``, the largest group ``top``, its members ``inside`` and the others ``outside``."""
+    groups = rows.groupBy("node", "grp").agg(F.count("*").alias("n"))
+    nodes = groups.groupBy("node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "grp")).alias("most"))
+    return nodes.where("all > most.n").select("node", F.col("most.grp").alias("top"), F.col("most.n").alias("inside"), (F.col("all") - F.col("most.n")).alias("outside"))
 
 
-def leaf_pairs(leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """Agreeing pairs between groups in each node: ``node, rep, grp, n`` to ``low, high``.
+def seated(leaves: DataFrame) -> DataFrame:
+    """Members of open nodes at their seats: ``node, i, j, mine, outsider, rep, grp``.
 
-    A node above ``LEAF`` members is dealt to pairs of blocks.
+    Outsiders and members of the largest group are dealt to blocks of their own. Seat
+    (i, j) from i = 0 holds block i of the largest group and block j of the outsiders,
+    and seat (-1 - i, j) two blocks of outsiders. As a leaf has one block of
+    outsiders, a member of its largest group has one seat.
     """
-    blocks = F.ceil(F.col("n") / LEAF).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("blocks")).cast("int")
-    seats = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("mine")).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    rows = (
-        leaves.withColumn("blocks", blocks)
-        .withColumn("mine", mine)
-        .select("node", "rep", "grp", "mine", F.explode(seats).alias("seat"))
-        .select("node", "seat.i", "seat.j", "mine", "rep", "grp")
-        .join(classes.select("rep", "sketch"), "rep")
-        .repartition("node", "i", "j")
-        .sortWithinPartitions("node", "i", "j", "rep")
-    )
-
-    def flush(held, split):
-        mine_, rep, grp, tokens = (np.concatenate(x) for x in zip(*held))
-        low, high = [], []
-        for k in range(len(rep) - 1):
-            rest = slice(k + 1, None)
-            # In a pair of different blocks only rows of different blocks meet; their own blocks have a seat of their own.
-            meet = (grp[rest] != grp[k]) & (rep[rest] != rep[k])
-            if split:
-                meet &= mine_[rest] != mine_[k]
-            near = np.flatnonzero(meet)
-            if len(near):
-                near = near[(tokens[k + 1 + near] == tokens[k]).sum(axis=1) >= LEAST_AGREEING]
-                low += [rep[k]] * len(near)
-                high += rep[k + 1 + near].tolist()
-        return low, high
+    inner, outer = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("inside", "outside"))
+    outsider = F.col("grp") != F.col("top")
+    mine = F.pmod(F.xxhash64(F.lit(7), "rep"), F.when(outsider, outer).otherwise(inner)).cast("int")
+    dealt = leaves.withColumns({"inner": inner, "outer": outer, "outsider": outsider, "mine": mine})
+    seat = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    me = F.col("mine")
+    others = F.transform(F.filter(up_to("outer"), lambda k: k != me), lambda k: seat(-1 - F.least(k, me), F.greatest(k, me)))
+    seats = F.when(F.col("outsider"), F.concat(F.transform(up_to("inner"), lambda i: seat(i, me)), others)).otherwise(F.transform(up_to("outer"), lambda j: seat(me, j)))
+    return dealt.select("node", F.explode(seats).alias("seat"), "mine", "outsider", "rep", "grp").select("node", "seat.*", "mine", "outsider", "rep", "grp")
+
+
+def leaf_links(leaves: DataFrame, classes: DataFrame) -> DataFrame:
+    """Groups with agreeing members in a node: ``node, rep, grp, top, inside, outside`` to group pairs ``low, high``."""
+    rows = seated(leaves).join(classes.select("rep", "marks"), "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+
+    def flush(i, held):
+        mine, outsider, grp, marks = (np.concatenate(x) for x in zip(*held))
+        one, other = [], []
+        left = np.flatnonzero(outsider & (mine == -1 - i) if i < 0 else outsider)
+        right = np.flatnonzero(outsider & (mine != -1 - i) if i < 0 else ~outsider)
+        for place, k in enumerate(left):
+            rest = np.concatenate([right, left[place + 1 :]]) if i == 0 else right
+            rest = rest[grp[rest] != grp[k]]
+            near = np.unique(grp[rest[(marks[rest] == marks[k]).sum(axis=1) >= LEAST_AGREEING]])
+            one += [grp[k]] * len(near)
+            other += near.tolist()
+        return spanning(np.array(one), np.array(other)) if one else []
 
     def run(batches):
         at, held = None, []
+        links = lambda found: pa.RecordBatch.from_pydict({n: pa.array([x[k] for x in found], pa.int64()) for k, n in enumerate(("low", "high"))})
         for batch in batches:
             node, i, j = (batch.column(n).to_numpy() for n in ("node", "i", "j"))
-            columns = [batch.column("mine").to_numpy(), batch.column("rep").to_numpy(), batch.column("grp").to_numpy(), _matrix(batch.column("sketch"))]
+            columns = [batch.column("mine").to_numpy(), batch.column("outsider").to_numpy(zero_copy_only=False), batch.column("grp").to_numpy(), _matrix(batch.column("marks"))]
             change = np.flatnonzero((np.diff(node) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            edges, low, high = [0, *change.tolist(), len(node)], [], []
+            edges, found = [0, *change.tolist(), len(node)], []
             for a, b in zip(edges, edges[1:]):
                 here = (node[a], i[a], j[a])
                 if here != at and held:
-                    got = flush(held, at[1] != at[2])
-                    low += got[0]
-                    high += got[1]
+                    found += flush(at[1], held)
                     held = []
                 at = here
                 held.append([c[a:b] for c in columns])
-            yield pa.RecordBatch.from_pydict({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+            yield links(found)
         if held:
-            low, high = flush(held, at[1] != at[2])
-            yield pa.RecordBatch.from_pydict({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
+            yield links(flush(at[1], held))
 
     return rows.mapInArrow(run, "low long, high long").distinct()
 
@@ -345,10 +355,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(sketches(docs, id_col, text_col, words), "sketches")
     keys = ["n_shingles", "f1", "f2"]
     classes = stage(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "set-classes"
+        rows.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("first").alias("first"), F.first("marks").alias("marks")), "set-classes"
     )
     # First branches: one minwise token per tree.
-    first = classes.select("rep", F.posexplode(F.slice("sketch", 1, TREES)).alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("node"))
+    first = classes.select("rep", F.posexplode("first").alias("tree", "token")).select("rep", F.xxhash64("tree", "token").alias("node"))
     sizes = first.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1")
     members = stage(first.join(sizes, "node"), "tree-nodes")
     stars = members.where("rep != pivot").select(F.col("pivot").alias("low"), F.col("rep").alias("high")).distinct()
@@ -359,16 +369,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_rows, across, level = label(members.where("n > 2").select("node", "rep"), "grp"), None, 0
     while True:
         open_rows = stage(open_rows.join(_open_nodes(open_rows), "node"), "open-nodes")
-        small = open_rows.where(F.col("n") <= LEAF) if level < DEPTH else open_rows
-        pairs = leaf_pairs(small, classes)
+        small = open_rows.where(F.col("outside") <= LEAF) if level < DEPTH else open_rows
+        pairs = leaf_links(small, classes)
         across = pairs if across is None else across.unionByName(pairs)
-        large = open_rows.where(F.col("n") > LEAF)
+        large = open_rows.where(F.col("outside") > LEAF)
         if level == DEPTH or large.isEmpty():
             break
         level += 1
-        choice = [F.pmod(F.xxhash64("node", F.lit(level), F.lit(b)), F.lit(SKETCH - TREES)).cast("int") + TREES + 1 for b in range(BRANCHES)]
-        token = F.explode(F.array(*[F.xxhash64("node", c, F.element_at("sketch", c)) for c in choice]))
-        open_rows = large.join(classes.select("rep", "sketch"), "rep").select("rep", "grp", token.alias("node")).distinct()
+        drawn = lambda k, n: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(n)).cast("int")
+        places = F.when(drawn(2, 2) == 0, F.array(drawn(0, SKETCH), drawn(1, SKETCH))).otherwise(F.array(drawn(0, SKETCH)))
+        branches = large.join(classes.select("rep", "marks"), "rep").select("rep", "grp", "node", "marks", F.explode(places).alias("place"))
+        open_rows = branches.select("rep", "grp", F.xxhash64("node", "place", F.substring("marks", F.col("place") + 1, F.lit(1))).alias("node")).distinct()
     across = stage(across.distinct(), "pairs-across")
     if not across.isEmpty():  # families grow together
         known = families.select(F.col("node").alias("low"), F.col("component_id").alias("high"))
@@ -398,4 +409,5 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = keyed_rows(docs, id_col, text_col)
     gone = near_duplicates(rows, "key", "text", words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    gone = stage(gone, "near-copies")  # a table of known size: the texts are shuffled only if it is too large to send
     return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("doc.*")

@@ -182,6 +182,31 @@ def test_document_links_equal_all_pairs(spark, words, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_documents(texts, words) and len(got) == len(texts)
 
 
+@pytest.mark.parametrize("inside, outside", [(5000, 3), (900, 90), (40, 0)])
+def test_seats_of_a_node_grow_with_its_members(spark, inside, outside, monkeypatch):
+    """A large family has one seat a member beside few outsiders, who visit each of its blocks; a node of one family has none."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 256)
+    rows = spark.range(inside + outside).selectExpr("1L AS node", "id AS rep", f"IF(id < {inside}, 0L, id) AS grp")
+    seats = minhash_dedup.seated(rows.join(minhash_dedup._open_nodes(rows), "node"))
+    counts = {r.outsider: r["count"] for r in seats.groupBy("outsider").count().collect()}
+    assert counts == ({False: inside, True: outside * -(-inside // 256)} if outside else {})
+
+
+def test_every_two_groups_share_a_seat(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rows = spark.range(60).selectExpr("1L AS node", "id AS rep", "IF(id < 20, 0L, id) AS grp")
+    seats = minhash_dedup.seated(rows.join(minhash_dedup._open_nodes(rows), "node")).collect()
+    met = set()
+    for i, j in {(r.i, r.j) for r in seats}:
+        here = [r for r in seats if (r.i, r.j) == (i, j)]
+        for a, b in itertools.combinations(here, 2):
+            inner = a.outsider and b.outsider and (i == 0 if a.mine == b.mine else i < 0)
+            if inner or a.outsider != b.outsider:
+                assert (pair := (min(a.rep, b.rep), max(a.rep, b.rep))) not in met
+                met.add(pair)
+    assert met == {(a, b) for a, b in itertools.combinations(range(60), 2) if b >= 20}
+
+
 def test_similarity_at_the_border(spark):
     """Sets of 4 and 5 shingles with 4 in common are linked at 80 percent, 4 of 6 are not."""
     text = "a b c d e f g h"
