@@ -54,7 +54,7 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 SKETCH, TREES, DEPTH, LEAF, PORTION, BLOCK = 64, 10, 6, 100, 256, 1024
 COLUMNS = 8192  # shingles of one matrix product
 LEAST_AGREEING = 37
-MEMO = 500_000
+MEMO = 100_000
 _ODD = np.random.default_rng(20260926)
 TOKEN_FACTORS = _ODD.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE_FACTORS = _ODD.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
