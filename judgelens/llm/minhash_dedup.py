@@ -11,8 +11,10 @@ Families come first: every member of a node is held against its smallest member,
 the pivot, by sketch. In a node where several families still meet, the members outside
 its largest family are the outsiders. With at most ``LEAF`` outsiders the node is a
 leaf: each outsider is compared with all members of other families, which costs a
-fixed multiple of the members, however large the largest family is. With more, the
-node branches again, by one token that its own hash chooses or, every other time, by
+fixed multiple of the members, however large the largest family is. With more, each
+outsider first meets one block of the largest family, which takes in most of what
+belongs to it at a cost in proportion to the members. A node that still is large
+then branches again, by one token that its own hash chooses or, every other time, by
 two. A pair at 0.8 then goes on in 1.2 branches on average and outlives any number of
 levels in half of the trees, so ten trees miss it once in a thousand times at worst;
 pairs below two thirds die out. Nodes that stay large at the last level are compared
@@ -311,9 +313,23 @@ def seated(leaves: DataFrame) -> DataFrame:
     return dealt.select("node", F.explode(seats).alias("seat"), "mine", "outsider", "rep", "grp").select("node", "seat.*", "mine", "outsider", "rep", "grp")
 
 
-def leaf_links(leaves: DataFrame, classes: DataFrame) -> DataFrame:
-    """Groups with agreeing members in a node: ``node, rep, grp, top, inside, outside`` to group pairs ``low, high``."""
-    rows = seated(leaves).join(classes.select("rep", "marks"), "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+def bridged(nodes: DataFrame) -> DataFrame:
+    """Members of open nodes at seats where each outsider meets one block of the largest group.
+
+    If there are more blocks of outsiders, the blocks of the largest group take turns, so that
+    the seats never outnumber twice the members by more than a block.
+    """
+    inner, outer = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("inside", "outside"))
+    outsider = F.col("grp") != F.col("top")
+    dealt = nodes.withColumns({"inner": inner, "most": F.greatest(inner, outer), "outsider": outsider})
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(13), "rep"), F.when(F.col("outsider"), F.col("most")).otherwise(F.col("inner"))).cast("int"))
+    places = F.when(F.col("outsider"), F.array("mine")).otherwise(F.sequence(F.col("mine"), F.greatest("mine", F.col("most") - 1), F.col("inner")))
+    return dealt.select("node", F.explode(F.transform(places, lambda k: k + 1)).alias("i"), F.lit(0).alias("j"), "mine", "outsider", "rep", "grp")
+
+
+def agreeing_groups(seats: DataFrame, classes: DataFrame) -> DataFrame:
+    """Group pairs ``low, high`` with agreeing members at a seat."""
+    rows = seats.join(classes.select("rep", "marks"), "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
     def flush(i, held):
         mine, outsider, grp, marks = (np.concatenate(x) for x in zip(*held))
@@ -367,10 +383,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = lambda df, name: families.select(F.col("node").alias("rep"), F.col("component_id").alias(name)).join(df, "rep", "right").withColumn(name, F.coalesce(name, "rep"))
     # Pairs between families, from nodes where several meet.
     open_rows, across, level = label(members.where("n > 2").select("node", "rep"), "grp"), None, 0
+    grown = lambda links: components(families.select(F.col("node").alias("low"), F.col("component_id").alias("high")).unionByName(links), "low", "high")
+    wide = stage(open_rows.join(_open_nodes(open_rows).where(F.col("outside") > LEAF), "node"), "wide-nodes")
+    if not wide.isEmpty():
+        families = grown(stage(agreeing_groups(bridged(wide), classes), "bridges"))
+        open_rows = label(members.where("n > 2").select("node", "rep"), "grp")
     while True:
         open_rows = stage(open_rows.join(_open_nodes(open_rows), "node"), "open-nodes")
         small = open_rows.where(F.col("outside") <= LEAF) if level < DEPTH else open_rows
-        pairs = leaf_links(small, classes)
+        pairs = agreeing_groups(seated(small), classes)
         across = pairs if across is None else across.unionByName(pairs)
         large = open_rows.where(F.col("outside") > LEAF)
         if level == DEPTH or large.isEmpty():
@@ -382,8 +403,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_rows = branches.select("rep", "grp", F.xxhash64("node", "place", F.substring("marks", F.col("place") + 1, F.lit(1))).alias("node")).distinct()
     across = stage(across.distinct(), "pairs-across")
     if not across.isEmpty():  # families grow together
-        known = families.select(F.col("node").alias("low"), F.col("component_id").alias("high"))
-        families = components(known.unionByName(across), "low", "high")
+        families = grown(across)
     families = stage(families.select(F.col("node").alias("rep"), F.col("component_id").alias("family")), "families")
     sets = stage(full_sets(families, docs, id_col, text_col, words), "full-sets")
     best = near.groupBy("high").agg(F.max(F.struct(F.col("agree"), (-F.col("low")).alias("order"), F.col("low"))).alias("b")).select(F.col("b.low").alias("low"), "high")

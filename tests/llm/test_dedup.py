@@ -192,6 +192,17 @@ def test_seats_of_a_node_grow_with_its_members(spark, inside, outside, monkeypat
     assert counts == ({False: inside, True: outside * -(-inside // 256)} if outside else {})
 
 
+@pytest.mark.parametrize("inside, outside", [(5000, 300), (300, 5000), (1, 3)])
+def test_bridges_grow_with_the_members(spark, inside, outside, monkeypatch):
+    """Each outsider has one seat, where at least one member of the largest group sits."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 256)
+    rows = spark.range(inside + outside).selectExpr("1L AS node", "id AS rep", f"IF(id < {inside}, 0L, id) AS grp", "0L AS top", f"{inside}L AS inside", f"{outside}L AS outside")
+    seats = minhash_dedup.bridged(rows).collect()
+    visited = {r.i for r in seats if not r.outsider}
+    assert sorted(r.rep for r in seats if r.outsider) == list(range(inside, inside + outside))
+    assert {r.i for r in seats if r.outsider} <= visited and len(seats) <= 2 * (inside + outside) + 256
+
+
 def test_every_two_groups_share_a_seat(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
     rows = spark.range(60).selectExpr("1L AS node", "id AS rep", "IF(id < 20, 0L, id) AS grp")
