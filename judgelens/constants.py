@@ -16,6 +16,9 @@ NON_WORD_RUN = r"[^\p{L}\p{N}]+"
 DIGIT_RUN = r"[0-9]+"
 
 PRODUCT_KEYS = ("product_locale", "product_id")
+# What tells judged pairs apart where ids are sound, and where two pairs may share one.
+EXAMPLE_KEY = ("example_id",)
+PAIR_KEY = ("example_id", "query_id", "product_id")
 
 FEATURES = (
     "query_token_count",

@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgelens.constants import LABELS
+from judgelens.constants import EXAMPLE_KEY, LABELS
 from judgelens.functions.text import ratio_or_null
 from judgelens.operators.audits import outside
 from judgelens.operators.features import require_columns
@@ -30,14 +30,14 @@ def total(names) -> Column:
     return reduce(add, [F.col(name) for name in names])
 
 
-def validate_scored(scored: DataFrame) -> DataFrame:
-    """Violations of each rule on scored pairs, from one pass plus the id count."""
-    require_columns(scored, ["example_id", "query_id", "label", "prediction", "p_e"], "validate_scored")
+def validate_scored(scored: DataFrame, identity=EXAMPLE_KEY) -> DataFrame:
+    """Violations of each rule on scored pairs, from one pass plus the count of repeated ``identity`` columns."""
+    require_columns(scored, [*identity, "example_id", "query_id", "label", "prediction", "p_e"], "validate_scored")
     p_e = F.col("p_e")
     unsound = p_e.isNull() | F.isnan(p_e) | ~F.coalesce(p_e.between(0.0, 1.0), F.lit(False))
     repeated = (
         scored.filter(F.col("example_id").isNotNull())
-        .groupBy("example_id")
+        .groupBy(*identity)
         .agg(F.count("*").alias("n"))
         .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n"))
     )
@@ -51,8 +51,8 @@ def validate_scored(scored: DataFrame) -> DataFrame:
     ).select("*", repeated.scalar().alias("repeated_example_id"))
 
 
-def assert_scored(scored: DataFrame) -> None:
-    found = validate_scored(scored).first().asDict()
+def assert_scored(scored: DataFrame, identity=EXAMPLE_KEY) -> None:
+    found = validate_scored(scored, identity).first().asDict()
     broken = {name: n for name, n in found.items() if name != "row_count" and n}
     if broken:
         raise ValueError(f"scored pairs are not sound (ids must be unique, p_e in [0, 1]): {broken}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from judgelens.constants import (
     CASES_PER_CELL,
     EVIDENCE_COLUMNS,
+    EXAMPLE_KEY,
     REVIEW_FORM_FIELDS,
     SAMPLE_MODULUS,
     SEED,
@@ -49,26 +50,29 @@ def check_per_cell(per_cell: int) -> None:
 
 
 def stratified_error_sample(
-    scored: DataFrame, per_cell: int = CASES_PER_CELL, seed: int = SEED
+    scored: DataFrame, per_cell: int = CASES_PER_CELL, seed: int = SEED, identity=EXAMPLE_KEY
 ) -> DataFrame:
     """The first ``per_cell`` (1 to ``MAX_PER_CELL``) errors of each (label, prediction) cell in SHA-256 order.
 
     Spark keeps only the first rows of a cell on the map side before the
-    shuffle, so a hot cell does not end up in one task.
+    shuffle, so a hot cell does not end up in one task. All columns of
+    ``identity`` are kept; they break ties of the hash.
     """
     check_per_cell(per_cell)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("example_id").cast("string")), 256)
-    in_cell = Window.partitionBy("label", "prediction").orderBy("_digest", "example_id")
+    in_cell = Window.partitionBy("label", "prediction").orderBy("_digest", *identity)
     return (
         error_rows(scored)
-        .select("example_id", "label", "prediction", "p_e", digest.alias("_digest"))
+        .select(*identity, "label", "prediction", "p_e", digest.alias("_digest"))
         .withColumn("sample_rank", F.row_number().over(in_cell).cast("bigint"))
         .filter(F.col("sample_rank") <= per_cell)
         .drop("_digest")
     )
 
 
-def attach_evidence(cases: DataFrame, features: DataFrame, per_cell: int = CASES_PER_CELL) -> DataFrame:
+def attach_evidence(
+    cases: DataFrame, features: DataFrame, per_cell: int = CASES_PER_CELL, identity=EXAMPLE_KEY
+) -> DataFrame:
     """Give every sampled case its text and evidence columns from the feature table.
 
     A sample holds at most 12 cells times ``per_cell`` rows, and ``per_cell``
@@ -76,11 +80,11 @@ def attach_evidence(cases: DataFrame, features: DataFrame, per_cell: int = CASES
     in place.
     """
     check_per_cell(per_cell)
-    ids = F.broadcast(cases.select("example_id"))
+    ids = F.broadcast(cases.select(*identity))
     evidence = (
-        features.join(ids, "example_id", "left_semi")
+        features.join(ids, list(identity), "left_semi")
         .select(
-            "example_id",
+            *identity,
             "query",
             "product_title",
             F.col("label").alias("source_label"),
@@ -88,15 +92,15 @@ def attach_evidence(cases: DataFrame, features: DataFrame, per_cell: int = CASES
         )
         .withColumn("source_matched", F.lit(True))
     )
-    return cases.join(evidence, "example_id", "left").fillna({"source_matched": False})
+    return cases.join(evidence, list(identity), "left").fillna({"source_matched": False})
 
 
-def assert_evidence(cases: DataFrame) -> None:
+def assert_evidence(cases: DataFrame, identity=EXAMPLE_KEY) -> None:
     """Every case needs exactly one source row with the same label."""
     check = cases.agg(
         F.count_if(~F.col("source_matched")).alias("unmatched"),
         F.count_if(F.col("source_matched") & (F.col("label") != F.col("source_label"))).alias("relabelled"),
-        (F.count("*") - F.count_distinct("example_id")).alias("repeated"),
+        (F.count("*") - F.count_distinct(*identity)).alias("repeated"),
     ).first()
     if check["unmatched"] or check["relabelled"] or check["repeated"]:
         raise ValueError(f"cases do not agree with the feature table: {check.asDict()}")

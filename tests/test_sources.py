@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import fixtures as fx
+import workload
 from judgelens.functions.hashing import sha_key
 from judgelens.operators import provenance
 from judgelens.plans import study
@@ -265,3 +266,22 @@ here */ SELECT `d;e` FROM t -- end;
     assert [x.split()[0] for x in found] == ["SELECT", "SELECT"]
     assert found[0].count(";") == 3 and found[1] == "SELECT `d;e` FROM t"
     assert split_statements(" -- nothing\n") == []
+
+
+def test_cases_of_pairs_that_share_an_id(spark, tmp_path):
+    """Order 1 with part 1,000,005 and order 2 with part 5 have the same example id; they are two pairs all the same."""
+    sf, part = str(tmp_path), "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    # The anchor of an order is the part whose key is the order's modulo the number of parts.
+    names = {0: "red oak", 1: "blue one", 2: "blue two", 3: "blue three", 5: "old oak", 7: "red elm", 1_000_005: "blue fir"}
+    spark.createDataFrame([(key, name, "Brand#1", "TIN", 7) for key, name in names.items()], part).write.parquet(f"{sf}/part.parquet")
+    spark.createDataFrame([(1,), (2,), (3,)], "o_orderkey long").write.parquet(f"{sf}/orders.parquet")
+    lines = [(1, 1_000_005, 1, "A"), (2, 5, 1, "N"), (2, 7, 2, "N"), (3, 7, 1, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").write.parquet(f"{sf}/lineitem.parquet")
+    columns = ("example_id", "label", "prediction", "p_e", "title_token_count")
+    rows = fx.scored_features(spark, sf).where("label <> prediction").select(*columns).collect()
+    found = workload.case_csv_sink(spark, sf).select(*columns).collect()
+    assert sorted(found) == sorted(rows) and [r.label for r in sorted(rows) if r.example_id == 2_000_005] == ["C", "E"]
+    # The same pair twice is refused as before.
+    spark.createDataFrame([(1, "blue one", "Brand#1", "TIN", 7)], part).write.mode("append").parquet(f"{sf}/part.parquet")
+    with pytest.raises(ValueError, match="not sound"):
+        workload.case_csv_sink(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fixtures as fx
-from judgelens.constants import CANDIDATES, CASES_PER_CELL, FEATURES, LABELS, MAX_ITER, SEED
+from judgelens.constants import CANDIDATES, CASES_PER_CELL, FEATURES, LABELS, MAX_ITER, PAIR_KEY, SEED
 from judgelens.functions import text as T
 from judgelens.functions.hashing import sha_key
 from judgelens.operators import audits, bootstrap, charts, joins, provenance, review, sampling, slices, splits
@@ -424,7 +424,8 @@ def stratified_error_sample(spark, sf):
 
 def _cases(spark, sf):
     rows = stage(fx.scored_features(spark, sf), "scored-features")
-    return development_cases(rows, rows)
+    # ``fixtures`` makes ids from order and part numbers; from part 1,000,000 on, two pairs can get the same one.
+    return development_cases(rows, rows, identity=PAIR_KEY)
 
 
 def case_join(spark, sf):
