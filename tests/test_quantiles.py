@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from judgelens.operators import bootstrap
 from judgelens.operators.cuts import first_cuts, next_cuts, run_sums, run_widths, weighted_queue_yield, yields_at
-from judgelens.operators.quantiles import exact_quantiles, values_at
+from judgelens.operators.quantiles import _bracketed, _classes, exact_quantiles, values_at
 from judgelens.operators.review import review_queue
 
 FRACTIONS = (0.0, 0.025, 0.5, 0.77, 0.975, 1.0)
@@ -66,6 +66,20 @@ def test_no_task_holds_more_rows_of_a_rank_than_asked(spark, scores):
     assert seen[-1] <= 50 * len(plain)
 
 
+def test_rows_of_a_large_group_stay_where_they_are(spark, scores):
+    """Neither turn nor end sorts all rows of a group in one task, however the sizes of tables are judged."""
+    values = scores.where("p IS NOT NULL").select("label", F.col("p").alias("v"))
+    wanted = spark.createDataFrame([("distinct", 0, 10_000)], "label string, want int, rank long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = _classes(_bracketed(values, wanted, ["label"]), values, ["label"])
+        assert [(r.part, r.n_open < 1000) for r in found.collect()] in ([(1, True)], [(2, True)], [(3, True)])
+        joined = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joined.count("broadcast") >= 2, joined
+
+
 def test_quantiles_without_groups_or_rows_and_of_nan(spark):
     nan = spark.createDataFrame([(float("nan"),), (1.0,), (2.0,)], "p double")
     (row,) = exact_quantiles(nan, "p", [0.0, 0.5, 1.0]).collect()
