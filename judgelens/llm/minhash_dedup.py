@@ -429,5 +429,6 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = keyed_rows(docs, id_col, text_col)
     gone = near_duplicates(rows, "key", "text", words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
-    gone = stage(gone, "near-copies")  # a table of known size: the texts are shuffled only if it is too large to send
-    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("doc.*")
+    gone = stage(gone, "near-copies")
+    # It grows with the documents, so it can't be sent to all: the texts are shuffled once, at any size.
+    return rows.join(gone.hint("merge"), F.col("key") == F.col("gone"), "left_anti").select("doc.*")

@@ -202,6 +202,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = keyed_rows(docs, id_col, text_col)
     drawn = mix(rows.select("key", "text", F.col("doc")[id_col].alias("id"), F.col("doc")[source_col].alias("source")), "id", "text", "source", key_col="key", **options)
     taken = drawn.where("copies > 0").select(F.col("key").alias("taken"), F.col("copies").cast("int").alias("copies"))
-    taken = stage(taken, "mix-copies")  # a table of known size: the texts are shuffled only if it is too large to send
-    # At most floor(most) + 1 copies.
-    return rows.join(taken, F.col("key") == F.col("taken")).select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc")).select("doc.*")
+    taken = stage(taken, "mix-copies")
+    # One row per document, so it can't be sent to all: the texts are shuffled once, at any size. At most floor(most) + 1 copies.
+    return rows.join(taken.hint("merge"), F.col("key") == F.col("taken")).select(F.explode(F.array_repeat("doc", F.col("copies"))).alias("doc")).select("doc.*")

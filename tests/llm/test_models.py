@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from judgelens.llm import mixing, toxicity
+from judgelens.llm import minhash_dedup, mixing, toxicity
 from judgelens.llm.common import table
 
 BAD_STEMS = ("grumbl", "zorkan")
@@ -201,6 +201,14 @@ def test_rows_of_one_id_are_dealt_to_bounded_blocks(spark, monkeypatch, one_text
     assert all(abs(total[x] - sizes[x]) <= 9 for x in sizes)
 
 
+@pytest.mark.parametrize("stage_of", ["mix", "near copies"])
+def test_texts_meet_their_decisions_the_same_way_at_any_size(spark, stage_of):
+    docs = mixed_rows(spark, 4, 60)
+    joined = mixing.mixed_documents(docs) if stage_of == "mix" else minhash_dedup.distinct_documents(docs)
+    plan = joined._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert [("SortMergeJoin" in line) for line in plan if "Join" in line and ("[taken#" in line or "[gone#" in line)] == [True]
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark):
     docs = mixed_rows(spark, 4, 20)
     assert mixing.mix(docs.limit(0)).count() == 0
