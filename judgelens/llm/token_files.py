@@ -36,10 +36,12 @@ VALUES = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 # Selector 15 packs one value of 60 bits; with the lowest of these bits patterns it announces a raw word.
 ESCAPE = np.uint64(0xFFFFFFFFFFFFFFFF)
+WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)  # bits of small values
 BLOCK_IDS, STRIDE = 1 << 16, 128
 # Parts of ascending ids that a task of the write holds, and ids sampled for the bounds of each.
 PARTS_PER_TASK, SAMPLE_PER_PART, SAMPLE_SEED = 4, 50, 20260926
 ROOM = (1 << 60) - 1
+ID_TYPES = {False: "<u2", True: "<u4"}  # of shuffled ids
 
 
 def encode_words(values: np.ndarray) -> np.ndarray:
@@ -49,22 +51,30 @@ def encode_words(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     raw = values >= ROOM  # the largest 60-bit value is left for the escape
-    width = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # bits of each value
-    width[values >> np.uint64(53) > 0] = 61  # no selector but the last takes such values
+    if values.max() < len(WIDTHS):
+        width = WIDTHS[values]
+    else:
+        width = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # bits of each value
+        width[values >> np.uint64(53) > 0] = 61  # no selector but the last takes such values
     # selector[k]: the one that packs most values from k on; its window must not leave the block or hold a wider value.
     selector = np.full(n, 15, dtype=np.int8)
+    narrowest = width.min()
     for s in range(14, -1, -1):
-        fit, size = np.flatnonzero(width <= BITS[s]), VALUES[s]
-        if len(fit) == n:
-            selector[: max(0, n - size + 1)] = s
-        elif len(fit) >= size:
-            starts = fit[: len(fit) - size + 1]
-            selector[starts[fit[size - 1 :] - starts == size - 1]] = s
-    jump = (np.arange(n) + VALUES[selector]).tolist()
+        size = VALUES[s]
+        if BITS[s] < narrowest or size > n:
+            continue
+        # fits[k]: the values from k on, as many as ``span``, are narrow enough; spans double up to the size.
+        fits, span = width <= BITS[s], 1
+        while span < size:
+            step = min(span, size - span)
+            fits = fits[:-step] & fits[step:]
+            span += step
+        np.putmask(selector[: len(fits)], fits, s)
+    jump = VALUES.astype(np.uint8)[selector].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = jump[at]
+        at += jump[at]
     starts = np.array(starts)
     chosen = selector[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -172,10 +182,19 @@ def part_of(bounds: list[tuple], doc_id, mixed: int) -> int:
     return low + (mixed + (1 << 63)) * (bisect.bisect_right(bounds, rank, low) - low + 1) // (1 << 64)
 
 
+def packed_ids(tokens: np.ndarray, stops: np.ndarray, wide: bool) -> pa.Array:
+    """The ids of each text as bytes, from all ids behind each other and the end of each text."""
+    kind = np.dtype(ID_TYPES[wide])
+    offsets = np.concatenate([[0], stops]) * kind.itemsize
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise ValueError("the ids of one text exceed what a column of bytes can hold")
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(tokens.astype(kind))])
+
+
 def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all texts; a block ends with the document that reaches ``block_ids`` ids.
 
-    Texts are encoded where they are read; only their ids are shuffled.
+    Texts are encoded where they are read; only their ids are shuffled, in two bytes each where they fit.
     """
     file, id_type = tokenizer_file(vocabulary), field_type(docs, id_col)
     schema = _block_schema(id_type)
@@ -183,7 +202,13 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     tasks = parts(docs.sparkSession)
     bounds = part_bounds(rows.select("doc_id"), PARTS_PER_TASK * tasks)
     coded_schema = T.StructType(
-        [T.StructField("part", T.IntegerType()), T.StructField("doc_id", id_type), T.StructField("mixed", T.LongType()), T.StructField("ids", T.BinaryType())]
+        [
+            T.StructField("part", T.IntegerType()),
+            T.StructField("doc_id", id_type),
+            T.StructField("mixed", T.LongType()),
+            T.StructField("wide", T.BooleanType()),  # ids of 4 bytes, or of 2
+            T.StructField("ids", T.BinaryType()),
+        ]
     )
 
     def encode(batches):
@@ -192,9 +217,10 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             placed = [part_of(bounds, name, mixed) for name, mixed in zip(names.to_pylist(), hashes)]
             for first, tokens, stops in encode_column(batch.column("text"), file):
                 n = len(stops)
-                raws = [tokens[a:b].tobytes() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
-                columns = [pa.array(placed[first : first + n], pa.int32()), names.slice(first, n), batch.column("mixed").slice(first, n), pa.array(raws, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "mixed", "ids"])
+                wide = bool(len(tokens)) and int(tokens.max()) >= 1 << 16
+                raws = packed_ids(tokens, stops, wide)
+                columns = [pa.array(placed[first : first + n], pa.int32()), names.slice(first, n), batch.column("mixed").slice(first, n), pa.array([wide] * n, pa.bool_()), raws]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "mixed", "wide", "ids"])
 
     coded = rows.withColumn("mixed", F.xxhash64("text")).mapInArrow(encode, coded_schema)
     ordered = coded.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "mixed")
@@ -211,12 +237,12 @@ def write_token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for batch in batches:
-            for own, name, raw in zip(*(batch.column(n).to_pylist() for n in ("part", "doc_id", "ids"))):
+            for own, name, wide, raw in zip(*(batch.column(n).to_pylist() for n in ("part", "doc_id", "wide", "ids"))):
                 if own != part:
                     if names:
                         yield flush()
                     part, number, names, ends, values, before, total = own, 0, [], [], [], 0, 0
-                values.append(np.frombuffer(raw, "<u4"))
+                values.append(np.frombuffer(raw, ID_TYPES[wide]))
                 total += len(values[-1])
                 names.append(name)
                 ends.append(total)

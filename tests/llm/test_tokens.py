@@ -116,6 +116,25 @@ def test_token_table_of_repeated_and_missing_ids(spark):
     assert token_files.token_table(docs.limit(0)).count() == 0
 
 
+def test_shuffled_ids_take_two_bytes_where_they_fit():
+    ids, stops = np.array([7, 65535, 2, 2], dtype="<u4"), np.array([3, 3, 4])
+    narrow = token_files.packed_ids(ids, stops, False).to_pylist()
+    assert narrow == [ids[:3].astype("<u2").tobytes(), b"", ids[3:].astype("<u2").tobytes()]
+    assert token_files.packed_ids(ids + 1, stops, True).to_pylist() == [(ids[:3] + 1).tobytes(), b"", (ids[3:] + 1).tobytes()]
+
+
+class Looked(dict):
+    def __iter__(self):
+        raise AssertionError("all old words are walked through for each slice")
+
+
+def test_old_words_are_looked_up_and_not_walked_through(tokenizer):
+    encoder = tokens.WordEncoder(tokenizer_file())
+    encoder.old = Looked({"house": encoder.whole([" house"])[0]})
+    ids, _ = encoder.encode(pa.array(["my house stands"]))
+    assert np.array_equal(ids, reference(tokenizer, "my house stands")) and "house" in encoder.known
+
+
 # Packing
 
 
