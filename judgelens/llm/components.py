@@ -2,8 +2,8 @@
 
 Alternating large-star and small-star rounds: each node hands its larger
 neighbours to the smallest node it sees, then keeps the smallest one for itself.
-After a round every component is shallower; the rounds end when the edges do not
-change, and each edge then leads from a node to the smallest id of its component.
+After a round every component is shallower; the rounds end when all of them are
+stars, and each edge then leads from a node to the smallest id of its component.
 The smallest neighbour is a grouped minimum with partial sums, so a hub costs no
 more than its rows, and the joins with it can be split by adaptive execution.
 Every round is a staged table in the shared folder.
@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from judgelens.sources.staging import stage
 
 
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour that has none itself, or is such a neighbour."""
+    down = edges.select(F.col("high").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    up = edges.select(F.col("low").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    roles = down.unionByName(up).groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return roles.where("down + up > 1").isEmpty()
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -29,8 +33,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """
     high, low = F.greatest(left, right), F.least(left, right)
     edges = stage(links.where(F.col(left) != F.col(right)).select(high.alias("high"), low.alias("low")).distinct(), "edges")
-    known = _signature(edges)
-    while known[0]:
+    while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy("high").agg(F.min("low").alias("seen")).select(F.col("high").alias("hub"), F.least("high", "seen").alias("least"))
         # Large star: the hub's larger neighbours go to the smallest node it sees.
@@ -40,9 +43,5 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
         joined = large.join(least, large["high"] == least["hub"])
         small = joined.where(F.col("low") != F.col("least")).select(F.col("low").alias("high"), F.col("least").alias("low"))
         edges = stage(small.unionByName(least.select(F.col("hub").alias("high"), F.col("least").alias("low"))).distinct(), "edges")
-        now = _signature(edges)
-        if now == known:
-            break
-        known = now
     roots = edges.select(F.col("low").alias("node"), F.col("low").alias("component_id")).distinct()
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component_id")).unionByName(roots)

@@ -170,7 +170,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("high").alias("rep"), F.col("low").alias("hub"), F.pmod(F.xxhash64("high"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("role")
     )
     hubs = portions.select(F.col("low").alias("rep"), F.col("low").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"))
-    ready = sets.join(hubs.unionByName(other), "rep").select("hub", "portion", "role", "rep", "hashes")
+    # Sets grow with the texts: they are shuffled at any size.
+    ready = sets.join(hubs.unionByName(other).hint("merge"), "rep").select("hub", "portion", "role", "rep", "hashes")
     dealt = ready.repartition("hub", "portion").sortWithinPartitions("hub", "portion", "role")
 
     def compare(batches):
@@ -266,7 +267,7 @@ def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = (
         sized.select("family", "rep", "grp", F.explode(F.when(F.col("big"), big_seats).otherwise(small_seats)).alias("seat"))
         .select("family", "seat.*", "rep", "grp")
-        .join(sets, "rep")
+        .join(sets.hint("merge"), "rep")
     )
 
     def compare(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
@@ -293,8 +294,12 @@ def _open_nodes(rows: DataFrame) -> DataFrame:
     return nodes.where("all > most.n").select("node", F.col("most.grp").alias("top"), F.col("most.n").alias("inside"), (F.col("all") - F.col("most.n")).alias("outside"))
 
 
+def _further(nodes: DataFrame) -> list[str]:
+    return [c for c in nodes.columns if c not in ("node", "rep", "grp", "top", "inside", "outside")]
+
+
 def seated(leaves: DataFrame) -> DataFrame:
-    """Members of open nodes at their seats: ``node, i, j, mine, outsider, rep, grp``.
+    """Members of open nodes at their seats: ``node, i, j, mine, outsider, rep, grp`` and further columns.
 
     Outsiders and members of the largest group are dealt to blocks of their own. Seat
     (i, j) from i = 0 holds block i of the largest group and block j of the outsiders,
@@ -310,7 +315,8 @@ def seated(leaves: DataFrame) -> DataFrame:
     me = F.col("mine")
     others = F.transform(F.filter(up_to("outer"), lambda k: k != me), lambda k: seat(-1 - F.least(k, me), F.greatest(k, me)))
     seats = F.when(F.col("outsider"), F.concat(F.transform(up_to("inner"), lambda i: seat(i, me)), others)).otherwise(F.transform(up_to("outer"), lambda j: seat(me, j)))
-    return dealt.select("node", F.explode(seats).alias("seat"), "mine", "outsider", "rep", "grp").select("node", "seat.*", "mine", "outsider", "rep", "grp")
+    kept = ["mine", "outsider", "rep", "grp", *_further(leaves)]
+    return dealt.select("node", F.explode(seats).alias("seat"), *kept).select("node", "seat.*", *kept)
 
 
 def bridged(nodes: DataFrame) -> DataFrame:
@@ -324,12 +330,12 @@ def bridged(nodes: DataFrame) -> DataFrame:
     dealt = nodes.withColumns({"inner": inner, "most": F.greatest(inner, outer), "outsider": outsider})
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64(F.lit(13), "rep"), F.when(F.col("outsider"), F.col("most")).otherwise(F.col("inner"))).cast("int"))
     places = F.when(F.col("outsider"), F.array("mine")).otherwise(F.sequence(F.col("mine"), F.greatest("mine", F.col("most") - 1), F.col("inner")))
-    return dealt.select("node", F.explode(F.transform(places, lambda k: k + 1)).alias("i"), F.lit(0).alias("j"), "mine", "outsider", "rep", "grp")
+    return dealt.select("node", F.explode(F.transform(places, lambda k: k + 1)).alias("i"), F.lit(0).alias("j"), "mine", "outsider", "rep", "grp", *_further(nodes))
 
 
-def agreeing_groups(seats: DataFrame, classes: DataFrame) -> DataFrame:
-    """Group pairs ``low, high`` with agreeing members at a seat."""
-    rows = seats.join(classes.select("rep", "marks"), "rep").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
+def agreeing_groups(seats: DataFrame) -> DataFrame:
+    """Group pairs ``low, high`` with agreeing members at a seat; the members bring their ``marks``."""
+    rows = seats.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
     def flush(i, held):
         mine, outsider, grp, marks = (np.concatenate(x) for x in zip(*held))
@@ -384,14 +390,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Pairs between families, from nodes where several meet.
     open_rows, across, level = label(members.where("n > 2").select("node", "rep"), "grp"), None, 0
     grown = lambda links: components(families.select(F.col("node").alias("low"), F.col("component_id").alias("high")).unionByName(links), "low", "high")
-    wide = stage(open_rows.join(_open_nodes(open_rows).where(F.col("outside") > LEAF), "node"), "wide-nodes")
+    # Sketches join the members of open nodes once and go with them from there.
+    marked = lambda df: df.join(classes.select("rep", "marks").hint("merge"), "rep")
+    wide = stage(marked(open_rows.join(_open_nodes(open_rows).where(F.col("outside") > LEAF), "node")), "wide-nodes")
     if not wide.isEmpty():
-        families = grown(stage(agreeing_groups(bridged(wide), classes), "bridges"))
+        families = grown(stage(agreeing_groups(bridged(wide)), "bridges"))
         open_rows = label(members.where("n > 2").select("node", "rep"), "grp")
     while True:
-        open_rows = stage(open_rows.join(_open_nodes(open_rows), "node"), "open-nodes")
+        open_rows = open_rows.join(_open_nodes(open_rows), "node")
+        open_rows = stage(open_rows if level else marked(open_rows), "open-nodes")
         small = open_rows.where(F.col("outside") <= LEAF) if level < DEPTH else open_rows
-        pairs = agreeing_groups(seated(small), classes)
+        pairs = agreeing_groups(seated(small))
         across = pairs if across is None else across.unionByName(pairs)
         large = open_rows.where(F.col("outside") > LEAF)
         if level == DEPTH or large.isEmpty():
@@ -399,8 +408,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         level += 1
         drawn = lambda k, n: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(n)).cast("int")
         places = F.when(drawn(2, 2) == 0, F.array(drawn(0, SKETCH), drawn(1, SKETCH))).otherwise(F.array(drawn(0, SKETCH)))
-        branches = large.join(classes.select("rep", "marks"), "rep").select("rep", "grp", "node", "marks", F.explode(places).alias("place"))
-        open_rows = branches.select("rep", "grp", F.xxhash64("node", "place", F.substring("marks", F.col("place") + 1, F.lit(1))).alias("node")).distinct()
+        branches = large.select("rep", "grp", "node", "marks", F.explode(places).alias("place"))
+        open_rows = branches.select("rep", "grp", "marks", F.xxhash64("node", "place", F.substring("marks", F.col("place") + 1, F.lit(1))).alias("node")).distinct()
     across = stage(across.distinct(), "pairs-across")
     if not across.isEmpty():  # families grow together
         families = grown(across)

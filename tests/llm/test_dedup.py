@@ -239,6 +239,23 @@ def test_kept_documents_have_their_columns_once(spark):
     assert sorted(r.doc_id for r in left.collect()) == [4, 7, 8]
 
 
+def test_stars_need_no_further_round(spark, monkeypatch):
+    from judgelens.llm import components as module
+
+    rounds, stage = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+    links = spark.createDataFrame([(1, 5), (7, 1), (2, 9), (9, 2), (None, 3)], "a long, b long")
+    assert {r.node: r.component_id for r in components(links, "a", "b").collect()} == {1: 1, 5: 1, 7: 1, 2: 2, 9: 2}
+    assert len(rounds) == 1
+
+
+def test_members_bring_their_sketches_to_their_seats(spark):
+    rows = spark.createDataFrame([(1, k, 0 if k < 4 else k, bytes([k])) for k in range(6)], "node long, rep long, grp long, marks binary")
+    nodes = rows.join(minhash_dedup._open_nodes(rows), "node")
+    for seats in (minhash_dedup.seated(nodes), minhash_dedup.bridged(nodes)):
+        assert {(r.rep, bytes(r.marks)) for r in seats.collect()} == {(k, bytes([k])) for k in range(6)}
+
+
 def test_no_documents(spark):
     rows = spark.createDataFrame([(1, "x")], "doc_id long, text string").limit(0)
     assert minhash_dedup.near_duplicates(rows).count() == 0
