@@ -135,6 +135,17 @@ def test_old_words_are_looked_up_and_not_walked_through(tokenizer):
     assert np.array_equal(ids, reference(tokenizer, "my house stands")) and "house" in encoder.known
 
 
+def test_lines_and_marks_share_the_ids_of_their_words(tokenizer):
+    encoder = tokens.WordEncoder(tokenizer_file())
+    texts = ["One house, one house.\nThe house!\n\nhouse stands\n", "house", "\nhouse.\nhouse,", "house.\n\n", "house.\n\n\nhouse", "house \n house"]
+    ids, ends = encoder.encode(pa.array(texts))
+    for text, a, b in zip(texts, [0, *ends[:-1]], ends, strict=True):
+        assert ids[a:b].tolist() == reference(tokenizer, text).tolist(), repr(text)
+    # Words are learned once, whatever line or mark they stand at.
+    assert {x for x, raw in encoder.known.items() if raw is not None} == {"One", "one", "house", "The", "stands"}
+    assert set(encoder.bare) == {"One", "The", "house"}
+
+
 # Packing
 
 
