@@ -19,10 +19,10 @@ from judgelens.sources.staging import stage
 
 def _all_stars(edges: DataFrame) -> bool:
     """Whether every node has one smaller neighbour that has none itself, or is such a neighbour."""
-    down = edges.select(F.col("high").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
-    up = edges.select(F.col("low").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
-    roles = down.unionByName(up).groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return roles.where("down + up > 1").isEmpty()
+    # A node that is someone's smaller neighbour counts as its own; edges may be repeated.
+    sides = edges.select("high", "low").unionByName(edges.select(F.col("low").alias("high"), "low"))
+    seen = sides.groupBy("high").agg(F.min("low").alias("least"), F.max("low").alias("most"))
+    return seen.where("least < most").isEmpty()
 
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
@@ -32,16 +32,20 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     the same node say nothing and are ignored. Without links the result is empty.
     """
     high, low = F.greatest(left, right), F.least(left, right)
-    edges = stage(links.where(F.col(left) != F.col(right)).select(high.alias("high"), low.alias("low")).distinct(), "edges")
+    edges = stage(links.where(F.col(left) != F.col(right)).select(high.alias("high"), low.alias("low")), "edges")
+    repeated = True  # until a round has told edges apart
     while not _all_stars(edges):
         both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = both.groupBy("high").agg(F.min("low").alias("seen")).select(F.col("high").alias("hub"), F.least("high", "seen").alias("least"))
         # Large star: the hub's larger neighbours go to the smallest node it sees.
         large = both.join(least, both["low"] == least["hub"]).where((F.col("high") > F.col("low")) & (F.col("high") != F.col("least"))).select("high", F.col("least").alias("low"))
-        least = large.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "hub")
+        # Dealt once by the node, for its minimum and for the join with it.
+        large = large.repartition("high")
+        least = large.groupBy("high").agg(F.min("low").alias("least"))
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        joined = large.join(least, large["high"] == least["hub"])
-        small = joined.where(F.col("low") != F.col("least")).select(F.col("low").alias("high"), F.col("least").alias("low"))
-        edges = stage(small.unionByName(least.select(F.col("hub").alias("high"), F.col("least").alias("low"))).distinct(), "edges")
+        ends = F.array("high", F.when(F.col("low") != F.col("least"), F.col("low")))
+        small = large.join(least, "high").select(F.explode(ends).alias("high"), F.col("least").alias("low")).where("high IS NOT NULL")
+        edges, repeated = stage(small.distinct(), "edges"), False
+    edges = edges.distinct() if repeated else edges
     roots = edges.select(F.col("low").alias("node"), F.col("low").alias("component_id")).distinct()
     return edges.select(F.col("high").alias("node"), F.col("low").alias("component_id")).unionByName(roots)

@@ -11,7 +11,7 @@ Families come first: every member of a node is held against its smallest member,
 the pivot, by sketch. In a node where several families still meet, the members outside
 its largest family are the outsiders. With at most ``LEAF`` outsiders the node is a
 leaf: each outsider is compared with all members of other families, which costs a
-fixed multiple of the members, however large the largest family is. With more, each
+bounded multiple of the members, however large the largest family is. With more, each
 outsider first meets one block of the largest family, which takes in most of what
 belongs to it at a cost in proportion to the members. A node that still is large
 then branches again, by one token that its own hash chooses or, every other time, by
@@ -40,6 +40,8 @@ result; other columns are ignored. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -53,7 +55,7 @@ from judgelens.llm.components import components
 from judgelens.sources.staging import stage
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-SKETCH, TREES, DEPTH, LEAF, PORTION, BLOCK = 64, 10, 6, 100, 256, 1024
+SKETCH, TREES, DEPTH, LEAF, PORTION, BLOCK = 64, 10, 6, 1024, 256, 1024
 COLUMNS = 8192  # shingles of one matrix product
 LEAST_AGREEING = 37
 MEMO = 100_000
@@ -190,7 +192,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     high.append(rep)
             yield pa.RecordBatch.from_pydict({"low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64())})
 
-    return dealt.mapInArrow(compare, "low long, high long").distinct()
+    return dealt.mapInArrow(compare, "low long, high long")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -234,7 +236,7 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups inside families: ``family, rep, grp`` to group pairs ``low, high``.
+    """Links between groups inside families: ``family, rep, grp`` to group pairs ``low, high``, perhaps repeated.
 
     Rows of groups below ``BLOCK`` members are dealt to blocks by a hash, rows of
     larger groups to blocks of their own kind, which only meet each other if the
@@ -284,7 +286,7 @@ def family_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = spanning(one[p], other[q])
         return pd.DataFrame(found, columns=["low", "high"], dtype="int64")
 
-    return dealt.groupBy("family", "kind", "i", "j").applyInPandas(compare, "low long, high long").distinct()
+    return dealt.groupBy("family", "kind", "i", "j").applyInPandas(compare, "low long, high long")
 
 
 def _open_nodes(rows: DataFrame) -> DataFrame:
@@ -334,7 +336,7 @@ def bridged(nodes: DataFrame) -> DataFrame:
 
 
 def agreeing_groups(seats: DataFrame) -> DataFrame:
-    """Group pairs ``low, high`` with agreeing members at a seat; the members bring their ``marks``."""
+    """Group pairs ``low, high`` with agreeing members at a seat, perhaps repeated; the members bring their ``marks``."""
     rows = seats.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
     def flush(i, held):
@@ -369,7 +371,7 @@ def agreeing_groups(seats: DataFrame) -> DataFrame:
         if held:
             yield links(flush(at[1], held))
 
-    return rows.mapInArrow(run, "low long, high long").distinct()
+    return rows.mapInArrow(run, "low long, high long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = SIMILAR_PERCENT) -> DataFrame:
@@ -388,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = components(near, "low", "high")
     label = lambda df, name: families.select(F.col("node").alias("rep"), F.col("component_id").alias(name)).join(df, "rep", "right").withColumn(name, F.coalesce(name, "rep"))
     # Pairs between families, from nodes where several meet.
-    open_rows, across, level = label(members.where("n > 2").select("node", "rep"), "grp"), None, 0
+    open_rows, small, level = label(members.where("n > 2").select("node", "rep"), "grp"), [], 0
     grown = lambda links: components(families.select(F.col("node").alias("low"), F.col("component_id").alias("high")).unionByName(links), "low", "high")
     # Sketches join the members of open nodes once and go with them from there.
     marked = lambda df: df.join(classes.select("rep", "marks").hint("merge"), "rep")
@@ -399,18 +401,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         open_rows = open_rows.join(_open_nodes(open_rows), "node")
         open_rows = stage(open_rows if level else marked(open_rows), "open-nodes")
-        small = open_rows.where(F.col("outside") <= LEAF) if level < DEPTH else open_rows
-        pairs = agreeing_groups(seated(small))
-        across = pairs if across is None else across.unionByName(pairs)
+        small.append(open_rows.where(F.col("outside") <= LEAF) if level < DEPTH else open_rows)
         large = open_rows.where(F.col("outside") > LEAF)
         if level == DEPTH or large.isEmpty():
             break
         level += 1
         drawn = lambda k, n: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(n)).cast("int")
-        places = F.when(drawn(2, 2) == 0, F.array(drawn(0, SKETCH), drawn(1, SKETCH))).otherwise(F.array(drawn(0, SKETCH)))
+        places = F.when(drawn(2, 2) == 0, F.array_distinct(F.array(drawn(0, SKETCH), drawn(1, SKETCH)))).otherwise(F.array(drawn(0, SKETCH)))
         branches = large.select("rep", "grp", "node", "marks", F.explode(places).alias("place"))
-        open_rows = branches.select("rep", "grp", "marks", F.xxhash64("node", "place", F.substring("marks", F.col("place") + 1, F.lit(1))).alias("node")).distinct()
-    across = stage(across.distinct(), "pairs-across")
+        open_rows = branches.select("rep", "grp", "marks", F.xxhash64("node", "place", F.substring("marks", F.col("place") + 1, F.lit(1))).alias("node"))
+    # The leaves of all levels meet in one shuffle, as a node occurs in one level only.
+    across = stage(agreeing_groups(seated(reduce(DataFrame.unionByName, small))), "pairs-across")
     if not across.isEmpty():  # families grow together
         families = grown(across)
     families = stage(families.select(F.col("node").alias("rep"), F.col("component_id").alias("family")), "families")

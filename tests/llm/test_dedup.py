@@ -182,6 +182,24 @@ def test_document_links_equal_all_pairs(spark, words, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_documents(texts, words) and len(got) == len(texts)
 
 
+def test_leaves_of_all_levels_meet_at_once(spark, monkeypatch):
+    """However many levels branch, members are compared twice: at the bridges and at the leaves."""
+    monkeypatch.setattr(minhash_dedup, "LEAF", 5)
+    levels, compared, stage, agreeing = [], [], minhash_dedup.stage, minhash_dedup.agreeing_groups
+    monkeypatch.setattr(minhash_dedup, "stage", lambda df, name: levels.append(name) or stage(df, name))
+    monkeypatch.setattr(minhash_dedup, "agreeing_groups", lambda seats: compared.append(1) or agreeing(seats))
+    texts = crowded_texts()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), words=4).collect()
+    assert levels.count("open-nodes") > 2 and len(compared) == 2
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_documents(texts, 4)
+
+
+def test_components_of_repeated_stars(spark):
+    """Stars need no round, and repeated links give each node once."""
+    links = spark.createDataFrame([(1, 5), (5, 1), (1, 5), (1, 9), (4, 2), (3, 3), (None, 1)], "a long, b long")
+    assert sorted(components(links, "a", "b").collect()) == [(1, 1), (2, 2), (4, 2), (5, 1), (9, 1)]
+
+
 @pytest.mark.parametrize("inside, outside", [(5000, 3), (900, 90), (40, 0)])
 def test_seats_of_a_node_grow_with_its_members(spark, inside, outside, monkeypatch):
     """A large family has one seat a member beside few outsiders, who visit each of its blocks; a node of one family has none."""
