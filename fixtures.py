@@ -48,27 +48,25 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))
-    judged = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("query_id"), "l_partkey")
-        .agg(F.min("l_linenumber").alias("line"), F.min(F.ascii("l_returnflag")).alias("flag"))
-        .join(orders, "query_id", "left_semi")
-    )
     part_count = part.agg(F.count("*").alias("n")).scalar()
     query_id = F.col("query_id")
-    repeats_text = (query_id % 50 == 0) & (query_id > 0)
-    keyed = judged.withColumn("base", F.when(repeats_text, query_id - 1).otherwise(query_id)).withColumn(
-        "anchor_key", F.col("base") % part_count
-    )
+    word = lambda place: F.get(F.split("p_name", " "), F.lit(place))
     anchor = part.select(
         F.col("p_partkey").alias("anchor_key"),
         F.col("p_name").alias("anchor_name"),
         F.col("p_size").cast("string").alias("anchor_size"),
+        word(0).alias("anchor_word_0"),
+        word(1).alias("anchor_word_1"),
     )
-    item = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("item_name"))
-    named = keyed.join(anchor, "anchor_key").join(item, "l_partkey")
-
+    item = part.select(
+        F.col("p_partkey").alias("l_partkey"),
+        word(0).alias("item_word_0"),
+        word(1).alias("item_word_1"),
+        F.monotonically_increasing_id().alias("item_row"),
+    )
+    repeats_text = (query_id % 50 == 0) & (query_id > 0)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id")).distinct()
+    based = orders.withColumn("base", F.when(repeats_text, query_id - 1).otherwise(query_id))
     plain = F.concat(
         "anchor_name", F.lit(" "), "anchor_size", F.lit(" m"), F.col("base").cast("string")
     )
@@ -76,11 +74,26 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("  "), F.upper("anchor_name"), F.lit("  "), "anchor_size",
         F.lit(" M"), F.col("base").cast("string"), F.lit(" "),
     )
-    word = lambda name, place: F.get(F.split(F.col(name), " "), F.lit(place))
+    # The text of a query is made once for each order. Line items meet their parts first, so that one shuffle by order serves
+    # the grouping and the join of the texts, and the pairs of a query are stored together. A part listed twice counts twice.
+    queries = based.withColumn("anchor_key", F.col("base") % part_count).join(anchor, "anchor_key").select(
+        "query_id", F.when(query_id % 50 == 0, spaced).otherwise(plain).alias("query"), "anchor_word_0", "anchor_word_1"
+    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), "l_partkey", "l_linenumber", F.ascii("l_returnflag").alias("code")
+    )
+    judged = (
+        lines.filter("query_id IS NOT NULL")
+        .join(item, "l_partkey")
+        .repartition("query_id")
+        .groupBy("query_id", "l_partkey", "item_row", "item_word_0", "item_word_1")
+        .agg(F.min("l_linenumber").alias("line"), F.min("code").alias("flag"))
+    )
+    named = judged.join(queries, "query_id")
     label = (
         F.when(F.col("flag") == ord("N"), "E")
-        .when(word("item_name", 1) == word("anchor_name", 1), "S")
-        .when(word("item_name", 0) == word("anchor_name", 0), "C")
+        .when(F.col("item_word_1") == F.col("anchor_word_1"), "S")
+        .when(F.col("item_word_0") == F.col("anchor_word_0"), "C")
         .otherwise("I")
     )
     official = F.when(query_id % 101 == 0, F.when(F.col("line") <= 2, "test").otherwise("train")).otherwise(
@@ -88,7 +101,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return named.select(
         (query_id * 1000000 + F.col("l_partkey")).alias("example_id"),
-        F.when(query_id % 50 == 0, spaced).otherwise(plain).alias("query"),
+        "query",
         "query_id",
         product_id_of("l_partkey").alias("product_id"),
         locale_of("l_partkey").alias("product_locale"),

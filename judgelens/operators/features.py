@@ -9,6 +9,8 @@ from judgelens.constants import FEATURES
 from judgelens.functions import text as T
 
 INPUT_COLUMNS = ("query", "product_title", "product_brand", "product_color")
+# What the features need of a product, besides its texts.
+PRODUCT_FORMS = ("_t", "_n_title", "_t_set", "_b_set", "_c_set", "_t_num", "_no_brand", "_no_color")
 
 
 def require_columns(df: DataFrame, names, what: str) -> None:
@@ -23,43 +25,65 @@ def refuse_columns(df: DataFrame, names, what: str) -> None:
         raise ValueError(f"{what}: columns already present {', '.join(sorted(taken))}")
 
 
-def lexical_features(df: DataFrame) -> DataFrame:
-    """Append the features, as doubles, after all source columns.
+def product_forms(df: DataFrame) -> DataFrame:
+    """Append the matching forms of the product texts.
 
-    Work is layered (normal form, token arrays, set sizes, features), so that
-    each regular expression and each set operation runs once per row.
+    On a product table ahead of its join, each text is normalised once per
+    product and not once per pair.
     """
-    require_columns(df, INPUT_COLUMNS, "lexical_features")
-    refuse_columns(df, FEATURES, "lexical_features")
-    kept = df.columns
-
+    require_columns(df, INPUT_COLUMNS[1:], "product_forms")
     normal = df.select(
-        *kept,
-        T.normalize_text("query").alias("_q"),
+        "*",
         T.normalize_text("product_title").alias("_t"),
         T.normalize_text("product_brand").alias("_b"),
         T.normalize_text("product_color").alias("_c"),
     )
-    listed = normal.select(
-        "*",
-        T.tokens("_q").alias("_q_list"),
-        T.tokens("_t").alias("_t_list"),
+    listed = normal.select("*", T.tokens("_t").alias("_t_list"))
+    return listed.select(
+        *df.columns,
+        "_t",
+        F.size("_t_list").alias("_n_title"),
+        F.array_distinct("_t_list").alias("_t_set"),
         F.array_distinct(T.tokens("_b")).alias("_b_set"),
         F.array_distinct(T.tokens("_c")).alias("_c_set"),
-        T.digit_chunks("_q").alias("_q_num"),
         T.digit_chunks("_t").alias("_t_num"),
+        (F.length("_b") == 0).alias("_no_brand"),
+        (F.length("_c") == 0).alias("_no_color"),
     )
-    sets = listed.select(
-        "*",
-        F.array_distinct("_q_list").alias("_q_set"),
-        F.array_distinct("_t_list").alias("_t_set"),
+
+
+def _filled_forms(df: DataFrame) -> DataFrame:
+    """Pairs without a product get the forms of missing texts."""
+    blank = {"_t": F.lit(""), "_n_title": F.lit(0), "_no_brand": F.lit(True), "_no_color": F.lit(True)}
+    empty = F.array().cast("array<string>")
+    return df.select(
+        *[name for name in df.columns if name not in PRODUCT_FORMS],
+        *[F.coalesce(name, blank.get(name, empty)).alias(name) for name in PRODUCT_FORMS],
     )
+
+
+def lexical_features(df: DataFrame) -> DataFrame:
+    """Append the features, as doubles, after all source columns.
+
+    Work is layered (normal form, token arrays, set sizes, features), so that
+    each regular expression and each set operation runs once per row. Products
+    that were joined with their ``product_forms`` bring their part of it; the
+    forms are taken out again.
+    """
+    require_columns(df, INPUT_COLUMNS, "lexical_features")
+    refuse_columns(df, FEATURES, "lexical_features")
+    formed = set(PRODUCT_FORMS) <= set(df.columns)
+    kept = [name for name in df.columns if not formed or name not in PRODUCT_FORMS]
+
+    normal = (_filled_forms(df) if formed else product_forms(df)).select("*", T.normalize_text("query").alias("_q"))
+    listed = normal.select("*", T.tokens("_q").alias("_q_list"), T.digit_chunks("_q").alias("_q_num"))
+    sets = listed.select("*", F.array_distinct("_q_list").alias("_q_set"))
     sized = sets.select(
         *kept,
         "_q",
         "_t",
         F.size("_q_list").alias("_n_query"),
-        F.size("_t_list").alias("_n_title"),
+        "_n_title",
         F.size("_q_set").alias("_d_query"),
         F.size("_t_set").alias("_d_title"),
         F.size("_b_set").alias("_d_brand"),
@@ -70,8 +94,8 @@ def lexical_features(df: DataFrame) -> DataFrame:
         T.shared_count("_q_set", "_c_set").alias("_qc"),
         T.shared_count("_q_num", "_t_num").alias("_num"),
         (F.length("_t") == 0).alias("_no_title"),
-        (F.length("_b") == 0).alias("_no_brand"),
-        (F.length("_c") == 0).alias("_no_color"),
+        "_no_brand",
+        "_no_color",
     )
     c = F.col
     asked = F.length("_q") > 0

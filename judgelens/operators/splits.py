@@ -93,45 +93,47 @@ def drop_leaky_groups(pairs: DataFrame, profile: DataFrame | None = None) -> Dat
     return train.join(leaky_ids_of(profile), "query_id", "left_anti").select(*train.columns)
 
 
+def _with_leaks(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """Pairs with their normalised query; ``_leaky`` is true in leaky groups and null elsewhere.
+
+    The leaky ids are stored first: where they are few, their size is then known and the pairs need no shuffle.
+    """
+    leaky = stage(leaky_ids_of(profile), "leaky-ids").withColumn("_leaky", F.lit(True))
+    return with_query_norm(pairs).join(leaky, "query_id", "left")
+
+
+def _dataset_split(seed: int, key_hash: KeyHash):
+    """Split of a row of ``_with_leaks``; null if the pair is left out."""
+    validation = hash_bucket("query_norm", HASH_BUCKETS, seed, key_hash) < VALIDATION_BUCKETS
+    return F.when(F.col("split") == "test", "test").when(
+        (F.col("split") == "train") & F.col("_leaky").isNull(),
+        F.when(validation, "validation").otherwise("train"),
+    )
+
+
 def assign_splits(
     pairs: DataFrame,
     seed: int = SEED,
     key_hash: KeyHash = xxhash_key,
     profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Keep test whole, drop leaky train groups, hash the rest by query text.
+    """Keep test whole, drop leaky train groups, hash the rest by query text, in one scan.
 
     ``profile`` is the staged query profile, where the caller already has it.
     """
-    validation = hash_bucket("query_norm", HASH_BUCKETS, seed, key_hash) < VALIDATION_BUCKETS
-    train = drop_leaky_groups(pairs, profile).withColumn(
-        "dataset_split", F.when(validation, "validation").otherwise("train")
-    )
-    test = (
-        with_query_norm(pairs)
-        .filter(F.col("split") == "test")
-        .withColumn("dataset_split", F.lit("test"))
-    )
-    return train.unionByName(test)
+    profile = staged_profile(pairs) if profile is None else profile
+    kept = (F.col("split") == "test") | ((F.col("split") == "train") & F.col("_leaky").isNull())
+    columns = with_query_norm(pairs).columns
+    split = _dataset_split(seed, key_hash).alias("dataset_split")
+    return _with_leaks(pairs, profile).filter(kept).select(*columns, split)
 
 
 def marked_splits(
     pairs: DataFrame, profile: DataFrame, seed: int = SEED, key_hash: KeyHash = xxhash_key
 ) -> DataFrame:
     """All pairs from one scan, with the split of ``assign_splits``; it is null for the pairs that are left out."""
-    validation = hash_bucket("query_norm", HASH_BUCKETS, seed, key_hash) < VALIDATION_BUCKETS
-    leaky = leaky_ids_of(profile).withColumn("_leaky", F.lit(True))
-    split = F.col("split")
-    return (
-        with_query_norm(pairs)
-        .join(leaky, "query_id", "left")
-        .withColumn(
-            "dataset_split",
-            F.when(split == "test", "test")
-            .when((split == "train") & F.col("_leaky").isNull(), F.when(validation, "validation").otherwise("train")),
-        )
-        .select(*pairs.columns, "query_norm", "dataset_split")
-    )
+    split = _dataset_split(seed, key_hash).alias("dataset_split")
+    return _with_leaks(pairs, profile).select(*pairs.columns, "query_norm", split)
 
 
 def saved_profile(features: DataFrame) -> DataFrame:

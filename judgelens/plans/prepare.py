@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from judgelens.constants import SEED
 from judgelens.functions.hashing import KeyHash, xxhash_key
 from judgelens.operators import audits, joins, sampling
-from judgelens.operators.features import lexical_features
+from judgelens.operators.features import lexical_features, product_forms
 from judgelens.operators.provenance import query_digest
 from judgelens.operators.splits import assert_disjoint, assign_splits, marked_splits, saved_profile, split_summary_of, staged_profile
 from judgelens.plans.parallel import run_all
+from judgelens.sources.staging import stage
 from judgelens.sources.tables import feature_projection, read_features, write_features, write_metrics
 
 
@@ -22,9 +23,12 @@ def prepare_features(
     key_hash: KeyHash = xxhash_key,
     profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Split, join, flag and featurise in-scope pairs, without the gates."""
-    assigned = assign_splits(pairs, seed, key_hash, profile)
-    joined = joins.attach_products_and_seen(assigned, products)
+    """Split, join, flag and featurise in-scope pairs, without the gates.
+
+    The assigned pairs are stored, as their train products are wanted ahead of the join.
+    """
+    assigned = stage(assign_splits(pairs, seed, key_hash, profile), "assigned")
+    joined = joins.attach_products_and_seen(assigned, product_forms(products))
     return feature_projection(lexical_features(joined))
 
 
@@ -51,7 +55,7 @@ def prepare(
     sample = sampling.sample_queries(pairs, seed=seed, key_hash=key_hash)
     sampling.assert_sample(prepare_features(sample, products, seed, key_hash, profile), sample)
     observation = Observation("prepare")
-    joined = joins.attach_products_and_seen(marked_splits(pairs, profile, seed, key_hash), products)
+    joined = joins.attach_products_and_seen(marked_splits(pairs, profile, seed, key_hash), product_forms(products))
     kept = audits.observe_join(joined, observation).filter("dataset_split IS NOT NULL")
     write_features(feature_projection(lexical_features(kept)), path)
     observed = observation.get

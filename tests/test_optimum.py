@@ -120,3 +120,28 @@ def test_bucketed_tables_refuse_odd_requests(spark, tmp_path):
         write_bucketed(rows, str(tmp_path / "a"), "k", 0)
     write_bucketed(rows.limit(0), str(tmp_path / "b"), "k", 4)
     assert read_bucketed(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_solver_gets_each_vector_once_with_the_same_loss(spark, monkeypatch):
+    """Many equal rows reach the solver as one weighted vector; the minimum stays that of the rows."""
+    rng = np.random.default_rng(3)
+    kinds = [(label, *(float(v) for v in rng.integers(0, 3, len(FEATURES)))) for label in LABELS for _ in range(8)]
+    rows = [kinds[i] for i in range(len(kinds)) for _ in range(1 + 13 * (i % 5))]
+    many = stage(spark.createDataFrame(rows, "label string, " + ", ".join(f"{name} double" for name in FEATURES)), "alike")
+    sizes = []
+    real = M.classifier
+
+    class Counted:
+        def __init__(self, *args):
+            self.solver = real(*args)
+
+        def fit(self, frame):
+            sizes.append(frame.count())
+            return self.solver.fit(frame)
+
+    monkeypatch.setattr(M, "classifier", Counted)
+    weights = M.training_weights(many)
+    for name, model in M.fit_candidates(many).items():
+        found = certify(model, many, weights if name == "logistic_class_weighted" else None)
+        assert np.abs(found.fit_errors).max() < 1e-3 and found.error_bounds.max() < 1e-9
+    assert sizes == [len(kinds)] * 2 and len(rows) > 10 * len(kinds)
