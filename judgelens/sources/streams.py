@@ -1,10 +1,11 @@
 """Python data sources for files that Spark's own sources cannot read.
 
 ``file_digests`` gives one row per file with its size, first bytes and SHA-256.
-``packed_lines`` gives the lines of Zstandard files. Both read in chunks, so a
-task holds a chunk of a file and not the file, whatever its size. Files are
-opened by URI through ``pyarrow.fs`` where the task runs, so the store must be
-one that it knows (local paths, hdfs, s3, gs, abfs).
+``packed_lines`` gives the lines of Zstandard files. ``whole_digests`` hashes
+listed files a second way. All read in chunks, so a task holds a chunk of a
+file and not the file, whatever its size. Files are opened by URI through
+``pyarrow.fs`` where the task runs, so the store must be one that it knows
+(local paths, hdfs, s3, gs, abfs).
 """
 
 from __future__ import annotations
@@ -157,6 +158,24 @@ def file_digests(spark: SparkSession, root: str, directories=("",), chunk: int =
     return spark.read.format("file_digests").options(**options).load()
 
 
+def whole_digests(listed: DataFrame, root: str) -> DataFrame:
+    """Listed files of a folder (filename, length) with the SHA-256 of their contents (digest).
+
+    No reading code is shared with ``file_digests``: files are opened for random access and ``hashlib`` reads them by a loop of its own.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = open_store(root)
+        for batch in batches:
+            found = []
+            for name in batch.column("filename").to_pylist():
+                with store.open_input_file(f"{base.rstrip('/')}/{name}") as file:
+                    found.append(hashlib.file_digest(file, "sha256").hexdigest())
+            yield batch.append_column("digest", pa.array(found, pa.string()))
+
+    return listed.mapInArrow(digests, "filename string, length bigint, digest string")
+
+
 def packed_lines(spark: SparkSession, root: str, paths: list[str], chunk: int = CHUNK) -> DataFrame:
     """(path, value) lines of Zstandard files, given by their paths below the root."""
     spark.dataSource.register(PackedLines)

@@ -5,6 +5,8 @@ import io
 import json
 import shutil
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -88,6 +90,50 @@ def test_file_manifest_checks_header_digest_and_rows(spark, tmp_path):
         files.assert_manifest(manifest, {"absent.parquet": row.sha256})
 
 
+class Gapped:
+    """A file whose first four bytes are followed by a hole of 2 GiB; what is written knows its true place."""
+
+    def __init__(self, path):
+        self.file, self.closed = open(path, "wb"), False
+
+    def write(self, data):
+        done = self.file.write(data)
+        if self.file.tell() == 4:
+            self.file.seek(1 << 31, io.SEEK_CUR)
+        return done
+
+    def tell(self):
+        return self.file.tell()
+
+    def flush(self):
+        self.file.flush()
+
+    def close(self):
+        self.file.close()
+        self.closed = True
+
+
+def test_manifest_query_holds_a_file_above_two_gib_against_a_second_digest(spark, tmp_path):
+    table = pa.table({"x": range(1000)})
+    pq.write_table(table, tmp_path / "small.parquet")
+    sink = Gapped(tmp_path / "large.parquet")
+    pq.write_table(table, sink)
+    sink.close()
+    assert (tmp_path / "large.parquet").stat().st_size > 1 << 31
+    found = sorted(tuple(r) for r in workload.file_manifest(spark, str(tmp_path)).collect())
+    assert found == [("large.parquet", 1000, True, True), ("small.parquet", 1000, True, True)]
+
+
+@pytest.mark.parametrize("damage", [{"sha256": F.reverse, "bytes": F.abs}, {"sha256": F.lower, "bytes": lambda n: F.col(n) + 1}])
+def test_manifest_query_sees_a_wrong_digest_and_a_wrong_size(spark, tmp_path, monkeypatch, damage):
+    for name in ("a b", "c%20d"):
+        pq.write_table(pa.table({"x": [name]}), tmp_path / f"{name}.parquet")
+    assert [r.digest_agrees for r in workload.file_manifest(spark, str(tmp_path)).collect()] == [True, True]
+    sound = files.file_manifest
+    monkeypatch.setattr(files, "file_manifest", lambda *a: sound(*a).withColumns({n: f(n) for n, f in damage.items()}))
+    assert [r.digest_agrees for r in workload.file_manifest(spark, str(tmp_path)).collect()] == [False, False]
+
+
 def test_digest_ignores_order_and_sees_every_row(spark):
     rows = [("train", i, f"text {i % 7}") for i in range(200)] + [("test", 1, "text")]
     frame = spark.createDataFrame(rows, "dataset_split string, query_id bigint, query_norm string")

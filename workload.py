@@ -16,7 +16,7 @@ from judgelens.operators.cuts import weighted_queue_yield
 from judgelens.operators.features import lexical_features
 from judgelens.operators.optimum import certify, optimum_table
 from judgelens.plans.cases import case_index, development_cases
-from judgelens.sources import eventlog, files, tables
+from judgelens.sources import eventlog, files, streams, tables
 from judgelens.sources.bucketed import read_bucketed
 from judgelens.sources.staging import new_path, stage
 
@@ -128,10 +128,11 @@ def eventlog_summary(spark, sf):
 
 
 def file_manifest(spark, sf):
-    """The files of the given tables; size and streamed digest are held against those of whole contents."""
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf).select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length"), F.sha2("content", 256).alias("digest")
+    """The files of the given tables; size and streamed digest are held against Spark's listing and a second read of whole contents."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf).select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), "length"
     )
+    whole = streams.whole_digests(listed, sf)
     agrees = (F.col("bytes") == F.col("length")) & (F.col("sha256") == F.col("digest"))
     return files.file_manifest(spark, sf).join(whole, "filename").select("filename", "row_count", "is_parquet", agrees.alias("digest_agrees"))
 
